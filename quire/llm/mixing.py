@@ -7,15 +7,18 @@ sum of rate * tokens * posterior, match the targets in the least-squares sense.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import let, materialise
 from quire.llm.divergence import split_words
 
-#: Labelled documents learnt from at most, taken by hash of the id; words the classifier knows at most, for each domain.
-MOST_LABELLED, MOST_WORDS = 20_000, 48
-LEAST_SUPPORT = 5
+#: Labelled documents learnt from (expected number, taken by hash of the id); words the classifier knows at most, for each domain.
+MOST_LABELLED, MOST_WORDS = 20_000, 64
+#: A word counts for a domain if it is in this share of its documents, and so many times as frequent as in all documents.
+LEAST_SHARE, LEAST_LIFT = 0.02, 3.0
 STEPS, TOLERANCE = 60, 1e-6
 
 
@@ -34,10 +37,11 @@ def shape_signs(text: Column, words: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    """Struct: n (words) and bag (distinct lower-cased words and shape signs)."""
+    """Struct: n (words) and bag (distinct lower-cased words, their beginnings, and shape signs)."""
     t = F.coalesce(text, F.lit(""))
-    bag = lambda w: F.array_distinct(F.split(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}]+", " "), " "))
-    return let(split_words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(bag(w), shape_signs(t, w)).alias("bag")))
+    bag = F.array_distinct(F.split(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}]+", " "), " "))
+    begun = lambda b: F.array_distinct(F.transform(b, lambda w: F.concat(F.substring(w, 1, 5), F.lit("*"))))
+    return let(bag, lambda b: let(split_words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(b, begun(b), shape_signs(t, w)).alias("bag"))))
 
 
 class Classifier:
@@ -61,31 +65,37 @@ class Classifier:
         return let(F.transform(F.filter(bag, lambda w: w.isin(self.words)), lambda w: F.element_at(table, w)), of)
 
 
-def fit_classifier(labelled: DataFrame, domains: list[str], most: int = MOST_LABELLED) -> Classifier:
-    """Learns from rows (doc_id, text, domain) whose domain is one of `domains`; at most `most` rows, taken by hash of
-    the id. Words are those, for each domain, whose presence tells most; the driver gets their counts only."""
-    rows = labelled.filter(F.col("domain").isin(*domains)).select("domain", F.xxhash64("doc_id").alias("h"), "text").orderBy("h").limit(most)
-    bags = materialise(rows.select("domain", tokens_of(F.col("text"))["bag"].alias("bag")), "bags")
+def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
+    """Learns from rows (text, domain) whose domain is one of `domains`.
+
+    A word that is present adds the log of its lift in a domain; absent words say nothing, so that a rare language isn't held
+    against a document. Words are those with the most telling presence for each domain, and all shape signs. The driver
+    gets their counts only.
+    """
+    bags = materialise(labelled.filter(F.col("domain").isin(*domains)).select("domain", tokens_of(F.col("text"))["bag"].alias("bag")), "bags")
     sizes = {r["domain"]: r["n"] for r in bags.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
+    total, n = sum(sizes.values()), [sizes.get(d, 0) for d in domains]
     if not total:
         return Classifier(domains, [0.0] * len(domains), [], [])
     each = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)]
-    counts = bags.select("domain", F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *each).filter((F.col("n") >= LEAST_SUPPORT) & (F.col("word") != ""))
-    n = [sizes.get(d, 0) for d in domains]
-    rate = [(F.col(f"n{i}") + 0.5) / (n[i] + 1.0) for i in range(len(domains))]
-    gain = [r * F.log(r / ((F.col("n") + 0.5) / (total + 1.0))) for r in rate]
-    best = None
+    counts = materialise(bags.select("domain", F.explode("bag").alias("word")).filter("word not in ('', '*')").groupBy("word").agg(F.count("*").alias("n"), *each), "counts")
+    known = counts.filter(F.col("word").startswith(" "))
     for i in range(len(domains)):
         if n[i]:
-            top = counts.orderBy(F.desc(gain[i]), "word").limit(MOST_WORDS)
-            best = top if best is None else best.union(top)
-    found = best.distinct().orderBy("word").collect()  # MOST_WORDS for each domain at most
-    present = [[(r[f"n{i}"] + 0.5) / (n[i] + 1.0) for i in range(len(domains))] for r in found]
-    from math import log
+            share, lift = F.col(f"n{i}") / n[i], (F.col(f"n{i}") / n[i]) / (F.col("n") / total)
+            known = known.union(counts.filter((share >= LEAST_SHARE) & (lift >= LEAST_LIFT)).orderBy(F.desc(share * F.log(lift)), "word").limit(MOST_WORDS))
+    found = known.distinct().orderBy("word").collect()  # MOST_WORDS for each domain, and the signs
+    prior = [log((k + 0.5) / (total + 0.5 * len(n))) for k in n]
+    weights = [[log((r[f"n{i}"] + 0.5) / (k + 1.0)) - log((r["n"] + 0.5) / (total + 1.0)) for i, k in enumerate(n)] for r in found]
+    return Classifier(domains, prior, [r["word"] for r in found], weights)
+
 
-    prior = [log((n[i] + 0.5) / (total + 0.5 * len(domains))) + sum(log(max(1e-9, 1 - p[i])) for p in present) for i in range(len(domains))]
-    return Classifier(domains, prior, [r["word"] for r in found], [[log(p[i]) - log(max(1e-9, 1 - p[i])) for i in range(len(domains))] for p in present])
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """text and domain of about `most` labelled documents, all if they are fewer."""
+    named = label_domains(labels)
+    share = min(1.0, most / max(1, named.count()))
+    some = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return docs.select("doc_id", "text").join(some, "doc_id").select("text", "domain")
 
 
 def fit_rates(docs: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
@@ -126,7 +136,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float, most_labelled: int = MOST_LABELLED) -> tuple[Classifier, list[list[float]]]:
     """Classifier and rate steps for `docs`; targets are weights times `scale` times all tokens of `docs`."""
     domains = list(weights)
-    classifier = fit_classifier(docs.select("doc_id", "text").join(label_domains(labels), "doc_id"), domains, most_labelled)
+    classifier = fit_classifier(labelled_rows(docs, labels, most_labelled), domains)
     told = docs.select(tokens_of(F.col("text")).alias("t")).select(F.col("t.n").alias("n"), classifier.posterior(F.col("t.bag")).alias("p"))
     compact = materialise(told, "posteriors")
     total = compact.agg(F.sum("n")).first()[0] or 0
@@ -142,7 +152,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     document count once. Every row gives a row; an empty table gives none; other columns are ignored.
     """
     domains = list(weights)
-    classifier = fit_classifier(docs.select("doc_id", "text").join(label_domains(labels), "doc_id"), domains, most_labelled)
+    classifier = fit_classifier(labelled_rows(docs, labels, most_labelled), domains)
     told = docs.select("doc_id", tokens_of(F.col("text")).alias("t")).select("doc_id", F.col("t.n").alias("n"), classifier.posterior(F.col("t.bag")).alias("p"))
     compact = materialise(told, "posteriors")
     total, whole = compact.agg(F.sum("n")).first()[0] or 0, sum(weights.values())
