@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import Index, block_count, materialise, new_folder, slices
-from quire.llm.pretokens import CARRY, SLICE, frequencies, load_tokenizer, segment_sums
+from quire.llm.pretokens import SLICE, frequencies, load_tokenizer, segment_sums
 from quire.llm.byte_bpe import ranges
 
 LENGTH = 2048
 ROWS = 64
+#: Parts whose ids an encoder keeps.
+CARRY = 1_000_000
 
 
 class Encoder:
@@ -55,6 +58,12 @@ class Encoder:
         return self.ids[ranges(self.starts[flat], each)], segment_sums(each, parts)
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """One for each worker process, so that what a task has encoded serves the next."""
+    return Encoder(path)
+
+
 def sequence_schema(width: str, length: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(width)), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -117,7 +126,7 @@ def writer(folder: str, tokenizer: str, end_id: int, width: str, length: int):
         part = TaskContext.get().partitionId()
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name, own, encode = f"{base}/part-{part:06d}", f"{base}/_{uuid.uuid4().hex}", Encoder(tokenizer)
+        name, own, encode = f"{base}/part-{part:06d}", f"{base}/_{uuid.uuid4().hex}", shared_encoder(tokenizer)
         docs = ids = 0
         index_schema = pa.schema([("doc_id", pa.string()), ("n_tokens", pa.int64())])
         with fs.open_output_stream(own + "-s") as a, fs.open_output_stream(own + "-d") as b:
