@@ -32,7 +32,7 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFram
     full = hits.join(q, "question_id").join(chunks.select("doc_id", "chunk", "text"), ["doc_id", "chunk"]).filter(strip(F.coalesce("text", F.lit(""))) != "")
     similar = F.coalesce(1 - F.least(F.greatest("distance", F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
     both = F.size(F.array_intersect("_terms", keywords(F.col("text"))))
-    scored = full.withColumn("overlap", both).withColumn("score", F.round(0.7 * similar + 0.3 * both / F.greatest(F.lit(1), F.size("_terms")), 6))
+    scored = full.withColumn("overlap", both).withColumn("score", F.round(0.7 * similar + 0.3 * both / F.greatest(F.lit(1), F.size("_terms")), 9))
     return scored.withColumn("score_rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "rank"))).drop("_terms")
 
 

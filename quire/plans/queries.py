@@ -22,7 +22,7 @@ KNN = f"""SELECT question_id, doc_id, chunk, distance, rank FROM (
 SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk) AS INT) AS rank FROM (
 SELECT q.question_id, q.doc_id, c.chunk, {COSINE} AS distance FROM fx_questions q JOIN fx_vectors c ON c.doc_id = q.doc_id AND c.chunk <> q.question_id)) WHERE rank <= 12"""
 RERANK = f"""SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS INT) AS score_rank FROM (
-SELECT k.*, CAST(len(list_intersect(qt, ct)) AS INT) AS overlap, round(0.7 * (1 - least(greatest(distance, 0), 1)) + 0.3 * len(list_intersect(qt, ct)) / greatest(1, len(qt)), 6) AS score
+SELECT k.*, CAST(len(list_intersect(qt, ct)) AS INT) AS overlap, round(0.7 * (1 - least(greatest(distance, 0), 1)) + 0.3 * len(list_intersect(qt, ct)) / greatest(1, len(qt)), 9) AS score
 FROM ({KNN}) k JOIN (SELECT question_id, {terms_sql('question')} AS qt FROM fx_questions) q USING (question_id) JOIN (SELECT doc_id, chunk, {terms_sql('text')} AS ct FROM fx_vectors) c USING (doc_id, chunk))"""
 SELECTED = f"""SELECT question_id, doc_id, chunk, CAST(row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN any5 THEN score_rank ELSE rank END) AS INT) AS position, CASE WHEN any5 THEN 'reranked' ELSE 'distance' END AS source
 FROM (SELECT *, score_rank <= 5 AND distance < 0.9 AS best, max(CAST(score_rank <= 5 AND distance < 0.9 AS INT)) OVER (PARTITION BY question_id) = 1 AS any5 FROM ({RERANK})) WHERE CASE WHEN any5 THEN best ELSE distance < 0.6 END"""
