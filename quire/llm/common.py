@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as in `[\x20\x09-\x0D]`.
 WHITE = "\\x20\\x09-\\x0D"
+#: Estimates from here on (an exabyte) say that Catalyst doesn't know.
+UNKNOWN = 1 << 60
 #: Maps A-Z to a-z and leaves every other byte.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -45,8 +47,16 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of `df` (the size of the files under a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the size of `df` (the size of the files under a scan).
+
+    Rows that come from no file have no estimate but the session's default of 2^63 - 1; only these are measured by a job.
+    """
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess < UNKNOWN:
+        return guess
+    widths = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 8 * F.size(c)}
+    each = [widths.get(f.dataType.typeName(), lambda c: F.lit(8))(F.col(f"`{f.name}`")) for f in df.schema]
+    return int(df.agg(*[F.sum(c.cast("long")).alias(f"c{i}") for i, c in enumerate(each)]).select(sum((F.coalesce(f"c{i}", F.lit(0)) for i in range(len(each))), F.lit(0))).first()[0])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
