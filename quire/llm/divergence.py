@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WHITE, free_name, let, materialise
+from quire.llm.common import WHITE, let, materialise
 
 #: Common words by language.
 COMMON = {
@@ -131,10 +131,9 @@ def judge(f: Column, fixed: dict[str, dict[str, list[float]]], far_chars: float
 
 def keep_good(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns."""
-    name = free_name(docs, "f")
     fixed = references(docs.select("lang", features(F.col("text"), rules=False).alias("f")))
-    f = docs.withColumn(name, features(F.col("text")))
-    return f.filter(judge(F.col(name), fixed, **parameters)["kept"]).drop(name)
+    # a column of features would be put into the filter once for each place that names it
+    return docs.filter(let(features(F.col("text")), lambda f: judge(f, fixed, **parameters)["kept"]))
 
 
 def quality_verdicts(docs: DataFrame, **parameters) -> DataFrame:
