@@ -17,8 +17,9 @@ from quire.llm.divergence import split_words
 
 #: Labelled documents learnt from (expected number, taken by hash of the id); words the classifier knows at most, for each domain.
 MOST_LABELLED, MOST_WORDS = 20_000, 64
-#: A word counts for a domain if it is in this share of its documents, and so many times as frequent as in all documents.
-LEAST_SHARE, LEAST_LIFT = 0.02, 3.0
+#: A word counts for a domain if it is in this share of its documents, so many times as frequent as in all documents, and if
+#: its log-likelihood ratio against an even spread is so high that chance, over all words of a sample, doesn't reach it.
+LEAST_SHARE, LEAST_LIFT, LEAST_RATIO = 0.02, 3.0, 25.0
 STEPS, TOLERANCE = 60, 1e-6
 
 
@@ -65,6 +66,12 @@ class Classifier:
         return let(F.transform(F.filter(bag, lambda w: w.isin(self.words)), lambda w: F.element_at(table, w)), of)
 
 
+def log_likelihood_ratio(inside: Column, all_: Column, share: float) -> Column:
+    """G of `inside` of `all_` occurrences, where `share` of them would be expected."""
+    part = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(F.lit(0.0))
+    return 2 * (part(inside, all_ * share) + part(all_ - inside, all_ * (1 - share)))
+
+
 def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
     """Learns from rows (text, domain) whose domain is one of `domains`.
 
@@ -83,7 +90,8 @@ def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
     for i in range(len(domains)):
         if n[i]:
             share, lift = F.col(f"n{i}") / n[i], (F.col(f"n{i}") / n[i]) / (F.col("n") / total)
-            known = known.union(counts.filter((share >= LEAST_SHARE) & (lift >= LEAST_LIFT)).orderBy(F.desc(share * F.log(lift)), "word").limit(MOST_WORDS))
+            sure = log_likelihood_ratio(F.col(f"n{i}"), F.col("n"), n[i] / total) >= LEAST_RATIO
+            known = known.union(counts.filter((share >= LEAST_SHARE) & (lift >= LEAST_LIFT) & sure).orderBy(F.desc(share * F.log(lift)), "word").limit(MOST_WORDS))
     found = known.distinct().orderBy("word").collect()  # MOST_WORDS for each domain, and the signs
     prior = [log((k + 0.5) / (total + 0.5 * len(n))) for k in n]
     weights = [[log((r[f"n{i}"] + 0.5) / (k + 1.0)) - log((r["n"] + 0.5) / (total + 1.0)) for i, k in enumerate(n)] for r in found]
