@@ -21,6 +21,8 @@ MOST_LABELLED, MOST_WORDS = 20_000, 64
 #: its log-likelihood ratio against an even spread is so high that chance, over all words of a sample, doesn't reach it.
 LEAST_SHARE, LEAST_LIFT, LEAST_RATIO = 0.02, 3.0, 25.0
 STEPS, TOLERANCE = 60, 1e-6
+#: Decimals of the posteriors.
+DIGITS = 6
 
 
 def shape_signs(text: Column, words: Column) -> Column:
@@ -46,13 +48,13 @@ def tokens_of(text: Column) -> Column:
 
 
 class Classifier:
-    """Log weights by domain: a prior, and for each known word what it adds when present."""
+    """Log weights by domain: a prior (no word present), and for each known word what it adds when present."""
 
     def __init__(self, domains: list[str], prior: list[float], words: list[str], weights: list[list[float]]):
         self.domains, self.prior, self.words, self.weights = domains, prior, words, weights
 
     def posterior(self, bag: Column) -> Column:
-        """Array of probabilities, in the order of `domains`."""
+        """Array of probabilities, in the order of `domains`, rounded so that documents alike have the same."""
         k = len(self.domains)
         if not self.words:
             return F.array(*[F.lit(1.0 / k)] * k)
@@ -61,7 +63,7 @@ class Classifier:
 
         def of(at: Column) -> Column:
             logs = F.array(*[F.aggregate(at, F.lit(float(p)), lambda a, j: a + F.get(c, j)) for p, c in zip(self.prior, columns)])
-            return let(let(logs, lambda x: F.transform(x, lambda y: F.exp(y - F.array_max(x)))), lambda e: F.transform(e, lambda y: y / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
+            return let(let(logs, lambda x: F.transform(x, lambda y: F.exp(y - F.array_max(x)))), lambda e: F.transform(e, lambda y: F.round(y / F.aggregate(e, F.lit(0.0), lambda a, b: a + b), DIGITS)))
 
         return let(F.transform(F.filter(bag, lambda w: w.isin(self.words)), lambda w: F.element_at(table, w)), of)
 
@@ -75,9 +77,9 @@ def log_likelihood_ratio(inside: Column, all_: Column, share: float) -> Column:
 def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
     """Learns from rows (text, domain) whose domain is one of `domains`.
 
-    A word that is present adds the log of its lift in a domain; absent words say nothing, so that a rare language isn't held
-    against a document. Words are those with the most telling presence for each domain, and all shape signs. The driver
-    gets their counts only.
+    Words count by presence and absence (Bernoulli), shape signs as categories, one of which is always present. Words are those
+    with the most telling presence for each domain; as chance doesn't explain it, absent ones don't stand for a rare
+    language. The driver gets their counts only.
     """
     bags = materialise(labelled.filter(F.col("domain").isin(*domains)).select("domain", tokens_of(F.col("text"))["bag"].alias("bag")), "bags")
     sizes = {r["domain"]: r["n"] for r in bags.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -94,7 +96,12 @@ def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
             known = known.union(counts.filter((share >= LEAST_SHARE) & (lift >= LEAST_LIFT) & sure).orderBy(F.desc(share * F.log(lift)), "word").limit(MOST_WORDS))
     found = known.distinct().orderBy("word").collect()  # MOST_WORDS for each domain, and the signs
     prior = [log((k + 0.5) / (total + 0.5 * len(n))) for k in n]
-    weights = [[log((r[f"n{i}"] + 0.5) / (k + 1.0)) - log((r["n"] + 0.5) / (total + 1.0)) for i, k in enumerate(n)] for r in found]
+    weights = []
+    for r in found:
+        there = [(r[f"n{i}"] + 0.5) / (k + 1.0) for i, k in enumerate(n)]
+        absent = [0.0] * len(n) if r["word"].startswith(" ") else [log(1 - p) for p in there]
+        prior = [a + b for a, b in zip(prior, absent)]
+        weights.append([log(p) - a for p, a in zip(there, absent)])
     return Classifier(domains, prior, [r["word"] for r in found], weights)
 
 
@@ -115,6 +122,8 @@ def fit_rates(docs: DataFrame, targets: list[float], steps: int = STEPS, toleran
     one number for each domain. It ends when no domain is further than `tolerance` of all tokens from where the step before left it.
     """
     k = len(targets)
+    # the rate depends on the posteriors only, so documents with the same ones step together
+    docs = materialise(docs.groupBy("p").agg(F.sum("n").alias("n")), "rates")
     have = docs.agg(*[F.sum(F.col("n") * F.get("p", i)).alias(f"t{i}") for i in range(k)]).first()
     have = [float(x or 0) for x in have]
     now, history = list(have), []
