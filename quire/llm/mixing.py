@@ -12,7 +12,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import let, materialise
+from quire.llm.common import free_name, let, materialise
 from quire.llm.divergence import split_words
 
 #: Labelled documents learnt from (expected number, taken by hash of the id); words the classifier knows at most, for each domain.
@@ -25,7 +25,7 @@ STEPS, TOLERANCE = 60, 1e-6
 DIGITS = 6
 
 
-def shape_signs(text: Column, words: Column) -> Column:
+def shape_signs(text: Column, words: Column, different: Column) -> Column:
     """What a text looks like, as made-up words: shares of capitals, symbols and bars, word length, share of distinct words."""
     rest = F.regexp_replace(text, "[a-z\\x20\\x09-\\x0D]+", "")
     full = F.greatest(F.length(text), F.lit(1))
@@ -33,7 +33,7 @@ def shape_signs(text: Column, words: Column) -> Column:
 
     def of(r: Column) -> Column:
         share = lambda p: (F.length(r) - F.length(F.regexp_replace(r, p, ""))) / full
-        distinct = 1 - F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
+        distinct = 1 - F.size(different) / F.greatest(F.size(words), F.lit(1))
         return F.array(F.concat(F.lit(" capitals"), step(share("\\p{Lu}+"), 0.05, 0.2, 0.5)), F.concat(F.lit(" symbols"), step(share("[#*$%&|<>!]+"), 0.005, 0.03, 0.1)), F.concat(F.lit(" long"), step(full / F.greatest(F.size(words), F.lit(1)), 4, 9, 14)), F.concat(F.lit(" repeats"), step(distinct, 0.6, 0.85, 0.95)))
 
     return let(rest, of)
@@ -42,9 +42,15 @@ def shape_signs(text: Column, words: Column) -> Column:
 def tokens_of(text: Column) -> Column:
     """Struct: n (words) and bag (distinct lower-cased words, their beginnings, and shape signs)."""
     t = F.coalesce(text, F.lit(""))
-    bag = F.array_distinct(F.split(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}]+", " "), " "))
     begun = lambda b: F.array_distinct(F.transform(b, lambda w: F.concat(F.substring(w, 1, 5), F.lit("*"))))
-    return let(bag, lambda b: let(split_words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(b, begun(b), shape_signs(t, w)).alias("bag"))))
+    # each distinct word is cleaned once
+    cleaned = lambda d: F.array_distinct(F.split(F.regexp_replace(F.lower(F.array_join(d, " ")), "[^\\p{L}\\p{N}]+", " "), " "))
+
+    def of(w: Column) -> Column:
+        bag = let(F.array_distinct(w), lambda d: let(cleaned(d), lambda b: F.concat(b, begun(b), shape_signs(t, w, d))))
+        return F.struct(F.size(w).cast("long").alias("n"), bag.alias("bag"))
+
+    return let(split_words(t), of)
 
 
 class Classifier:
@@ -150,15 +156,16 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).filter("doc_id is not null and domain is not null").dropDuplicates(["doc_id"])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float, most_labelled: int = MOST_LABELLED) -> tuple[Classifier, list[list[float]]]:
-    """Classifier and rate steps for `docs`; targets are weights times `scale` times all tokens of `docs`."""
-    domains = list(weights)
-    classifier = fit_classifier(labelled_rows(docs, labels, most_labelled), domains)
-    told = docs.select(tokens_of(F.col("text")).alias("t")).select(F.col("t.n").alias("n"), classifier.posterior(F.col("t.bag")).alias("p"))
-    compact = materialise(told, "posteriors")
-    total = compact.agg(F.sum("n")).first()[0] or 0
-    whole = sum(weights.values())
-    return classifier, fit_rates(compact, [total * scale * w / whole for w in weights.values()])
+def weighed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float, most_labelled: int, mark: str, keep: list[str] | None = None) -> tuple[DataFrame, list[list[float]]]:
+    """The rows of `docs` (columns `keep`, all by default) with a struct `mark` of n (words) and p (posteriors), written once
+    so that no text is weighed again, and the rate steps; targets are weights times `scale` times all tokens of `docs`.
+    """
+    classifier = fit_classifier(labelled_rows(docs, labels, most_labelled), list(weights))
+    of = lambda t: F.struct(t["n"].alias("n"), classifier.posterior(t["bag"]).alias("p"))
+    told = materialise(docs.select(*(keep or docs.columns), let(tokens_of(F.col("text")), of).alias(mark)), "posteriors")
+    compact = told.select(f"{mark}.n", f"{mark}.p")
+    total, whole = compact.agg(F.sum("n")).first()[0] or 0, sum(weights.values())
+    return told, fit_rates(compact, [total * scale * w / whole for w in weights.values()])
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float = 1.0, most_labelled: int = MOST_LABELLED) -> DataFrame:
@@ -168,13 +175,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     are equally likely. A domain that no document may belong to leaves its target unmet. Labels that disagree about a
     document count once. Every row gives a row; an empty table gives none; other columns are ignored.
     """
-    domains = list(weights)
-    classifier = fit_classifier(labelled_rows(docs, labels, most_labelled), domains)
-    told = docs.select("doc_id", tokens_of(F.col("text")).alias("t")).select("doc_id", F.col("t.n").alias("n"), classifier.posterior(F.col("t.bag")).alias("p"))
-    compact = materialise(told, "posteriors")
-    total, whole = compact.agg(F.sum("n")).first()[0] or 0, sum(weights.values())
-    history = fit_rates(compact, [total * scale * w / whole for w in weights.values()])
-    return compact.select("doc_id", F.col("n").alias("n_tokens"), *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(domains)], rate(F.col("p"), history).alias("rate"))
+    told, history = weighed(docs.select("doc_id", "text"), labels, weights, scale, most_labelled, "told", ["doc_id"])
+    compact = told.select("doc_id", "told.*")
+    return compact.select("doc_id", F.col("n").alias("n_tokens"), *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(weights)], rate(F.col("p"), history).alias("rate"))
 
 
 def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float = 1.0, most_labelled: int = MOST_LABELLED) -> DataFrame:
@@ -182,6 +185,7 @@ def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scale:
 
     The draw is a hash of id and text, so it doesn't change from run to run; a rate of one or more always keeps.
     """
-    classifier, history = fitted(docs, labels, weights, scale, most_labelled)
+    mark = free_name(docs, "told")
+    told, history = weighed(docs, labels, weights, scale, most_labelled, mark)
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    return docs.filter(let(classifier.posterior(tokens_of(F.col("text"))["bag"]), lambda p: rate(p, history)) > u)
+    return told.filter(rate(F.col(f"{mark}.p"), history) > u).select(*docs.columns)
