@@ -11,10 +11,12 @@ from quire.llm.common import free_name, materialise
 from quire.llm.divergence import keep_good
 from quire.llm.langid import fit_languages, predict_language
 from quire.llm.mixing import drawn
-from quire.llm.vptree import simhash_components
+from quire.llm.similar import similar_components
 
 #: Least posterior of the predicted language.
 LEAST_CONFIDENCE = 0.5
+#: Near-duplicates: words of a shingle, and least Jaccard similarity of the shingle sets in percent.
+SHINGLE_WORDS, LEAST_SIMILAR = 5, 80
 #: Shares of the tokens by domain, and the wanted tokens in terms of those there are: good documents are wanted more
 #: often than they occur, so none is left out; toxic ones aren't wanted.
 WEIGHTS, SCALE = {"good": 0.98, "low": 0.02, "toxic": 0.0}, 1.3
@@ -38,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a doc_id are one document; rows without one are kept, since no group can name them.
     """
-    found = simhash_components(docs.filter("doc_id is not null"))
+    found = similar_components(docs.filter("doc_id is not null"), SHINGLE_WORDS, LEAST_SIMILAR)
     first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     order = free_name(docs, "order")
