@@ -2,8 +2,8 @@
 
 Equal sets are one node. Two sets as similar as wanted share one of their first shingles, if these are put in one order for
 all (rare ones first), and as many are taken as a partner may lack: so each of these shingles is a block that holds all pairs to
-look at. Lengths and fingerprints over the sets leave few, which are confirmed by the sets themselves. Links to a
-block's first node come before all other pairs, so that a large group of copies isn't compared each with each.
+look at. Lengths, places in the order and fingerprints over the sets leave few, which are confirmed by the sets themselves. Links to one
+node of a block come before all other pairs, so that a large group of copies isn't compared each with each.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ WIDE = 24
 #: Documents (expected number) that tell which shingles are common: those that so many of them have, MOST_COMMON at most. They
 #: decide the order of shingles only, not the result.
 SAMPLED, LEAST_SEEN, MOST_COMMON = 20_000, 4, 1 << 18
-#: Nodes to confirm that are broadcast.
-BROADCAST_NODES = 500_000
+#: Blocks get another first node while a round's links are this share of the nodes.
+GO_ON = 0.01
+#: Nodes to confirm, and bytes of their sets, that are broadcast.
+BROADCAST_NODES, BROADCAST_BYTES = 500_000, 16 << 20
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -84,6 +86,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
 
     texts = docs.select("doc_id", "text").join(F.broadcast(need) if few else need, "doc_id")
     sets = materialise(texts.mapInPandas(run, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    size = sets.agg(F.sum(8 * F.size("s"))).first()[0] or 0
+    sets = F.broadcast(sets) if size <= BROADCAST_BYTES else sets
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     out = materialise(both.select("u", "v", shared.alias("k"), (F.size("a") + F.size("b")).alias("n")).filter(100 * F.col("k") >= percent * (F.col("n") - F.col("k"))).select("u", "v"), "confirmed")
@@ -110,23 +114,36 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = materialise(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n int, fp long, firsts array<long>"), "sets")
     nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    each = marked.dropDuplicates(["node"]).select(F.explode("firsts").alias("shingle"), "node", "n", "fp")
-    order = Window.partitionBy("shingle").orderBy("node")
-    start = F.first(F.struct("node", "n", "fp")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    blocks = each.withColumn("start", start).withColumn("next", F.lead("node").over(order))
-    blocks = materialise(blocks.filter("next is not null or node <> start.node").drop("next"), "blocks")
-    release_shuffles(spark)
-    alike = lambda m, fm, n, fn: (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.bit_count(fm.bitwiseXOR(fn)) <= WIDE)
-    c = F.col
-    stars = blocks.filter("node <> start.node").filter(alike(c("n"), c("fp"), c("start.n"), c("start.fp"))).select(c("node").alias("u"), c("start.node").alias("v")).distinct()
-    links = confirmed(stars, docs, nodes, words, percent, seed)
-    joined = components(links)
-    named = joined.union(joined.select(c("root").alias("node"), "root")).distinct()
-    now = materialise(blocks.drop("start").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "blocks-named")
-    mixed = now.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
-    left = materialise(now.join(mixed, "shingle"), "blocks-mixed")
+    each = materialise(marked.dropDuplicates(["node"]).select(F.posexplode("firsts").alias("at", "shingle"), "node", "n", "fp", F.col("node").alias("root")), "firsts")
+
+    def alike(x: str, y: str):
+        of = lambda k: (F.col(f"{x}{k}"), F.col(f"{y}{k}"))
+        (m, n), (i, j), (a, b) = of("n"), of("at"), of("fp")
+        # at the first shingle that two sets share, what follows it in both is enough for the similarity
+        enough = (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
+        return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & enough & (F.bit_count(a.bitwiseXOR(b)) <= WIDE)
+
+    c, links, total, left = F.col, None, nodes.count(), None
+    while left is None or new >= GO_ON * total:
+        # what has linked so far isn't looked at again; blocks of one component are done
+        rows = each if links is None else left.drop("root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rows.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
+        left = materialise(rows.join(mixed, "shingle"), "blocks")
+        each = None
+        release_shuffles(spark)
+        # each round has other nodes that all of a block are held against
+        start = F.first(F.struct("node", "n", "at", "fp", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(0 if links is None else before)), "node").rowsBetween(Window.unboundedPreceding, 0))
+        stars = left.withColumn("start", start).filter("root <> start.root").filter(alike("", "start."))
+        found = confirmed(stars.select(F.greatest("node", "start.node").alias("u"), F.least("node", "start.node").alias("v")).distinct(), docs, nodes, words, percent, seed)
+        links = found if links is None else links.union(found)
+        new, before = found.count(), links.count()
+        joined = components(links)
+        named = joined.union(joined.select(c("root").alias("node"), "root")).distinct()
+    left = materialise(left.drop("root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "blocks")
+    mixed = left.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
+    left = materialise(left.join(mixed, "shingle"), "blocks-mixed")
     x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (c("x.shingle") == c("y.shingle")) & (c("x.node") > c("y.node")) & (c("x.root") != c("y.root")) & alike(c("x.n"), c("x.fp"), c("y.n"), c("y.fp")))
+    pairs = x.join(y, (c("x.shingle") == c("y.shingle")) & (c("x.node") > c("y.node")) & (c("x.root") != c("y.root")) & alike("x.", "y."))
     more = confirmed(pairs.select(c("x.node").alias("u"), c("y.node").alias("v")).distinct(), docs, nodes, words, percent, seed)
     found = components(links.union(more))
     whole = materialise(found.union(found.select(c("root").alias("node"), "root")).distinct().join(nodes, "node"), "linked")
