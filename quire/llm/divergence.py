@@ -23,11 +23,11 @@ WORDS = list(dict.fromkeys(w for words in COMMON.values() for w in words))
 #: A sign for each common word: a run of code points without case or meaning of their own.
 SIGNS = [chr(0x2800 + i) for i in range(len(WORDS))]
 #: Classes of characters besides white space and a-z; what is left over is the last class.
-CLASSES = {"upper": "\\p{Lu}", "letter": "[\\p{L}&&[^\\p{Lu}]]", "digit": "\\p{N}", "point": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>=+~^_/\\\\@{}\\[\\]]"}
+CLASSES = {"upper": "\\p{Lu}", "letter": "[\\p{L}&&[^\\p{Lu}]]", "digit": "\\p{N}", "point": "[.,;:!?'\"()-]", "bar": "[|]", "symbol": "[#*$%&<>=+~^_/\\\\@{}\\[\\]]"}
 N_CLASSES = len(CLASSES) + 2
 
-#: Parameters: distances at which a document is rejected, and the least words and common words to judge it by.
-FAR_CHARS, FAR_WORDS, LEAST_WORDS, LEAST_COMMON = 0.32, 0.42, 50, 10
+#: Parameters: distances at which a document is rejected, and the least words to judge it by.
+FAR_CHARS, FAR_WORDS, LEAST_WORDS = 0.23, 0.32, 50
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -67,7 +67,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def features(text: Column, rules: bool = True) -> Column:
-    """Struct: n_words, word_chars, n_common, chars and words (histograms); with `rules` also n_symbols, n_dup_lines and n_repeat_words."""
+    """Struct: n_words, word_chars, chars and words (histograms); with `rules` also n_symbols, n_dup_lines and n_repeat_words."""
     t = F.coalesce(text, F.lit(""))
     listed = [*WORDS, *[w.capitalize() for w in WORDS]]
 
@@ -81,7 +81,7 @@ def features(text: Column, rules: bool = True) -> Column:
         counts = [count_of(x["rest"], p) for p in CLASSES.values()]
         chars = F.concat(F.array(x["word_chars"] - F.length(x["rest"])), let(F.array(*counts), lambda c: F.concat(c, F.array(F.length(x["rest"]) - F.aggregate(c, F.lit(0), lambda a, b: a + b)))))
         words = F.array(*common, x["n_words"] - F.length(x["signs"]))
-        out = [x["n_words"].cast("long").alias("n_words"), x["word_chars"].cast("long").alias("word_chars"), F.length(x["signs"]).alias("n_common"), chars.alias("chars"), words.alias("words")]
+        out = [x["n_words"].cast("long").alias("n_words"), x["word_chars"].cast("long").alias("word_chars"), chars.alias("chars"), words.alias("words")]
         if rules:
             lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
             out += [count_of(x["rest"], "[#*$%&|<>]").cast("long").alias("n_symbols"), let(lines, lambda y: (F.size(y) - F.size(F.array_distinct(y))).cast("long")).alias("n_dup_lines"), x["n_repeat_words"].alias("n_repeat_words")]
@@ -113,17 +113,17 @@ def references(featured: DataFrame) -> dict[str, dict[str, list[float]]]:
     return {kind: {x: [v / max(1, sum(rows[x][kind])) for v in rows[x][kind]] if x in rows else [0.0] * n for x in COMMON} for kind, n in (("chars", N_CLASSES), ("words", len(WORDS) + 1))}
 
 
-def judge(f: Column, fixed: dict[str, dict[str, list[float]]], far_chars: float = FAR_CHARS, far_words: float = FAR_WORDS, least_words: int = LEAST_WORDS, least_common: int = LEAST_COMMON, repeats: int = 50) -> Column:
+def judge(f: Column, fixed: dict[str, dict[str, list[float]]], far_chars: float = FAR_CHARS, far_words: float = FAR_WORDS, least_words: int = LEAST_WORDS, repeats: int = 50) -> Column:
     """Struct of base_failed, kept and both distances for a struct of features.
 
-    The nearest reference counts, and only where there are `least_words` words, and for the words `least_common` common ones.
+    The nearest reference counts, and only where there are `least_words` words. To have few common words is a sign of its own.
     """
     literal = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     nearest = lambda kind: let(share(f[kind]), lambda p: F.least(*[js_distance(p, literal(q)) for q in fixed[kind].values()]))
     base = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > repeats * f["n_words"])
 
     def of(x: Column) -> Column:
-        bad = (f["n_words"] >= least_words) & ((x["chars"] > far_chars) | ((f["n_common"] >= least_common) & (x["words"] > far_words)))
+        bad = (f["n_words"] >= least_words) & ((x["chars"] > far_chars) | (x["words"] > far_words))
         return F.struct(base.alias("base_failed"), (~base & ~bad).alias("kept"), x["chars"].alias("char_distance"), x["words"].alias("word_distance"))
 
     return let(F.struct(nearest("chars").alias("chars"), nearest("words").alias("words")), of)
