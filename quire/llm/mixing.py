@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from quire.llm.common import free_name, let, materialise
 from quire.llm.divergence import split_words
 
-#: Labelled documents learnt from (expected number, taken by hash of the id); words the classifier knows at most, for each domain.
-MOST_LABELLED, MOST_WORDS = 20_000, 64
-#: A word counts for a domain if it is in this share of its documents, so many times as frequent as in all documents, and if
-#: its log-likelihood ratio against an even spread is so high that chance, over all words of a sample, doesn't reach it.
-LEAST_SHARE, LEAST_LIFT, LEAST_RATIO = 0.02, 3.0, 25.0
+#: Labelled documents learnt from (expected number, taken by hash of the id).
+MOST_LABELLED = 20_000
+#: A word counts for a domain if it is so many times as frequent there as in all documents, and if its log-likelihood ratio
+#: against an even spread is so high that chance, over all words of a sample, doesn't reach it. No share of a domain's documents
+#: is asked for, since words of a small language have a small one.
+LEAST_LIFT, LEAST_RATIO = 3.0, 25.0
 STEPS, TOLERANCE = 60, 1e-6
 #: Decimals of the posteriors.
 DIGITS = 6
@@ -97,10 +98,10 @@ def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
     known = counts.filter(F.col("word").startswith(" "))
     for i in range(len(domains)):
         if n[i]:
-            share, lift = F.col(f"n{i}") / n[i], (F.col(f"n{i}") / n[i]) / (F.col("n") / total)
+            lift = (F.col(f"n{i}") / n[i]) / (F.col("n") / total)
             sure = log_likelihood_ratio(F.col(f"n{i}"), F.col("n"), n[i] / total) >= LEAST_RATIO
-            known = known.union(counts.filter((share >= LEAST_SHARE) & (lift >= LEAST_LIFT) & sure).orderBy(F.desc(share * F.log(lift)), "word").limit(MOST_WORDS))
-    found = known.distinct().orderBy("word").collect()  # MOST_WORDS for each domain, and the signs
+            known = known.union(counts.filter((lift >= LEAST_LIFT) & sure))
+    found = known.distinct().orderBy("word").collect()  # a few for each thousand labelled documents, and the signs
     prior = [log((k + 0.5) / (total + 0.5 * len(n))) for k in n]
     weights = []
     for r in found:

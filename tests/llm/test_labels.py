@@ -1,8 +1,8 @@
-"""What the labels say of op3's verdicts."""
+"""What the labels say of op3's verdicts and op7's posteriors."""
 
 from pyspark.sql import functions as F
 
-from quire.llm import divergence, mixing
+from quire.llm import divergence, mixing, queries
 
 
 def test_verdicts_against_labels(spark):
@@ -13,3 +13,13 @@ def test_verdicts_against_labels(spark):
     assert len(bars) >= 20 and sum(bars) <= 0.2 * len(bars)
     assert len(low) >= 10 and sum(low) <= 0.2 * len(low)
     assert sum(good) >= 0.99 * len(good)
+
+
+def test_toxic_documents_of_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = mixing.mixing_rates(docs, labels, queries.WEIGHTS).join(docs.select("doc_id", "lang"), "doc_id").join(mixing.label_domains(labels), "doc_id")
+    share = lambda d: {r.lang: r.x for r in rows.filter(F.col("domain") == d).groupBy("lang").agg(F.avg((F.col(f"p_{d}") >= 0.5).cast("int")).alias("x")).collect()}
+    toxic, good = share("toxic"), share("good")
+    assert set(toxic) == {"en", "fr", "de", "es"} and min(toxic.values()) >= 0.5
+    assert min(good.values()) >= 0.99
