@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,29 +21,42 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+#: Folders made in this process, for remove_scratch.
+MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/quire-{uuid.uuid4().hex}/{tag}"
+    MADE.append(f"{scratch_dir(spark)}/quire-{uuid.uuid4().hex}")
+    return f"{MADE[-1]}/{tag}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Writes `df` to the shared folder (in folders for the values of a string column `by`) and reads it back, which cuts the
+    lineage and survives lost executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner delete the shuffle files of phases whose DataFrames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def remove_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this process, for callers who have written their results; returns how many."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for name in MADE:
+        path = hadoop.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    n = len(MADE)
+    MADE.clear()
+    return n
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -63,9 +76,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_count(df: DataFrame, block_bytes: int, most: int = 1 << 20) -> int:
+def block_count(df: DataFrame, block_bytes: int) -> int:
     """Blocks so that each holds about `block_bytes` of the input, and at least one for each shuffle partition."""
-    return max(shuffle_partitions(df.sparkSession), min(most, math.ceil(input_bytes(df) / block_bytes)))
+    return max(shuffle_partitions(df.sparkSession), math.ceil(input_bytes(df) / block_bytes))
+
+
+def batched(batches, most: int):
+    """Pandas frames with a column text, cut and put together to about `most` characters each; a longer text is one of its own."""
+    held, size = [], 0
+    for pdf in batches:
+        for a, b in slices([len(t) if isinstance(t, str) else 0 for t in pdf["text"]], most):
+            part = pdf.iloc[a:b]
+            n = sum(len(t) for t in part["text"] if isinstance(t, str))
+            if held and size + n > most:
+                yield pd.concat(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pd.concat(held)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -2,13 +2,15 @@
 
 The trie of byte contexts up to `order` bytes is the table of all (context, next byte) grams with their counts.
 Its nodes never meet in one place: every block of documents asks for the grams that it holds, the requests are
-dealt out by the last three context bytes, each shard adds up counts and turns them into code lengths, and the
-answers go back to the blocks. Memory is bounded: a block by its bytes, a shard by salting the blocks (`FAN`
-requests meet at a time) and by the 2^24 grams that a three-byte context has at order 5.
+dealt out by the last three context bytes, and each shard turns its counts into code lengths. Requests go up a tree, FAN to a
+node, each node adding up what its children ask for; answers come down the same way, each child getting the values of its own
+grams only. So a task holds FAN requests of one shard and what is shipped grows with the corpus, however large the model.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import Counter
 from itertools import chain
 
@@ -17,30 +19,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import block_count, materialise, pack, pack_sorted, release_shuffles, remainder, unpack, unpack_sorted, unzip, words_of, zip_bytes
+from quire.llm.common import LOWER, batched, block_count, materialise, pack, pack_sorted, remainder, unpack, unpack_sorted, unzip, zip_bytes
 
-#: Ends a document; white space never occurs inside a token, so the byte is free. Also fills the context before the first byte.
-END = 10
-#: Requests of at most so many blocks meet in one task.
-FAN = 256
-#: More shards than this aren't made; blocks times shards is the number of request rows.
-MOST_SHARDS = 4096
+#: Ends a document and fills the context before its first byte; no UTF-8 text holds it.
+END = 255
+#: Requests that meet in a node of the tree (expected number).
+FAN = 128
+#: Shards of the grams; a block's request has a row for each, so there aren't more, and a shard's share of the model is as bounded as the model.
+SHARDS = 4096
 CHUNK = 4 << 20
 #: Taken off every count for the escape: of total T over q symbols, escapes have ESCAPE * q / T.
 ESCAPE = 0.3
 
-REQUEST = "block int, kind string, shard int, salt int, keys binary, counts binary"
-MERGED = "kind string, shard int, salt int, keys binary, counts binary"
+#: `block` rows: kind docs has the texts, kinds gram and token the requests; in the tree, node and salt are those of a row and of its parent.
+BLOCK = "kind string, node long, shard int, keys binary, counts binary, ids array<string>, held array<boolean>"
+SUMS = "kind string, shard int, node long, keys binary, counts binary"
 MODEL = "kind string, shard int, keys binary, vals binary, tokens long, vocab long"
-ANSWER = "block int, kind string, keys binary, vals binary"
+ANSWER = "kind string, shard int, node long, keys binary, vals binary"
+SCORED = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def stream_of(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stream_of(docs: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All documents as one byte array, each after `order` filling bytes: the array, first symbols, number of symbols."""
     fill, parts, sizes = bytes([END]) * order, [], np.empty(len(docs), dtype=np.int64)
-    for i, words in enumerate(docs):
-        body = b" ".join(words) + b" " if words else b""
-        parts += [fill, body, b"\n"]
+    for i, body in enumerate(docs):
+        parts += [fill, body, bytes([END])]
         sizes[i] = len(body) + 1
     starts = np.cumsum(sizes + order) - sizes
     return np.frombuffer(b"".join(parts), dtype=np.uint8), starts, sizes
@@ -75,7 +78,7 @@ def symbol_ranges(starts: np.ndarray, sizes: np.ndarray):
         i = j
 
 
-def count_grams(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+def count_grams(docs: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     data, starts, sizes = stream_of(docs, order)
     keys, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     for a, b, mask in symbol_ranges(starts, sizes):
@@ -107,34 +110,36 @@ def token_shard(tokens: list[bytes], shards: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), dtype=np.uint64, count=len(tokens)) % np.uint64(shards)
 
 
-def requests(order: int, shards: int):
-    """Of a block: distinct grams and tokens with their counts in the documents to learn from (0 where none)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, docs = int(pdf["block"].iloc[0]), [words_of(t) for t in pdf["text"]]
-        learn = pdf["learn"].to_numpy(dtype=bool)
-        known, kc = count_grams([d for d, x in zip(docs, learn) if x], order)
-        other, oc = count_grams([d for d, x in zip(docs, learn) if not x], order)
-        keys, counts = add_up(np.concatenate([known, other]), np.concatenate([kc, np.zeros_like(oc)]))
-        tokens = Counter(chain.from_iterable(d for d, x in zip(docs, learn) if x))
-        tokens.update(dict.fromkeys(set(chain.from_iterable(d for d, x in zip(docs, learn) if not x)), 0))
-        tokens[b"\n"] = int(learn.sum())
-        rows, salt = [], block // FAN
-        of = shard_of(keys, shards)
-        at = np.argsort(of, kind="stable")
-        keys, counts, of = keys[at], counts[at], of[at]
-        edges = np.searchsorted(of, np.arange(shards + 1))
-        for s in np.unique(of):
-            a, b = edges[s], edges[s + 1]
-            rows.append((block, "gram", int(s), salt, pack_sorted(keys[a:b]), pack(counts[a:b])))
-        names = sorted(tokens)
-        of = token_shard(names, shards).astype(np.int64)
-        at = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[at], np.arange(shards + 1))
-        for s in np.unique(of):
-            mine = [names[i] for i in at[edges[s] : edges[s + 1]]]
-            rows.append((block, "token", int(s), salt, zip_bytes(b" ".join(mine)), pack(np.array([tokens[t] for t in mine], dtype=np.int64))))
-        return pd.DataFrame(rows, columns=["block", "kind", "shard", "salt", "keys", "counts"])
+def requests(order: int, shards: int, block_bytes: int):
+    """Packs documents in blocks: a row with the texts, and rows with the distinct grams and tokens and their counts in the
+    documents to learn from (0 where none), a row for each shard."""
+
+    def run(batches):
+        for pdf in batched(batches, block_bytes):
+            block, learn = uuid.uuid4().int >> 65, pdf["learn"].to_numpy(dtype=bool)
+            docs = [t.encode("utf-8", "replace").translate(LOWER) if isinstance(t, str) else b"" for t in pdf["text"]]
+            rows = [("docs", block, 0, zip_bytes(b"".join(docs)), pack(np.array([len(d) for d in docs], dtype="<i8")), list(pdf["doc_id"]), pdf["held_out"].tolist())]
+            known, kc = count_grams([d for d, x in zip(docs, learn) if x], order)
+            other, oc = count_grams([d for d, x in zip(docs, learn) if not x], order)
+            keys, counts = add_up(np.concatenate([known, other]), np.concatenate([kc, np.zeros_like(oc)]))
+            tokens = Counter(chain.from_iterable(d.split() for d, x in zip(docs, learn) if x))
+            tokens.update(dict.fromkeys(set(chain.from_iterable(d.split() for d, x in zip(docs, learn) if not x)), 0))
+            tokens[b"\n"] = int(learn.sum())
+            of = shard_of(keys, shards)
+            at = np.argsort(of, kind="stable")
+            keys, counts, of = keys[at], counts[at], of[at]
+            edges = np.searchsorted(of, np.arange(shards + 1))
+            for s in np.unique(of):
+                a, b = edges[s], edges[s + 1]
+                rows.append(("gram", block, int(s), pack_sorted(keys[a:b]), pack(counts[a:b]), None, None))
+            names = sorted(tokens)
+            of = token_shard(names, shards).astype(np.int64)
+            at = np.argsort(of, kind="stable")
+            edges = np.searchsorted(of[at], np.arange(shards + 1))
+            for s in np.unique(of):
+                mine = [names[i] for i in at[edges[s] : edges[s + 1]]]
+                rows.append(("token", block, int(s), zip_bytes(b" ".join(mine)), pack(np.array([tokens[t] for t in mine], dtype=np.int64)), None, None))
+            yield pd.DataFrame(rows, columns=["kind", "node", "shard", "keys", "counts", "ids", "held"])
 
     return run
 
@@ -157,9 +162,10 @@ def merged(kind: str, keys: pd.Series, counts: pd.Series) -> tuple[bytes, bytes]
 
 
 def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the children of a node ask for, added up."""
     one = pdf.iloc[0]
     k, c = merged(one["kind"], pdf["keys"], pdf["counts"])
-    return pd.DataFrame([(one["kind"], int(one["shard"]), int(one["salt"]), k, c)], columns=["kind", "shard", "salt", "keys", "counts"])
+    return pd.DataFrame([(one["kind"], int(one["shard"]), int(one["salt"]), k, c)], columns=["kind", "shard", "node", "keys", "counts"])
 
 
 def low_grams(batches):
@@ -170,6 +176,11 @@ def low_grams(batches):
             yield pd.DataFrame({"gram": key[n > 0].astype(np.int64), "n": n[n > 0]})
 
 
+def low_packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("gram")
+    return pd.DataFrame({"keys": [pack_sorted(pdf["gram"].to_numpy().astype(np.uint64))], "counts": [pack(pdf["n"].to_numpy(dtype=np.int64))]})
+
+
 class Level:
     """Nodes whose contexts have k bytes: grams with counts; for each context the total, the number of symbols, and
     what is left of its parent's total and symbols when its own symbols are excluded."""
@@ -245,36 +256,37 @@ def low_levels(grams: np.ndarray, counts: np.ndarray) -> list[Level]:
 def models(order: int, low):
     """Of a shard: code lengths of all requested grams, or corpus counts of all requested tokens."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, shard = pdf["kind"].iloc[0], int(pdf["shard"].iloc[0])
-        keys, counts = merged(kind, pdf["keys"], pdf["counts"])
-        if kind == "token":
-            n = unpack(counts, "<i8")
-            return pd.DataFrame([(kind, shard, keys, counts, int(n.sum()), int((n > 0).sum()))], columns=["kind", "shard", "keys", "vals", "tokens", "vocab"])
-        levels = low_levels(*low.value)
-        k, c = unpack_sorted(keys), unpack(counts, "<i8")
-        for n in range(3, order + 1):
-            levels.append(Level(n, k[c > 0], c[c > 0], levels[-1]))
-        vals = np.concatenate([code_lengths(k[a : a + CHUNK], levels) for a in range(0, len(k), CHUNK)])
-        return pd.DataFrame([(kind, shard, keys, pack(vals.astype("<f4")), 0, 0)], columns=["kind", "shard", "keys", "vals", "tokens", "vocab"])
+    def run(batches):
+        for pdf in batches:
+            for kind, shard, keys, counts in zip(pdf["kind"], pdf["shard"], pdf["keys"], pdf["counts"]):
+                c = unpack(counts, "<i8")
+                if kind == "token":
+                    row = (kind, int(shard), keys, counts, int(c.sum()), int((c > 0).sum()))
+                else:
+                    levels, k = low_levels(*low.value), unpack_sorted(keys)
+                    for n in range(3, order + 1):
+                        levels.append(Level(n, k[c > 0], c[c > 0], levels[-1]))
+                    vals = np.concatenate([code_lengths(k[a : a + CHUNK], levels) for a in range(0, len(k), CHUNK)])
+                    row = (kind, int(shard), keys, pack(vals.astype("<f4")), 0, 0)
+                yield pd.DataFrame([row], columns=["kind", "shard", "keys", "vals", "tokens", "vocab"])
 
     return run
 
 
 def answers(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Of a shard: for each block's request the values of its keys."""
+    """For each child of a node the values of its own keys, from those of the node."""
     rows = []
     if len(left) and len(right):
-        kind, keys, vals = right["kind"].iloc[0], right["keys"].iloc[0], right["vals"].iloc[0]
+        kind, shard, keys, vals = (right[c].iloc[0] for c in ("kind", "shard", "keys", "vals"))
         if kind == "gram":
             table, vals = unpack_sorted(keys), unpack(vals, "<f4")
-            for block, k in zip(left["block"], left["keys"]):
-                rows.append((block, kind, k, pack(vals[np.searchsorted(table, unpack_sorted(k))])))
+            for node, k in zip(left["node"], left["keys"]):
+                rows.append((kind, int(shard), node, k, pack(vals[np.searchsorted(table, unpack_sorted(k))])))
         else:
             table = dict(zip(split_tokens(keys), unpack(vals, "<i8").tolist()))
-            for block, k in zip(left["block"], left["keys"]):
-                rows.append((block, kind, k, pack(np.array([table[t] for t in split_tokens(k)], dtype=np.int64))))
-    return pd.DataFrame(rows, columns=["block", "kind", "keys", "vals"])
+            for node, k in zip(left["node"], left["keys"]):
+                rows.append((kind, int(shard), node, k, pack(np.array([table[t] for t in split_tokens(k)], dtype=np.int64))))
+    return pd.DataFrame(rows, columns=["kind", "shard", "node", "keys", "vals"])
 
 
 class Lookup:
@@ -309,12 +321,15 @@ class Lookup:
 
 
 def scores(order: int, tokens: int, vocab: int):
-    def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts = [words_of(t) for t in docs["text"]]
+    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        one = block.iloc[0]
+        raw, size = unzip(one["keys"]), unpack(one["counts"], "<i8")
+        ends = np.cumsum(size).tolist()
+        docs = [raw[b - n : b] for b, n in zip(ends, size.tolist())]
         got = found[found["kind"] == "gram"]
         table = Lookup(np.concatenate([unpack_sorted(k) for k in got["keys"]]), np.concatenate([unpack(v, "<f4") for v in got["vals"]]).astype(np.float64))
-        data, starts, sizes = stream_of(texts, order)
-        score = np.zeros(len(texts))
+        data, starts, sizes = stream_of(docs, order)
+        score = np.zeros(len(docs))
         for a, b, mask in symbol_ranges(starts, sizes):
             grams = grams_at(data, a, b, order)
             part = np.zeros(b - a + 1)
@@ -327,43 +342,52 @@ def scores(order: int, tokens: int, vocab: int):
         counts: dict[bytes, int] = {}
         for _, x in found[found["kind"] == "token"].iterrows():
             counts.update(zip(split_tokens(x["keys"]), unpack(x["vals"], "<i8").tolist()))
-        n = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-        each = np.array(list(map(counts.__getitem__, chain.from_iterable([*t, b"\n"] for t in texts))), dtype=np.int64)
+        words = [d.split() for d in docs]
+        n = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        each = np.array(list(map(counts.__getitem__, chain.from_iterable([*w, b"\n"] for w in words))), dtype=np.int64)
         first = np.cumsum(n) - n
         known = np.add.reduceat((each > 0).astype(np.int64), first)
         base = np.add.reduceat(np.log10(each + 1), first) - n * np.log10(tokens + vocab + 1)
-        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n, "n_known": known, "train_tokens": tokens, "base_score": base, "score": score})
+        return pd.DataFrame({"doc_id": list(one["ids"]), "held_out": np.asarray(one["held"], dtype=bool), "n_tokens": n, "n_known": known, "train_tokens": tokens, "base_score": base, "score": score})
 
     return run
 
 
-def ppm_scores(docs: DataFrame, order: int = 5, modulus: int = 7, held: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def ppm_scores(docs: DataFrame, order: int = 5, modulus: int = 7, held: int = 2, block_bytes: int = 8 << 20, fan: int = FAN) -> DataFrame:
     """Scores every document under a PPM model learnt from those whose crc32(doc_id) mod `modulus` isn't `held`.
 
-    Scored is the text as base_score sees it: words with A-Z lower-cased, a space after each, then one end byte.
+    Scored is the whole text with A-Z lower-cased, white space and all, and then one end symbol.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Null and empty texts are one
     end token. A null doc_id has no remainder: learnt from, not held out. Repeated rows count as often as they occur.
     An empty table gives no rows; with nothing to learn from every byte has probability 1/256. `order` is 3 to 7;
-    `block_bytes` is input bytes a block.
+    `block_bytes` is input characters a block; `fan` requests meet at a time.
     """
     if not 3 <= order <= 7:
         raise ValueError("order must be 3 to 7")
     spark = docs.sparkSession
-    blocks = block_count(docs, block_bytes)
-    shards = min(blocks, MOST_SHARDS)
+    shards = min(block_count(docs, block_bytes), SHARDS)
     left = remainder(F.col("doc_id"), modulus)
-    blocked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(left == held, F.lit(False)).alias("held_out"), F.coalesce(left != held, F.lit(True)).alias("learn"), F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(blocks)).cast("int").alias("block"))
-
-    asked = materialise(blocked.select("block", "text", "learn").groupBy("block").applyInPandas(requests(order, shards), REQUEST), "requests")
-    release_shuffles(spark)
-    sums = materialise(asked.groupBy("kind", "shard", "salt").applyInPandas(merge, MERGED), "sums")
-    low = sums.filter("kind = 'gram'").select("keys", "counts").mapInPandas(low_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toPandas()  # 2^24 rows at most, whatever the corpus
-    table = spark.sparkContext.broadcast((low["gram"].to_numpy(dtype=np.uint64), low["n"].to_numpy(dtype=np.int64)))
-    model = materialise(sums.groupBy("kind", "shard").applyInPandas(models(order, table), MODEL), "model")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(left == held, F.lit(False)).alias("held_out"), F.coalesce(left != held, F.lit(True)).alias("learn"))
+    blocks = materialise(rows.mapInPandas(requests(order, shards, block_bytes), BLOCK), "blocks", "kind")
+    texts, asked = blocks.filter("kind = 'docs'"), blocks.filter("kind <> 'docs'").select("kind", "shard", "node", "keys", "counts")
+
+    width, levels = texts.count(), [asked]
+    while True:  # up the tree: what a node's children ask for
+        width = max(1, math.ceil(width / fan))
+        levels[-1] = levels[-1].withColumn("salt", F.pmod("node", F.lit(width)))
+        levels.append(materialise(levels[-1].groupBy("kind", "shard", "salt").applyInPandas(merge, SUMS), "sums"))
+        if width == 1:
+            break
+    top = levels.pop()
+    low = top.filter("kind = 'gram'").select("keys", "counts").mapInPandas(low_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = low.groupBy(F.shiftright("gram", 16).alias("part")).applyInPandas(low_packed, "keys binary, counts binary").collect()  # 256 rows of 2^16 grams at most
+    found = sorted(((unpack_sorted(r["keys"]), unpack(r["counts"], "<i8")) for r in found), key=lambda x: int(x[0][0]))
+    empty = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+    table = spark.sparkContext.broadcast(tuple(np.concatenate(x) for x in zip(*[empty, *found])))
+    model = materialise(top.mapInPandas(models(order, table), MODEL), "model")
     total = model.agg(F.sum("tokens").alias("n"), F.sum("vocab").alias("v")).first()
-    release_shuffles(spark)
-    salts = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // FAN))).alias("salt")
-    told = asked.select("block", "kind", "shard", "salt", "keys").groupBy("kind", "shard", "salt").cogroup(model.select("kind", "shard", "keys", "vals", salts).groupBy("kind", "shard", "salt")).applyInPandas(answers, ANSWER)
-    out = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = blocked.select("block", "doc_id", "text", "held_out").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(scores(order, total["n"] or 0, total["v"] or 0), out)
+    told = model.select("kind", "shard", F.lit(0).cast("long").alias("node"), "keys", "vals")
+    for asked in reversed(levels):  # and down again: to each child its own part
+        told = asked.groupBy("kind", "shard", "salt").cogroup(told.withColumnRenamed("node", "salt").groupBy("kind", "shard", "salt")).applyInPandas(answers, ANSWER)
+    scored = texts.select("node", "keys", "counts", "ids", "held").groupBy("node").cogroup(told.groupBy("node")).applyInPandas(scores(order, total["n"] or 0, total["v"] or 0), SCORED)
     return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))  # as text on the way: pandas would turn nullable longs into doubles

@@ -1,14 +1,16 @@
-"""Token counts without token ids: pieces are counted once for each distinct pre-token of a block of texts and
-joined to the pre-token frequencies of its documents.
+"""Token counts without token ids: pieces are counted once for each distinct pre-token of the corpus and joined to the
+pre-token frequencies of every document.
 
 Pre-tokens here are the parts between ASCII white space. The tokenizer drops white space and none of its steps looks
 across it (NFC never composes with a space, its pattern matches no white space, its special strings hold none), so
-the pieces of a text are those of its parts. The distinct set is per Arrow block with a bounded table carried from
-block to block: nothing is shuffled, while a corpus-wide join would move the frequencies of every document.
+the pieces of a text are those of its parts. Documents are packed in blocks: a block's distinct parts, and for each document
+which of them it has and how often. Spark puts the parts of all blocks into one distinct table, whose pieces are counted
+once; counts go back to the blocks by a join, a row for each block and part whatever the number of documents.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,11 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Index, free_name, slices
+from quire.llm.common import Index, batched, materialise, pack, unpack
 
-#: Entries of the table carried from block to block.
-CARRY = 400_000
 SLICE = 8 << 20
+BLOCK = "block long, ids array<string>, sizes array<long>, docs binary, places binary, times binary, parts array<string>"
 
 
 @lru_cache(maxsize=4)
@@ -39,12 +40,15 @@ def load_tokenizer(path: str):
     return t
 
 
-def piece_counts(path: str, parts: list[str]) -> np.ndarray:
-    """Number of pieces of each part."""
-    t = load_tokenizer(path)
-    if path.endswith(".model"):
-        return np.array([len(x) for x in t.encode(parts, num_threads=1)], dtype=np.int64)
-    return np.array([len(x) for x in t.encode_batch_fast(parts, add_special_tokens=False)], dtype=np.int64)
+def piece_counts(path: str, part: Column) -> Column:
+    """Number of pieces of each part. Of what the library returns only the length is read: no ids leave it."""
+
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        t = load_tokenizer(path)
+        for s in series:
+            yield pd.Series([len(x) for x in t.encode_batch_fast(list(s), add_special_tokens=False)], dtype="int64")
+
+    return F.pandas_udf(run, "long").asNondeterministic()(part)
 
 
 def frequencies(texts: list[str | None], ids: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -65,32 +69,31 @@ def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def counter(path: str):
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ids = Index()
-        pieces = np.empty(0, dtype=np.int64)
-        for s in series:
-            texts = [t if isinstance(t, str) else None for t in s]
-            n_bytes = np.array([len(t.encode("utf-8", "replace")) if t else 0 for t in texts], dtype=np.int64)
-            n_tokens = np.zeros(len(texts), dtype=np.int64)
-            for a, b in slices(n_bytes, SLICE):
-                if len(ids) > CARRY:
-                    ids, pieces = Index(), pieces[:0]
-                flat, sizes = frequencies(texts[a:b], ids)
-                new = [w.decode() for w in list(ids)[len(pieces) :]]
-                if new:
-                    pieces = np.concatenate([pieces, piece_counts(path, new)])
-                n_tokens[a:b] = segment_sums(pieces[flat], sizes)
-            yield pd.DataFrame({"n_bytes": n_bytes, "n_tokens": n_tokens})
-
-    return run
-
-
-def token_counts(path: str, text: Column) -> Column:
-    """Struct of n_bytes and n_tokens of a text column; null counts as the empty text."""
-    if path.endswith(".model"):
-        raise ValueError("a sentencepiece model keeps white space, so its pieces aren't those of the parts")
-    return F.pandas_udf(counter(path), "n_bytes long, n_tokens long").asNondeterministic()(text)
+def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each block: ids and bytes of its documents, its distinct parts, and (document, part, times) of its frequencies."""
+    for pdf in batched(batches, SLICE):
+        texts = [t if isinstance(t, str) else None for t in pdf["text"]]
+        index = Index()
+        flat, sizes = frequencies(texts, index)
+        key, times = np.unique(np.repeat(np.arange(len(texts)), sizes) * len(index) + flat, return_counts=True)
+        doc, place = np.divmod(key, max(1, len(index)))
+        n_bytes = [len(t.encode("utf-8", "replace")) if t else 0 for t in texts]
+        blobs = [pack(x.astype("<i4")) for x in (doc, place, times)]
+        row = (uuid.uuid4().int >> 65, list(pdf["doc_id"]), n_bytes, *blobs, [w.decode() for w in index])
+        yield pd.DataFrame([row], columns=["block", "ids", "sizes", "docs", "places", "times", "parts"])
+
+
+def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per document the sum of times by pieces."""
+    for pdf in batches:
+        for _, r in pdf.iterrows():
+            n, doc, place, times = len(r["ids"]), *[unpack(r[c], "<i4") for c in ("docs", "places", "times")]
+            pieces = np.empty(0, dtype=np.int64) if r["pieces"] is None else np.asarray(r["pieces"], dtype=np.int64)
+            total = np.zeros(n, dtype=np.int64)
+            if len(doc):
+                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                total[doc[first]] = np.add.reduceat(times * pieces[place], first)
+            yield pd.DataFrame({"doc_id": list(r["ids"]), "n_bytes": r["sizes"], "n_tokens": total})
 
 
 def document_token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -99,6 +102,14 @@ def document_token_counts(docs: DataFrame, path: str, limit: int = 2048) -> Data
     Null and empty texts have 0 of both. Repeated rows and null ids give a row each; an empty table gives none;
     other columns are ignored, whatever their names.
     """
-    got = free_name(docs, "counted")
-    counted = docs.select("doc_id", token_counts(path, F.col("text")).alias(got))
-    return counted.select("doc_id", f"{got}.n_bytes", f"{got}.n_tokens", (F.col(f"{got}.n_tokens") > limit).alias("over_limit"))
+    if path.endswith(".model"):
+        raise ValueError("a sentencepiece model keeps white space, so its pieces aren't those of the parts")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text on the way: pandas would turn nullable longs into doubles
+    blocks = materialise(rows.mapInPandas(packed, BLOCK), "blocks")
+    parts = blocks.select("block", F.posexplode("parts").alias("place", "part"))
+    pieces = parts.select("part").distinct().select("part", piece_counts(path, F.col("part")).alias("pieces"))
+    # a row for each part of one block: bounded by the block's bytes
+    of_block = F.transform(F.array_sort(F.collect_list(F.struct("place", "pieces"))), lambda x: x["pieces"])
+    told = parts.join(pieces, "part").groupBy("block").agg(of_block.alias("pieces"))
+    counted = blocks.drop("parts").join(told, "block", "left").mapInPandas(summed, "doc_id string, n_bytes long, n_tokens long")
+    return counted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,7 +3,8 @@
 A file holds the ids of consecutive documents, each ended by `end_id`, cut into rows of `length` ids with a mask that is
 false on the filling of the last row. Ids take 16 bits where the vocabulary allows. Rows are read in place: a batch's
 buffers are the mapped file. Beside each file lies an index with the documents' ids and token counts. Range
-partitions by doc_id become one file each; writers use a name of their own and rename, so a repeated task is harmless.
+partitions by doc_id become one file each. Every attempt of a task writes files of its own, and only the manifest, which Spark commits
+once, says which of them count; so a lost or repeated attempt leaves files behind that nobody reads, and harms none.
 """
 
 from __future__ import annotations
@@ -107,18 +108,12 @@ def open_file(uri: str):
     return pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(path))
 
 
-def sequence_at(reader, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (a view of the file) and mask of one row of a file."""
+def sequence_at(reader, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of one row of a file, both views of it: a numpy array and an Arrow array of bits."""
     batch = reader.get_batch(row // ROWS)
     ids, mask = batch.column(0), batch.column(1)
     n, at = ids.type.list_size, row % ROWS
-    return ids.values.slice(at * n, n).to_numpy(), mask.values.slice(at * n, n).to_numpy(zero_copy_only=False)
-
-
-def rename(fs, old: str, new: str) -> None:
-    if fs.get_file_info(new).type != pa.fs.FileType.NotFound:
-        fs.delete_file(new)  # of an earlier try of the same task, with the same content
-    fs.move(old, new)
+    return ids.values.slice(at * n, n).to_numpy(), mask.values.slice(at * n, n)
 
 
 def writer(folder: str, tokenizer: str, end_id: int, width: str, length: int):
@@ -126,10 +121,10 @@ def writer(folder: str, tokenizer: str, end_id: int, width: str, length: int):
         part = TaskContext.get().partitionId()
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name, own, encode = f"{base}/part-{part:06d}", f"{base}/_{uuid.uuid4().hex}", shared_encoder(tokenizer)
+        name, encode = f"part-{part:06d}-{uuid.uuid4().hex}", shared_encoder(tokenizer)
         docs = ids = 0
         index_schema = pa.schema([("doc_id", pa.string()), ("n_tokens", pa.int64())])
-        with fs.open_output_stream(own + "-s") as a, fs.open_output_stream(own + "-d") as b:
+        with fs.open_output_stream(f"{base}/{name}.arrow") as a, fs.open_output_stream(f"{base}/{name}.docs.arrow") as b:
             sink, index = SequenceWriter(a, width, length), pa.ipc.new_file(b, index_schema)
             for pdf in batches:
                 texts = [t if isinstance(t, str) else None for t in pdf["text"]]
@@ -141,21 +136,19 @@ def writer(folder: str, tokenizer: str, end_id: int, width: str, length: int):
                     docs, ids = docs + j - i, ids + int(sizes.sum()) + j - i
             sink.close()
             index.close()
-        rename(fs, own + "-s", name + ".arrow")
-        rename(fs, own + "-d", name + ".docs.arrow")
-        yield pd.DataFrame({"part": [part], "file": [f"{folder}/part-{part:06d}"], "docs": [docs], "ids": [ids]})
+        yield pd.DataFrame({"part": [part], "file": [f"{folder}/{name}"], "docs": [docs], "ids": [ids]})
 
     return run
 
 
 def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, folder: str, length: int = LENGTH, part_bytes: int = 16 << 20) -> DataFrame:
-    """Encodes every text, in order of doc_id (nulls first, repeated ids by text), into files in `folder`.
+    """Encodes every text, in order of doc_id (nulls first, rows of one id by a hash of the text), into files in `folder`.
 
     Returns the manifest: part, file (without its endings), docs, ids. Null and empty texts are one end id.
     """
     width = "<u2" if max(load_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     n = block_count(docs, part_bytes)
-    placed = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    placed = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text")).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     manifest = materialise(placed.mapInPandas(writer(folder, tokenizer, end_id, width, length), "part int, file string, docs long, ids long"), "manifest")
     return manifest.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each file
 

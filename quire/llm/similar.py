@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, release_shuffles, words_of
+from quire.llm.common import materialise, words_of
 from quire.llm.vptree import components, shingle_hashes
 
 #: Bits in which fingerprints of similar sets may differ. At Jaccard 0.8 about 10 are expected, with a deviation of 3.
@@ -90,9 +90,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
     sets = F.broadcast(sets) if size <= BROADCAST_BYTES else sets
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    out = materialise(both.select("u", "v", shared.alias("k"), (F.size("a") + F.size("b")).alias("n")).filter(100 * F.col("k") >= percent * (F.col("n") - F.col("k"))).select("u", "v"), "confirmed")
-    release_shuffles(docs.sparkSession)
-    return out
+    return materialise(both.select("u", "v", shared.alias("k"), (F.size("a") + F.size("b")).alias("n")).filter(100 * F.col("k") >= percent * (F.col("n") - F.col("k"))).select("u", "v"), "confirmed")
 
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:
@@ -130,7 +128,6 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
         mixed = rows.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
         left = materialise(rows.join(mixed, "shingle"), "blocks")
         each = None
-        release_shuffles(spark)
         # each round has other nodes that all of a block are held against
         start = F.first(F.struct("node", "n", "at", "fp", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(0 if links is None else before)), "node").rowsBetween(Window.unboundedPreceding, 0))
         stars = left.withColumn("start", start).filter("root <> start.root").filter(alike("", "start."))

@@ -1,14 +1,16 @@
 """SimHash near-duplicates by vantage-point trees over fingerprints.
 
 Equal fingerprints are one node. A tree over a bounded sample of the nodes cuts Hamming space into shards: a node
-goes to the shard of its side, and visits shards whose border is within the radius (triangle bound). Each shard is cut again by a
-tree of its own and compared leaf by leaf; it reports a star for each group of linked nodes, never all pairs. Stars
+goes to the shard of its side, and visits shards whose border is within the radius (triangle bound). Shards that are still too large
+are cut again in the same way by trees over samples of their own, as often as it takes. In the end each shard is cut by a
+tree in its task and compared leaf by leaf; it reports a star for each group of linked nodes, never all pairs. Stars
 meet in connected components by alternating large-star and small-star rounds.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from itertools import accumulate
 
 import numpy as np
@@ -21,8 +23,10 @@ from quire.llm.common import materialise, slices, words_of
 
 #: Nodes a shard should hold, and a leaf inside a shard.
 SHARD, LEAF = 4096, 512
-#: One node in SAMPLE builds the first tree, and no more than MOST_SAMPLED.
-SAMPLE, MOST_SAMPLED = 16, 1 << 16
+#: One node in SAMPLE builds a tree over shards, and no more than MOST_SAMPLED (expected number); so a tree has fewer leaves than LEAVES.
+SAMPLE, MOST_SAMPLED, LEAVES = 16, 1 << 16, 1 << 14
+#: Rows (nodes and visitors) of a shard that are cut again by another tree.
+SPLIT = 1 << 20
 SLICE = 2 << 20
 PAIRS = 1 << 21
 
@@ -168,12 +172,16 @@ def router(tree, radius: int):
     return run
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of links (u, v): rows (node, root) for every linked node but the root itself."""
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of links (u, v): rows (node, root) for every linked node but the root itself.
+
+    Rounds go on until nothing changes; their number grows with the logarithm of the longest chain. A root with many nodes is a
+    key with many rows on one side of a join, one on the other, which Spark splits.
+    """
     # each round: all neighbours above a node, then those below it, are linked to its smallest neighbour
     edges = materialise(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         small = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(small, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -184,10 +192,56 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError("the components did not settle")
 
 
-def near_links(nodes: DataFrame, radius: int) -> DataFrame:
+def planter(depth: int):
+    """A tree over the sample of one shard."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = pdf.sort_values("fp")["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(Tree(points, depth))]})
+
+    return run
+
+
+def cutter(radius: int):
+    """Deals a piece of a shard out to the leaves of the shard's tree."""
+
+    def run(nodes: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if not len(nodes) or not len(trees):
+            return nodes[["shard", "fp", "home"]]
+        points = nodes["fp"].to_numpy(dtype=np.int64)
+        at, leaf, home = pickle.loads(trees["tree"].iloc[0]).route(points.view(np.uint64), radius, nodes["home"].to_numpy(dtype=bool))
+        return pd.DataFrame({"shard": nodes["shard"].iloc[0] * LEAVES + leaf, "fp": points[at], "home": home})
+
+    return run
+
+
+def cut_again(routed: DataFrame, radius: int, most: int, sampled: int) -> DataFrame:
+    """Cuts shards of over `most` rows by trees over samples of their own, until none is left or a cut no longer makes them smaller.
+
+    A shard's rows come in pieces of about `most`, each with a copy of the shard's tree, so that no task holds a whole shard.
+    """
+    done, largest = None, None
+    while True:
+        routed = materialise(routed, "routed")
+        sizes = materialise(routed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most), "sizes")
+        now = sizes.agg(F.max("n")).first()[0] or 0
+        if not now or (largest and now >= largest):
+            return routed if done is None else done.union(routed)
+        rest = routed.join(sizes, "shard", "left_anti")
+        done, largest = rest if done is None else done.union(rest), now
+        over = routed.join(sizes, "shard")
+        u = F.pmod(F.xxhash64("fp", F.lit(now)), F.lit(1 << 30)) / float(1 << 30)
+        some = over.filter("home").filter(u < F.least(F.lit(1.0 / SAMPLE), sampled / F.col("n")))
+        trees = some.groupBy("shard").applyInPandas(planter(max(1, math.ceil(math.log2(now / SHARD)))), "shard long, tree binary")
+        pieces = F.ceil(F.col("n") / most).cast("int")
+        copies = trees.join(sizes, "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+        dealt = over.withColumn("piece", F.pmod(F.xxhash64("fp"), pieces).cast("int"))
+        routed = dealt.groupBy("shard", "piece").cogroup(copies.groupBy("shard", "piece")).applyInPandas(cutter(radius), "shard long, fp long, home boolean")
+
+
+def near_links(nodes: DataFrame, radius: int, sampled: int = MOST_SAMPLED, split: int = SPLIT) -> DataFrame:
     """Stars (u, v) that connect all distinct fingerprints (column fp) within the radius of each other."""
     spark = nodes.sparkSession
     n = nodes.count()
@@ -195,9 +249,11 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     sample = []
     if depth:  # a bounded share of the nodes
         some = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0)
-        sample = [r[0] for r in some.orderBy(F.xxhash64("fp")).limit(MOST_SAMPLED).collect()]
-    tree = spark.sparkContext.broadcast(Tree(np.array(sample, dtype=np.int64).view(np.uint64), depth))
-    routed = nodes.select("fp").mapInPandas(router(tree, radius), "shard long, fp long, home boolean")
+        sample = [r[0] for r in some.orderBy(F.xxhash64("fp")).limit(sampled).collect()]
+    first = Tree(np.array(sample, dtype=np.int64).view(np.uint64), depth)
+    routed = nodes.select("fp").mapInPandas(router(spark.sparkContext.broadcast(first), radius), "shard long, fp long, home boolean")
+    if n > split // 4 * first.leaves:
+        routed = cut_again(routed, radius, split, sampled)
     return routed.groupBy("shard").applyInPandas(stars(radius), "u long, v long")
 
 

@@ -49,20 +49,19 @@ def held(i, n, r):
 def ppm_brute(rows, order=5):
     """Counts by context in dictionaries; a symbol is searched from the longest context down."""
     counts, vocab = defaultdict(Counter), Counter()
-    stream = lambda w: b"".join(x + b" " for x in w) + b"\n"
+    fill = b"\xff" * order
+    stream = lambda t: fill + (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) + b"\xff"
     for i, t in rows:
         if not held(i, 7, 2):
-            w = words(t)
-            vocab.update(w)
+            vocab.update(words(t))
             vocab[b"\n"] += 1
-            s = b"\n" * order + stream(w)
+            s = stream(t)
             for k in range(order, len(s)):
                 for n in range(order + 1):
                     counts[s[k - n : k]][s[k]] += 1
     out = []
     for i, t in rows:
-        w, score = words(t), 0.0
-        s = b"\n" * order + stream(w)
+        w, score, s = words(t), 0.0, stream(t)
         for k in range(order, len(s)):
             out_of = set()
             for n in range(order, -1, -1):
@@ -82,8 +81,8 @@ def ppm_brute(rows, order=5):
     return sorted(out, key=str)
 
 
-def ppm_rows(df):
-    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 1)) for r in ppm.ppm_scores(df).collect()), key=str)
+def ppm_rows(df, **parameters):
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 1)) for r in ppm.ppm_scores(df, **parameters).collect()), key=str)
 
 
 def close(a, b):
@@ -95,10 +94,19 @@ def close(a, b):
 
 def test_ppm(docs, odd):
     some = docs.filter("doc_id < 60")
-    close(ppm_rows(some), ppm_brute(texts(some)))
+    want = ppm_brute(texts(some))
+    close(ppm_rows(some), want)
+    close(ppm_rows(some, block_bytes=4000, fan=3), want)  # many blocks, a tree of several levels
     close(ppm_rows(odd), ppm_brute(texts(odd)))
 
 
+def test_ppm_reads_layout(spark):
+    """Texts that differ in white space only have the same base_score, and scores of their own."""
+    lines = [(i, "one two\nthree four\n\n  five") for i in range(40)] + [(100, "one two three four five"), (101, "one two\nthree four\n\n  five")]
+    got = {r.doc_id: r for r in ppm.ppm_scores(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score) and got[101].score > got[100].score + 1
+
+
 def test_token_counts(docs, odd):
     t = Tokenizer.from_file(WORD)
     for df in (docs, odd):
@@ -233,7 +241,7 @@ def test_sequences(docs, odd, tmp_path):
             ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
             assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
             start += len(ids)
-    first = sorted((tmp_path / "ids").glob("part-*[0-9].arrow"))[0]
+    first = sorted((tmp_path / "ids").glob("part-*[0-9a-f].arrow"))[0]
     ids, mask = sequences.sequence_at(sequences.open_file(f"file://{first}"), 1)
     assert len(ids) == len(mask) == sequences.LENGTH and not ids.flags.owndata
 
