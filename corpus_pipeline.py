@@ -17,18 +17,27 @@ from quire.llm.similar import similar_components
 LEAST_CONFIDENCE = 0.5
 #: Near-duplicates: words of a shingle, and least Jaccard similarity of the shingle sets in percent.
 SHINGLE_WORDS, LEAST_SIMILAR = 5, 80
-#: Shares of the tokens by domain, and the wanted tokens in terms of those there are: good documents are wanted more
-#: often than they occur, so none is left out; toxic ones aren't wanted.
-WEIGHTS, SCALE = {"good": 0.98, "low": 0.02, "toxic": 0.0}, 1.3
+#: Ids of dropped or repeated documents up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Shares of the tokens by domain; good documents are wanted a little more often than they occur, so none of them is left
+#: out, and toxic ones aren't wanted.
+WEIGHTS, SCALE, WHOLE = {"good": 0.98, "low": 0.02, "toxic": 0.0}, 1.02, "good"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts fail the base rule. Repeated rows, null ids, and other columns pass through as they are.
+    """
     return keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence; learns from the lang of the documents themselves."""
+    """Documents whose language is told with confidence; learns from the lang of the documents themselves.
+
+    Texts that are null or hold no letter have no language and go; so do all where no row has a lang. Repeated rows count as
+    often as they occur, null ids and other columns pass through as they are.
+    """
     told = free_name(docs, "told")
     model = fit_languages(docs)
     marked = docs.withColumn(told, predict_language(model, spark, F.col("text")))
@@ -38,27 +47,45 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; rows without one are kept, since no group can name them.
+    Null, empty and blank texts are copies of each other. Rows that repeat a doc_id are one document, the first by a hash of its
+    text. Rows without a doc_id are told apart by a hash of their text and come after all others. Of an empty table nothing is left; other
+    columns are kept, whatever their names.
     """
-    found = similar_components(docs.filter("doc_id is not null"), SHINGLE_WORDS, LEAST_SIMILAR)
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    order = free_name(docs, "order")
-    one = kept.withColumn(order, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter(f"{order} = 1").drop(order)
-    return one.union(docs.filter("doc_id is null"))
+    key, order = free_name(docs, "key"), free_name(docs, "order")
+    unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    found = materialise(similar_components(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, LEAST_SIMILAR), "classes")
+    named = found.select(F.col("component_id").alias("doc_id")).distinct()
+    gone = materialise(found.select("doc_id").distinct().join(named, "doc_id", "left_anti").select(F.col("doc_id").alias(key)), "gone")
+    again = materialise(keyed.groupBy(key).agg(F.count("*").alias(order)).filter(F.col(order) > 1).select(key), "again")
+    gone, again = (F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in (gone, again))
+    kept = keyed.join(gone, key, "left_anti")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text")))
+    one = kept.join(again, key, "left_semi").withColumn(order, first).filter(F.col(order) == 1)
+    return kept.join(again, key, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that meet the target weights."""
-    return drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, SCALE)
+    """Documents drawn at the rates that meet the target weights; a rate over one gives copies.
+
+    Rows with null or empty texts weigh nothing and are drawn like others; identical rows are drawn alike. Null ids and other
+    columns pass through as they are.
+    """
+    return drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, SCALE, WHOLE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the bytes decoded from them."""
+    """Token ids of every document, with digests of the ids and of the bytes decoded from them; none for null and empty texts."""
     return document_codes(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
-STAGES = [("quality rules", quality), ("language ID", language), ("SimHash near-dedup", near_dedup), ("mixing sources to target weights", mixture), ("byte-level BPE encoding and decoding", encode)]
+STAGES = [
+    ("quality rules", quality),
+    ("language ID", language),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mixture),
+    ("byte-level BPE encoding and decoding", encode),
+]
 #: The stages learn, iterate and link, which SQL can't express; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
