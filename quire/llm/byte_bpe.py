@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import Index, free_name, slices
 from quire.llm.pretokens import segment_sums
 
-CARRY = 700_000
+CARRY = 250_000
 SLICE = 4 << 20
 
 
@@ -195,7 +195,7 @@ def coder(path: str, pattern: str, with_ids: bool):
                     mine = flat[at[k] : at[k] + counts[k]]
                     own = ids[ranges(starts[mine], sizes[mine])]
                     row = (n, hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(vocabulary.decode(own).tobytes()).hexdigest())
-                    rows.append((*row, own.tolist()) if with_ids else row)
+                    rows.append((*row, own.astype(np.int64)) if with_ids else row)  # arrays: a list would hold an object for each id
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     return run

@@ -1,6 +1,8 @@
 """Near-duplicates by exact Jaccard similarity of shingle sets, with SimHash in front of it.
 
-Equal sets are one node. Two sets as similar as wanted share one of their first shingles, if these are put in one order for
+Equal sets are one node. Fingerprints that differ in few bits come first: the vantage-point shards of vptree find them, the sets confirm them.
+A similarity of 0.8 leaves up to some 20 of 64 bits different, too wide for triangle bounds to prune anything, so the other pairs come from
+the shingles. Two sets as similar as wanted share one of their first shingles, if these are put in one order for
 all (rare ones first), and as many are taken as a partner may lack: so each of these shingles is a block that holds all pairs to
 look at. Lengths, places in the order and fingerprints over the sets leave few, which are confirmed by the sets themselves. Links to one
 node of a block come before all other pairs, so that a large group of copies isn't compared each with each.
@@ -15,17 +17,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialise, words_of
-from quire.llm.vptree import components, shingle_hashes
+from quire.llm.vptree import components, near_links, shingle_hashes
 
+#: Bits up to which vantage-point shards look for fingerprints.
+NEAR = 3
 #: Bits in which fingerprints of similar sets may differ. At Jaccard 0.8 about 10 are expected, with a deviation of 3.
 WIDE = 24
 #: Documents (expected number) that tell which shingles are common: those that so many of them have, MOST_COMMON at most. They
 #: decide the order of shingles only, not the result.
-SAMPLED, LEAST_SEEN, MOST_COMMON = 20_000, 4, 1 << 18
+SAMPLED, LEAST_SEEN, MOST_COMMON = 10_000, 3, 1 << 18
 #: Blocks get another first node while a round's links are this share of the nodes.
 GO_ON = 0.01
-#: Nodes to confirm, and bytes of their sets, that are broadcast.
-BROADCAST_NODES, BROADCAST_BYTES = 500_000, 16 << 20
+#: Pairs to confirm, and bytes of the sets they are held against, that are broadcast.
+BROADCAST_NODES, BROADCAST_BYTES = 300_000, 16 << 20
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -72,25 +76,47 @@ def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray,
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are as similar as wanted."""
+    """The pairs (u, v) of nodes whose sets are as similar as wanted.
+
+    Sets of the nodes v, of which there are few as many u are held against one, are made once and brought to the texts of the nodes u.
+    """
     pairs = materialise(pairs, "pairs")
-    need = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id")), "need")
-    few = need.count() <= BROADCAST_NODES
+    small = lambda df, rows: F.broadcast(df) if df.count() <= rows else df
+    hubs = materialise(pairs.select(F.col("v").alias("node")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id")), "hubs")
+    asked = materialise(pairs.join(nodes, F.col("u") == F.col("node")).select(F.col("first").alias("doc_id"), "u", "v"), "asked")
 
-    def run(batches):
+    def sets_of(batches):
         for pdf in batches:
             sets = [shingle_set(t, words, seed) for t in pdf["text"]]
             # a doc_id may repeat with another text
             right = [node_of(s) == k for s, k in zip(sets, pdf["node"])]
-            yield pd.DataFrame({"node": pdf["node"][right], "s": [s.view(np.int64) for s, x in zip(sets, right) if x]})
+            yield pd.DataFrame({"v": pdf["node"][right], "s": [s.view(np.int64) for s, x in zip(sets, right) if x]})
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(need) if few else need, "doc_id")
-    sets = materialise(texts.mapInPandas(run, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    def compared(batches):
+        last, mine, node = None, None, None
+        for pdf in batches:
+            keep = np.zeros(len(pdf), dtype=bool)
+            for i, (t, u, other) in enumerate(zip(pdf["text"], pdf["u"], pdf["s"])):
+                if mine is None or t != last:
+                    last, mine = t, shingle_set(t, words, seed)
+                    node = node_of(mine)
+                if node == u:
+                    k = len(np.intersect1d(mine, np.asarray(other, dtype=np.int64).view(np.uint64), assume_unique=True))
+                    keep[i] = 100 * k >= percent * (len(mine) + len(other) - k)
+            yield pdf.loc[keep, ["u", "v"]]
+
+    texts = docs.select("doc_id", "text")
+    sets = materialise(texts.join(small(hubs, BROADCAST_NODES), "doc_id").select("node", "text").mapInPandas(sets_of, "v long, s array<long>").dropDuplicates(["v"]), "hub-sets")
     size = sets.agg(F.sum(8 * F.size("s"))).first()[0] or 0
-    sets = F.broadcast(sets) if size <= BROADCAST_BYTES else sets
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return materialise(both.select("u", "v", shared.alias("k"), (F.size("a") + F.size("b")).alias("n")).filter(100 * F.col("k") >= percent * (F.col("n") - F.col("k"))).select("u", "v"), "confirmed")
+    rows = texts.join(small(asked, BROADCAST_NODES), "doc_id").join(F.broadcast(sets) if size <= BROADCAST_BYTES else sets, "v")
+    return materialise(rows.select("u", "v", "text", "s").mapInPandas(compared, "u long, v long").distinct(), "confirmed")
+
+
+def still_mixed(blocks: DataFrame, named: DataFrame) -> DataFrame:
+    """The blocks with the roots of their nodes' components as they are now, without those that lie in one component."""
+    rows = materialise(blocks.drop("root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    mixed = rows.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
+    return materialise(rows.join(mixed, "shingle"), "blocks")
 
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:
@@ -112,7 +138,11 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = materialise(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n int, fp long, firsts array<long>"), "sets")
     nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    each = materialise(marked.dropDuplicates(["node"]).select(F.posexplode("firsts").alias("at", "shingle"), "node", "n", "fp", F.col("node").alias("root")), "firsts")
+    one = materialise(marked.select("node", "n", "fp", "firsts").dropDuplicates(["node"]), "one")
+    # most shingles stand in one set only; one shuffle of narrow rows finds the others and keeps their rows
+    each = one.select(F.posexplode("firsts").alias("at", "shingle"), "node").repartition("shingle")
+    shared = each.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("shingle")
+    blocks = materialise(each.join(shared, "shingle").join(one.select("node", "n", "fp"), "node").withColumn("root", F.col("node")), "blocks")
 
     def alike(x: str, y: str):
         of = lambda k: (F.col(f"{x}{k}"), F.col(f"{y}{k}"))
@@ -121,24 +151,28 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
         enough = (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
         return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & enough & (F.bit_count(a.bitwiseXOR(b)) <= WIDE)
 
-    c, links, total, left = F.col, None, nodes.count(), None
-    while left is None or new >= GO_ON * total:
+    c, total, left = F.col, nodes.count(), blocks
+    by_fp = materialise(one.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    near = near_links(by_fp.select("fp"), NEAR)
+    near = near.join(by_fp.select(c("fp").alias("u"), c("node").alias("x")), "u").join(by_fp.select(c("fp").alias("v"), c("node").alias("y")), "v")
+    same = one.select("fp", c("node").alias("u")).join(by_fp, "fp").filter("u <> node")
+    links = confirmed(near.select(c("x").alias("u"), c("y").alias("v")).union(same.select("u", c("node").alias("v"))), docs, nodes, words, percent, seed)
+    while True:
+        before = links.count()
+        joined = components(links)
+        named = joined.union(joined.select(c("root").alias("node"), "root")).distinct()
         # what has linked so far isn't looked at again; blocks of one component are done
-        rows = each if links is None else left.drop("root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rows.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
-        left = materialise(rows.join(mixed, "shingle"), "blocks")
-        each = None
+        left = still_mixed(left, named)
         # each round has other nodes that all of a block are held against
-        start = F.first(F.struct("node", "n", "at", "fp", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(0 if links is None else before)), "node").rowsBetween(Window.unboundedPreceding, 0))
+        start = F.first(F.struct("node", "n", "at", "fp", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(before)), "node").rowsBetween(Window.unboundedPreceding, 0))
         stars = left.withColumn("start", start).filter("root <> start.root").filter(alike("", "start."))
-        found = confirmed(stars.select(F.greatest("node", "start.node").alias("u"), F.least("node", "start.node").alias("v")).distinct(), docs, nodes, words, percent, seed)
-        links = found if links is None else links.union(found)
-        new, before = found.count(), links.count()
-        joined = components(links)
-        named = joined.union(joined.select(c("root").alias("node"), "root")).distinct()
-    left = materialise(left.drop("root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "blocks")
-    mixed = left.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
-    left = materialise(left.join(mixed, "shingle"), "blocks-mixed")
+        found = confirmed(stars.select(F.col("node").alias("u"), F.col("start.node").alias("v")).distinct(), docs, nodes, words, percent, seed)
+        links, new = links.union(found), found.count()
+        if new <= GO_ON * total:
+            break
+    joined = components(links)
+    named = joined.union(joined.select(c("root").alias("node"), "root")).distinct()
+    left = still_mixed(left, named)
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (c("x.shingle") == c("y.shingle")) & (c("x.node") > c("y.node")) & (c("x.root") != c("y.root")) & alike("x.", "y."))
     more = confirmed(pairs.select(c("x.node").alias("u"), c("y.node").alias("v")).distinct(), docs, nodes, words, percent, seed)
