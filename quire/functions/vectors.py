@@ -6,16 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def doubles(v: Column) -> Column:
+    return v.cast("array<double>")
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def distance(a: Column, b: Column, metric: str) -> Column:
-    """`cosine` (one less the cosine) or `l2sq` (squared Euclidean), in double."""
-    a, b = a.cast("array<double>"), b.cast("array<double>")
-    if metric == "l2sq":
-        return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
-    if metric != "cosine":
-        raise ValueError("metric must be cosine or l2sq")
-    square = lambda v: total(F.transform(v, lambda x: x * x))
-    return 1 - total(F.zip_with(a, b, lambda x, y: x * y)) / F.sqrt(square(a) * square(b))
+def dot(a: Column, b: Column) -> Column:
+    return total(F.zip_with(a, b, lambda x, y: x * y))
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(total(F.transform(v, lambda x: x * x)))
+
+
+def square_gap(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance."""
+    return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))

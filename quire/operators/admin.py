@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,11 +82,12 @@ def report_types(reports: DataFrame) -> DataFrame:
 
 
 def recent_activity(documents: DataFrame, users: DataFrame, n: int = 20) -> DataFrame:
-    """The newest uploads with label and description, newest first."""
-    top = documents.select("doc_id", "user_id", "name", "type", "original_type", "uploaded_at").orderBy(F.desc("uploaded_at"), F.desc("doc_id")).limit(n)
-    label = F.when(F.col("original_type").isin(WORD_TYPES) & (F.col("type") == "application/pdf"), "convert").otherwise("upload")
-    who = F.coalesce("_who", F.lit("Unknown"))
-    return top.join(users.select("user_id", F.col("name").alias("_who")), "user_id", "left").select("doc_id", label.alias("label"), F.concat(who, F.when(label == "convert", " converted ").otherwise(" uploaded "), "name").alias("description"), "uploaded_at").orderBy(F.desc("uploaded_at"), F.desc("doc_id"))
+    """The newest uploads with label and description, newest first; a document that had another type at first was converted."""
+    top = documents.select("doc_id", "user_id", "name", "original_type", "uploaded_at").orderBy(F.desc("uploaded_at"), F.desc("doc_id")).limit(n)
+    label = F.when(F.coalesce("original_type", F.lit("")) != "", "convert").otherwise("upload")
+    who, did = F.coalesce("_who", F.lit("Unknown")), F.when(label == "convert", " converted ").otherwise(" uploaded ")
+    rows = top.join(users.select("user_id", F.col("name").alias("_who")), "user_id", "left")
+    return rows.select("doc_id", label.alias("label"), F.concat(who, did, "name").alias("description"), "uploaded_at").orderBy(F.desc("uploaded_at"), F.desc("doc_id"))
 
 
 def daily(rows: DataFrame, at: str, now: str, name: str) -> DataFrame:
@@ -110,14 +114,24 @@ def matches(search: str, *names: str) -> Column:
     return out
 
 
+def page_counts(rows: DataFrame, limit: int = 20) -> DataFrame:
+    """One row: total, and pages of `limit` rows (one at least)."""
+    return rows.agg(F.count("*").alias("total")).select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("long").alias("pages"))
+
+
+def find_users(users: DataFrame, search: str = "") -> DataFrame:
+    """Users whose name or email matches."""
+    return users.filter(matches(search, "name", "email"))
+
+
 def user_page(users: DataFrame, search: str = "", sort: str = "created_at", descending: bool = True, page: int = 1, limit: int = 20) -> DataFrame:
-    """A page of users whose name or email matches."""
-    key = F.col(sort if sort in ("name", "email", "created_at", "last_login") else "created_at")
-    return paged(users.filter(matches(search, "name", "email")), [key.desc() if descending else key.asc(), F.col("user_id")], page, max(1, min(200, limit)))
+    """A page of the users found, by created_at, name, email, is_active or is_admin."""
+    key = F.col(sort if sort in ("created_at", "name", "email", "is_active", "is_admin") else "created_at")
+    return paged(find_users(users, search), [key.desc() if descending else key.asc(), F.col("user_id")], page, max(1, min(200, limit)))
 
 
 def user_totals(users: DataFrame, search: str = "") -> DataFrame:
-    return users.filter(matches(search, "name", "email")).agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count_if("is_admin").alias("admins"))
+    return find_users(users, search).agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count_if("is_admin").alias("admins"))
 
 
 def user_stats(users: DataFrame, documents: DataFrame, messages: DataFrame) -> DataFrame:
@@ -128,23 +142,35 @@ def user_stats(users: DataFrame, documents: DataFrame, messages: DataFrame) -> D
     return users.select("user_id").join(d, "user_id", "left").join(c, "user_id", "left").select("user_id", zero("document_count"), zero("total_storage"), zero("chat_count"))
 
 
+def find_documents(documents: DataFrame, search: str = "", kind: str = "") -> DataFrame:
+    """Documents by name and exact type; never their content."""
+    some = documents.filter(matches(search, "name") & (F.lit(kind == "") | (F.col("type") == kind)))
+    return some.select("doc_id", "user_id", "name", "type", "size", "uploaded_at")
+
+
 def document_page(documents: DataFrame, users: DataFrame, search: str = "", kind: str = "", page: int = 1, limit: int = 20) -> DataFrame:
-    """A page of documents by name and exact type, newest first, with the owner; never their content."""
-    some = documents.filter(matches(search, "name") & (F.lit(kind == "") | (F.col("type") == kind))).select("doc_id", "user_id", "name", "type", "size", "uploaded_at")
-    top = paged(some, [F.desc("uploaded_at"), F.desc("doc_id")], page, max(1, min(200, limit)))
+    """A page of the documents found, newest first, with the owner."""
+    top = paged(find_documents(documents, search, kind), [F.desc("uploaded_at"), F.desc("doc_id")], page, max(1, min(200, limit)))
     return top.join(users.select("user_id", F.col("name").alias("owner")), "user_id", "left")
 
 
-def report_page(reports: DataFrame, status: str = "", search: str = "", start: str = "", end: str = "", page: int = 1, limit: int = 20) -> DataFrame:
-    """A page of reports by status, text and time (end day included), newest first."""
-    some = reports.filter(matches(search, "subject", "message"))
+def find_reports(reports: DataFrame, status: str = "", search: str = "", start: str = "", end: str = "") -> DataFrame:
+    """Reports by status, by text in name, email, subject or message, and by time (end day included)."""
+    some = reports.filter(matches(search, "name", "email", "subject", "message"))
     if status in ("open", "in_progress", "resolved"):
         some = some.filter(F.col("status") == status)
     if start:
         some = some.filter(F.col("created_at") >= stamp(start))
-    if end:
-        some = some.filter(F.col("created_at") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp"))
-    return paged(some, [F.desc("created_at"), F.desc("report_id")], page, max(1, min(100, limit)))
+    return some.filter(F.col("created_at") < day_after(end)) if end else some
+
+
+def day_after(end: str) -> Column:
+    return F.date_add(F.lit(end).cast("date"), 1).cast("timestamp")
+
+
+def report_page(reports: DataFrame, status: str = "", search: str = "", start: str = "", end: str = "", page: int = 1, limit: int = 20) -> DataFrame:
+    """A page of the reports found, newest first."""
+    return paged(find_reports(reports, status, search, start, end), [F.desc("created_at"), F.desc("report_id")], page, max(1, min(100, limit)))
 
 
 def report_summary(reports: DataFrame) -> DataFrame:
@@ -153,11 +179,13 @@ def report_summary(reports: DataFrame) -> DataFrame:
     return reports.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "resolved").alias("resolved"), F.count_if(F.col("status") == "open").alias("open_reports"), *[F.count_if(c == k).alias(k) for k in ("bug", "feature", "feedback", "other")])
 
 
-def report_timeseries(reports: DataFrame, grain: str, start: str, end: str) -> DataFrame:
-    """bucket, n by day, ISO week or month; gaps aren't filled."""
+def report_timeseries(reports: DataFrame, grain: str, now: str, start: str = "", end: str = "") -> DataFrame:
+    """bucket, n by day, ISO week or month from `start` (six days before `now`) to the end of the day of `end` (of `now`); gaps aren't filled."""
     t = F.col("created_at")
-    bucket = {"day": F.date_format(t, "yyyy-MM-dd"), "week": F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), t).cast("string"), F.lpad(F.weekofyear(t).cast("string"), 2, "0")), "month": F.date_format(t, "yyyy-MM")}[grain]
-    return reports.filter((t >= stamp(start)) & (t <= stamp(end))).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    week = F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), t).cast("string"), F.lpad(F.weekofyear(t).cast("string"), 2, "0"))
+    bucket = {"week": week, "month": F.date_format(t, "yyyy-MM")}.get(grain, F.date_format(t, "yyyy-MM-dd"))
+    since = stamp(start) if start else stamp(now) - F.expr("INTERVAL 6 DAYS")
+    return reports.filter((t >= since) & (t < day_after(end or now))).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def update_reports(reports: DataFrame, changes: DataFrame) -> DataFrame:
@@ -167,6 +195,21 @@ def update_reports(reports: DataFrame, changes: DataFrame) -> DataFrame:
     return last.join(reports.select("report_id", F.lit(True).alias("_have")), "report_id", "left").select("report_id", "status", reason.alias("reason"))
 
 
+def delete_reports(reports: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports that stay, and for each id asked for its outcome (deleted, not found)."""
+    have = reports.select("report_id", F.lit(True).alias("_have"))
+    told = ids.select("report_id").distinct().join(have, "report_id", "left").select("report_id", F.when(F.col("_have"), "deleted").otherwise("not found").alias("outcome"))
+    return reports.join(ids.select("report_id").distinct(), "report_id", "left_anti"), told
+
+
+def toggle_users(users: DataFrame, toggles: DataFrame, actor: int) -> DataFrame:
+    """user_id, is_active, reason for each user in `toggles` (user_id, a row for each toggle): an odd number turns the status; nobody changes their own."""
+    n = toggles.groupBy("user_id").agg((F.count("*") % 2 == 1).alias("_odd"))
+    rows = n.join(users.select("user_id", "is_active", F.lit(True).alias("_have")), "user_id", "left")
+    reason = F.when(F.col("user_id") == actor, "own account").when(F.col("_have").isNull(), "not found")
+    return rows.select("user_id", F.when(reason.isNull(), F.col("is_active") != F.col("_odd")).otherwise(F.col("is_active")).alias("is_active"), reason.alias("reason"))
+
+
 def cascade_delete(ids: DataFrame, actor: int, users: DataFrame, **owned: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """What stays of users and of the tables they own (by user_id), and removed rows by table; nobody deletes themselves."""
     gone = ids.select("user_id").filter(F.col("user_id") != actor).distinct()
@@ -186,48 +229,78 @@ def delete_documents(ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame
 
 
 def apply_document_changes(documents: DataFrame, changes: DataFrame) -> DataFrame:
-    """doc_id, name, pinned, pinned_at, active after changes (doc_id, ts, field in name, pinned, active; value): last name and pin, an odd number of toggles turns off."""
-    of = lambda f: F.col("field") == f
-    last = changes.groupBy("doc_id").agg(F.max_by(F.when(of("name"), F.col("value")), F.when(of("name"), F.col("ts"))).alias("_name"), F.max_by(F.when(of("pinned"), F.col("value")), F.when(of("pinned"), F.col("ts"))).alias("_pin"), F.max(F.when(of("pinned"), F.col("ts"))).alias("_at"), (F.count_if(of("active")) % 2 == 1).alias("_flip"))
-    pinned = F.coalesce(F.col("_pin") == "true", F.col("pinned"))
-    return documents.join(last, "doc_id", "left").select("doc_id", F.coalesce("_name", "name").alias("name"), pinned.alias("pinned"), F.when(F.col("_pin") == "true", F.col("_at")).alias("pinned_at"), (~F.coalesce("_flip", F.lit(False))).alias("active"))
+    """doc_id, name, pinned, pinned_at after changes (doc_id, ts, field in name and pinned; value): the last of each applies.
+
+    Pinning sets pinned_at, unpinning clears it; documents without a change of their pin keep both.
+    """
+    last = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("ts")))
+    each = changes.groupBy("doc_id").agg(last("name").alias("_name"), last("pinned").alias("_pin"), F.max(F.when(F.col("field") == "pinned", F.col("ts"))).alias("_at"))
+    pin = F.col("_pin") == "true"
+    at = F.when(F.col("_pin").isNull(), F.col("pinned_at")).when(pin, F.col("_at"))
+    return documents.join(each, "doc_id", "left").select("doc_id", F.coalesce("_name", "name").alias("name"), F.coalesce(pin, F.col("pinned")).alias("pinned"), at.alias("pinned_at"))
+
+
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with position, from 1, in an order; the rows are one user's."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order))).orderBy("position")
 
 
 def my_documents(documents: DataFrame, user: int) -> DataFrame:
-    """A user's documents: pinned first, newest first."""
-    return documents.filter(F.col("user_id") == user).select("doc_id", "name", "pinned", "uploaded_at").orderBy(F.desc("pinned"), F.desc_nulls_last("uploaded_at"), "doc_id")
+    """A user's documents with position: pinned ones first, those pinned last before others, then newest first."""
+    mine = documents.filter(F.col("user_id") == user).select("doc_id", "name", "pinned", "pinned_at", "uploaded_at")
+    return placed(mine, [F.desc("pinned"), F.desc_nulls_last("pinned_at"), F.desc_nulls_last("uploaded_at"), F.col("doc_id")])
 
 
-def history_view(documents: DataFrame, term: str = "", sort: str = "date", ascending: bool = False) -> DataFrame:
-    """Documents whose name holds the term, with their place: pinned on top, then by name, size or date."""
+def history_view(documents: DataFrame, user: int, term: str = "", sort: str = "date", ascending: bool = False) -> DataFrame:
+    """A user's documents whose name holds the term, with position: pinned on top, then by name, size or date."""
     key = {"name": F.lower("name"), "size": F.col("size")}.get(sort, F.col("uploaded_at"))
-    return documents.filter(F.lower("name").contains(term.lower())).select("doc_id", "name", "size", "pinned", "uploaded_at").orderBy(F.desc("pinned"), key.asc() if ascending else key.desc(), "doc_id")
+    some = documents.filter((F.col("user_id") == user) & F.lower("name").contains(term.lower())).select("doc_id", "name", "size", "pinned", "uploaded_at")
+    return placed(some, [F.desc("pinned"), key.asc() if ascending else key.desc(), F.col("doc_id")])
 
 
 def link_identities(users: DataFrame, logins: DataFrame) -> DataFrame:
-    """login_id, user_id, action (linked, known, new), name: by google id, else by email; a new name is the email before its @."""
-    by_id = users.filter("google_id is not null").select("google_id", F.col("user_id").alias("_a"))
-    by_mail = users.select(F.lower("email").alias("_mail"), F.col("user_id").alias("_b"), F.col("google_id").alias("_g"))
+    """login_id, user_id, google_id, action (linked, known, new), name, avatar of logins (login_id, google_id, email, name, avatar): by
+    google id, else by email.
+
+    A user found by email without a google id gets the login's; a known user keeps their name and avatar where they have one, a
+    new name is the email before its @. The rows are what the users table holds after the logins.
+    """
+    by_id = users.filter("google_id is not null").select("google_id", F.col("user_id").alias("_a"), F.struct("name", "avatar").alias("_pa"))
+    by_mail = users.select(F.lower("email").alias("_mail"), F.col("user_id").alias("_b"), F.col("google_id").alias("_g"), F.struct("name", "avatar").alias("_pb"))
     rows = logins.withColumn("_mail", F.lower(F.trim("email"))).join(by_id, "google_id", "left").join(by_mail, "_mail", "left")
     action = F.when(F.col("_a").isNotNull(), "known").when(F.col("_b").isNotNull(), F.when(F.col("_g").isNull(), "linked").otherwise("known")).otherwise("new")
-    return rows.select("login_id", F.coalesce("_a", "_b").alias("user_id"), action.alias("action"), F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.split("_mail", "@")[0]).alias("name"))
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    held, said = F.coalesce("_pa", "_pb"), F.coalesce(filled(F.col("name")), F.split("_mail", "@")[0])
+    google = F.when(F.col("_a").isNotNull(), F.col("google_id")).otherwise(F.coalesce("_g", "google_id"))
+    return rows.select("login_id", F.coalesce("_a", "_b").alias("user_id"), google.alias("google_id"), action.alias("action"), F.coalesce(filled(held["name"]), said).alias("name"), F.coalesce(filled(held["avatar"]), filled(F.col("avatar"))).alias("avatar"))
+
+
+def limited(most: int, span: float):
+    """Rows come sorted by user and time; of what was before, the user's window and its count are all that is kept."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, t0, n = None, 0.0, 0
+        for pdf in batches:
+            out = []
+            for u, t in zip(pdf["user_id"].tolist(), pdf["t"].tolist()):
+                if u != user or t - t0 >= span:
+                    user, t0, n = u, t, 0
+                ok = n < most
+                n += ok
+                out.append((ok, n, None if ok else -int((t - t0 - span) // 3600)))
+            yield pd.DataFrame(out, columns=["allowed", "count_in_window", "retry_hours"]).assign(user_id=pdf["user_id"].to_numpy(), ts=pdf["ts"].to_numpy())[["user_id", "ts", "allowed", "count_in_window", "retry_hours"]].astype({"retry_hours": "Int64"})
+
+    return run
 
 
 def rate_limit(events: DataFrame, most: int = 3, hours: int = 24) -> DataFrame:
-    """user_id, ts, allowed, count_in_window, retry_hours: a window starts at the first change after the one before ended."""
-    span = hours * 3600
-    start = F.struct(F.lit(None).cast("double").alias("t0"), F.lit(0).alias("n"), F.array().cast("array<struct<ts:timestamp,allowed:boolean,count_in_window:int,retry_hours:bigint>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        t = e["ts"].cast("double")
-        fresh = s["t0"].isNull() | (t - s["t0"] >= span)
-        t0, n = F.when(fresh, t).otherwise(s["t0"]), F.when(fresh, 0).otherwise(s["n"])
-        ok = n < most
-        row = F.struct(e["ts"].alias("ts"), ok.alias("allowed"), F.when(ok, n + 1).otherwise(n).alias("count_in_window"), F.when(~ok, F.ceil((t0 + span - t) / 3600)).alias("retry_hours"))
-        return F.struct(t0.alias("t0"), F.when(ok, n + 1).otherwise(n).alias("n"), F.array_append(s["out"], row).alias("out"))
-
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("ts", "seq"))), start, step, lambda s: s["out"])
-    return events.groupBy("user_id").agg(folded.alias("o")).select("user_id", F.explode("o").alias("x")).select("user_id", "x.*")
+    """user_id, ts, allowed, count_in_window, retry_hours: a window starts at the first change after the one before ended.
+
+    Where a window starts depends on the one before, so a user's events (user_id, ts, seq) pass through one task in order, as a
+    stream: none of them is held.
+    """
+    ordered = events.filter("user_id is not null").select("user_id", "ts", "seq", F.col("ts").cast("double").alias("t")).repartition("user_id").sortWithinPartitions("user_id", "ts", "seq")
+    return ordered.mapInPandas(limited(most, hours * 3600.0), "user_id long, ts timestamp, allowed boolean, count_in_window int, retry_hours long")
 
 
 def activity_log(documents: DataFrame, users: DataFrame, level: str = "", page: int = 1, limit: int = 20) -> DataFrame:

@@ -66,8 +66,8 @@ def clean_cards(rows: DataFrame, k: int = 15) -> DataFrame:
     v = F.col("_v")
     c = elements(rows, "flashcards", ["request_id", "round"]).filter(F.col("_at") < k).select("request_id", "round", F.col("_at").alias("at"), strip(field(v, "front")).alias("front"), strip(field(v, "back")).alias("back"), strip(field(v, "category")).alias("category"), strip(field(v, "difficulty")).alias("difficulty"))
     fine = c.filter("front <> '' and back <> ''")
-    level = F.coalesce(F.nullif(F.col("difficulty"), F.lit("")), F.lit("Medium"))
-    return fine.select("request_id", "round", "at", shorten(F.col("front"), 200).alias("front"), shorten(F.col("back"), 600).alias("back"), F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("General")).alias("category"), F.concat(F.upper(F.substring(level, 1, 1)), F.lower(F.substring(level, 2, 1000))).alias("difficulty"))
+    level = F.initcap(F.lower("difficulty"))
+    return fine.select("request_id", "round", "at", shorten(F.col("front"), 200).alias("front"), shorten(F.col("back"), 600).alias("back"), F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("General")).alias("category"), F.when(level.isin("Easy", "Medium", "Hard"), level).otherwise("Medium").alias("difficulty"))
 
 
 def assemble_deck(cards: DataFrame, n: int = 20) -> DataFrame:
@@ -89,13 +89,17 @@ def grade_quiz(answers: DataFrame, key: DataFrame) -> DataFrame:
     return s.withColumn("percent", p).withColumn("band", F.when(F.col("percent") >= 90, "excellent").when(F.col("percent") >= 70, "good").when(F.col("percent") >= 50, "fair").otherwise("poor"))
 
 
-def summary_plan(selections: DataFrame, style: str = "concise", bullets: bool = False) -> DataFrame:
-    """request_id, step (single, map or reduce), chunk, text, target_words."""
-    words = "80-120" if bullets else {"detailed": "200-300"}.get(style, "120-180")
+def summary_plan(selections: DataFrame, style: str = "concise", bullets: bool = True) -> DataFrame:
+    """request_id, step (single, map or reduce), chunk, text, target_words, form (bullets or paragraphs, of steps that read the text).
+
+    A style that isn't known is concise for the parts and short for what merges them.
+    """
+    lengths = {"concise": "120-180", "detailed": "200-300", "short": "80-120"}
+    words, merged, form = lengths.get(style, "120-180"), lengths.get(style, "80-120"), F.lit("bullets" if bullets else "paragraphs")
     parts = selections.select("request_id", chunks_of(clean_selection(F.col("text")), 1600, 200).alias("c"))
     each = parts.select("request_id", F.size("c").alias("n"), F.posexplode("c").alias("chunk", "text"))
-    maps = each.select("request_id", F.when(F.col("n") <= 1, "single").otherwise("map").alias("step"), "chunk", "text", F.lit(words).alias("target_words"))
-    reduces = parts.filter("size(c) > 1").select("request_id", F.lit("reduce").alias("step"), F.size("c").alias("chunk"), F.lit(None).cast("string").alias("text"), F.lit(words).alias("target_words"))
+    maps = each.select("request_id", F.when(F.col("n") <= 1, "single").otherwise("map").alias("step"), "chunk", "text", F.lit(words).alias("target_words"), form.alias("form"))
+    reduces = parts.filter("size(c) > 1").select("request_id", F.lit("reduce").alias("step"), F.size("c").alias("chunk"), F.lit(None).cast("string").alias("text"), F.lit(merged).alias("target_words"), F.lit(None).cast("string").alias("form"))
     return maps.union(reduces)
 
 

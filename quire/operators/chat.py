@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.strings import strip
 
-
-def overview(messages: DataFrame) -> DataFrame:
-    """conv_id, message_count, last_role, last_text of each conversation."""
-    return messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max_by(F.struct("role", "text"), "turn").alias("x")).select("conv_id", "message_count", F.col("x.role").alias("last_role"), F.col("x.text").alias("last_text"))
+def overview(messages: DataFrame, chats: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """conv_id, message_count, last_role, last_text of each conversation; with `chats` (conv_id, doc_id) and `documents` also document_name."""
+    last = messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max_by(F.struct("role", "text"), "turn").alias("x"))
+    rows = last.select("conv_id", "message_count", F.col("x.role").alias("last_role"), F.col("x.text").alias("last_text"))
+    if chats is None or documents is None:
+        return rows
+    return rows.join(chats.select("conv_id", "doc_id"), "conv_id", "left").join(documents.select("doc_id", F.col("name").alias("document_name")), "doc_id", "left").drop("doc_id")
 
 
 def append(messages: DataFrame, new: DataFrame, now: str) -> DataFrame:
-    """Messages with accepted submissions (submission_id, conv_id, seq, role, text, sent_at) after their turns; one bad message rejects its submission."""
-    good = F.col("role").isin("user", "assistant") & (strip(F.coalesce("text", F.lit(""))) != "")
+    """Messages with accepted submissions (submission_id, conv_id, seq, role, text, sent_at, rating) after their turns; one bad message
+    rejects its submission: an unknown role, or no text (an empty one will do). Answers without a rating get `none`, others have none.
+    """
+    good = F.col("role").isin("user", "assistant", "system") & F.col("text").isNotNull()
     fine = new.groupBy("submission_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("_ok")).filter("_ok").select("submission_id")
     top = messages.groupBy("conv_id").agg(F.max("turn").alias("_top"))
     rows = new.join(fine, "submission_id", "left_semi").join(top, "conv_id", "left")
     turn = F.coalesce("_top", F.lit(-1)) + F.row_number().over(Window.partitionBy("conv_id").orderBy("submission_id", "seq"))
-    added = rows.select("conv_id", turn.cast("long").alias("turn"), "role", "text", F.coalesce("sent_at", F.lit(now).cast("timestamp")).alias("sent_at"), F.when(F.col("role") == "assistant", "none").alias("rating"))
+    rating = F.when(F.col("role") == "assistant", F.coalesce(F.nullif(F.col("rating"), F.lit("")), F.lit("none")))
+    added = rows.select("conv_id", turn.cast("long").alias("turn"), "role", "text", F.coalesce("sent_at", F.lit(now).cast("timestamp")).alias("sent_at"), rating.alias("rating"))
     return messages.select("conv_id", "turn", "role", "text", "sent_at", "rating").unionByName(added)
 
 
@@ -40,7 +45,7 @@ def feedback_summary(messages: DataFrame) -> DataFrame:
 
 def snapshot_hash(messages: DataFrame) -> DataFrame:
     """conv_id, snapshot_hash, message_count: SHA-256 of role and text of all messages in order."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("t"))))
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("t"))))
     return messages.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["t"]), ""), 256).alias("snapshot_hash"), F.count("*").alias("message_count"))
 
 

@@ -10,11 +10,11 @@ from quire.functions.strings import any_word, squeeze
 #: Patterns by category of sensitive data.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
-    "phone": r"\b(?:\+?[0-9]{1,3}[\s-]?)?(?:[0-9]{3}[\s-]?){2}[0-9]{4}\b",
-    "credit_card": r"\b(?:[0-9][ -]?){13,19}\b",
-    "pan": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
-    "aadhaar": r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b",
-    "ssn_like": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "phone": r"\b(?:\+?\d{1,3}[\s-]?)?(?:\d{3}[\s-]?){2}\d{4}\b",
+    "credit_card": r"\b(?:\d[ -]?){13,19}\b",
+    "pan": r"\b[A-Z]{5}\d{4}[A-Z]\b",
+    "aadhaar": r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b",
+    "ssn_like": r"\b\d{3}-\d{2}-\d{4}\b",
 }
 #: Greetings, small talk, wishes.
 GREETINGS = ["hi", "hello", "hey", "yo", "hola", "namaste", "good morning", "good afternoon", "good evening", "gm", "ge", "gn"]
@@ -68,19 +68,16 @@ def consent_gate(scans: DataFrame, consents: DataFrame) -> DataFrame:
 
 
 def consent_state(events: DataFrame) -> DataFrame:
-    """doc_id, sensitive, confirmed, awaiting after all events (doc_id, ts, seq, kind in scan_hit, scan_clear, yes, no), in order."""
-    start = F.struct(F.lit(False).alias("sensitive"), F.lit(False).alias("confirmed"), F.lit(False).alias("awaiting"))
+    """doc_id, sensitive, confirmed, awaiting after all events (doc_id, ts, seq, kind in scan_hit, scan_clear, yes, no), in order.
 
-    def step(s: Column, e: Column) -> Column:
-        k = e["kind"]
-        hit = F.struct(F.lit(True).alias("sensitive"), s["confirmed"].alias("confirmed"), (~s["confirmed"]).alias("awaiting"))
-        clear = F.struct(F.lit(False).alias("sensitive"), s["confirmed"].alias("confirmed"), F.lit(False).alias("awaiting"))
-        yes = F.struct(s["sensitive"].alias("sensitive"), F.lit(True).alias("confirmed"), F.lit(False).alias("awaiting"))
-        no = F.struct(s["sensitive"].alias("sensitive"), F.lit(False).alias("confirmed"), F.lit(False).alias("awaiting"))
-        return F.when(k == "scan_hit", hit).when(k == "scan_clear", clear).when(k == "yes", yes).when(k == "no", no).otherwise(s)
-
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("ts", "seq", "kind"))), start, step)
-    return events.groupBy("doc_id").agg(folded.alias("s")).select("doc_id", "s.*")
+    The last scan says whether the document is sensitive, the last answer whether it is confirmed; it awaits an answer while a hit is
+    the last of all events and isn't confirmed.
+    """
+    last = lambda *kinds: F.max_by(F.when(F.col("kind").isin(*kinds), F.col("kind")), F.when(F.col("kind").isin(*kinds), F.struct("ts", "seq")))
+    each = events.groupBy("doc_id").agg(last("scan_hit", "scan_clear").alias("_scan"), last("yes", "no").alias("_answer"), last("scan_hit", "scan_clear", "yes", "no").alias("_last"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    confirmed = sure(F.col("_answer") == "yes")
+    return each.select("doc_id", sure(F.col("_scan") == "scan_hit").alias("sensitive"), confirmed.alias("confirmed"), (sure(F.col("_last") == "scan_hit") & ~confirmed).alias("awaiting"))
 
 
 def processing_status(results: DataFrame) -> DataFrame:
@@ -89,14 +86,20 @@ def processing_status(results: DataFrame) -> DataFrame:
 
 
 def route_question(questions: DataFrame, consents: DataFrame, pending: DataFrame, indexed: DataFrame, profane: DataFrame) -> DataFrame:
-    """question_id, route: the first that holds, from empty to retrieve."""
-    q = questions.join(consents.select("doc_id", F.col("awaiting").alias("_wait")), "doc_id", "left").join(pending.select("doc_id", F.lit(True).alias("_pend")).distinct(), "doc_id", "left")
+    """question_id, route: the first that holds, from empty to retrieve.
+
+    A document that `consents` (doc_id, sensitive, confirmed) calls sensitive and not confirmed is gated, whether or not it was asked for
+    before; one in `pending` (doc_id) waits for an answer about a question that the document didn't answer.
+    """
+    gated = consents.filter("sensitive and not confirmed").select("doc_id", F.lit(True).alias("_wait")).distinct()
+    q = questions.join(gated, "doc_id", "left").join(pending.select("doc_id", F.lit(True).alias("_pend")).distinct(), "doc_id", "left")
     q = q.join(indexed.select("doc_id", F.lit(True).alias("_have")).distinct(), "doc_id", "left").join(profane.select("question_id", F.lit(True).alias("_rude")).distinct(), "question_id", "left")
     s, yes, no = squeeze(F.col("question")), ["y", "yes"], ["n", "no"]
     handled = lambda name: F.when(s.isin(yes), f"{name}-yes").when(s.isin(no), f"{name}-no").otherwise(f"{name}-pending")
-    route = F.when(s == "", "empty").when(is_greeting(F.col("question")), "greeting").when(has_link(F.col("question")), "link").when(F.col("_rude"), "profanity").when(F.col("doc_id").isNull(), "no-document")
-    route = route.when(F.col("_wait"), handled("consent")).when(F.col("_pend"), handled("fallback")).when(F.col("_have").isNull(), "not-indexed").otherwise("retrieve")
-    return q.select("question_id", route.alias("route"))
+    route = F.when(s == "", "empty").when(is_greeting(F.col("question")), "greeting").when(has_link(F.col("question")), "link")
+    route = route.when(F.col("_rude"), "profanity").when(F.col("doc_id").isNull(), "no-document")
+    route = route.when(F.col("_wait"), handled("consent")).when(F.col("_pend"), handled("fallback"))
+    return q.select("question_id", route.when(F.col("_have").isNull(), "not-indexed").otherwise("retrieve").alias("route"))
 
 
 def fallback_state(events: DataFrame) -> DataFrame:

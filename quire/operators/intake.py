@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: MIME types, endings, subjects and characters that no name may hold.
 WORD_TYPES = ["application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"]
 TYPES = ["application/pdf", *WORD_TYPES, "text/plain", "text/markdown"]
 EXTENSIONS = ["pdf", "doc", "docx", "txt", "md"]
 SUBJECTS = ["Bug", "Feedback", "Feature Request", "Other"]
+BAD_NAME = '[<>:"/\\\\|?*]'
 
 
 def extension(name: Column) -> Column:
@@ -18,7 +20,7 @@ def extension(name: Column) -> Column:
 def validate_files(files: DataFrame, most_bytes: int = 25 << 20) -> DataFrame:
     """Adds reason, the first that holds: unsupported type, too large, invalid name; null for an accepted file."""
     fine = F.coalesce(F.col("type").isin(TYPES), F.lit(False)) | extension(F.col("name")).isin(EXTENSIONS)
-    bad = F.col("name").rlike('[<>:"/\\\\|?*]') | (F.length("name") > 255) | F.col("name").isNull()
+    bad = F.col("name").rlike(BAD_NAME) | (F.length("name") > 255) | F.col("name").isNull()
     return files.withColumn("reason", F.when(~fine, "unsupported type").when(F.col("size") > most_bytes, "too large").when(bad, "invalid name"))
 
 

@@ -47,3 +47,11 @@ def top_routes(buckets: DataFrame, n: int = 5) -> DataFrame:
     """route, n, p90_ms of the routes with most requests."""
     count = buckets.groupBy("route", "le").agg(F.sum("cumulative").alias("c")).groupBy("route").agg(F.max("c").alias("n"))
     return count.join(histogram_percentiles(buckets, [0.9], ["route"]), "route").select("route", "n", F.col("bound_ms").alias("p90_ms")).orderBy(F.desc("n"), "route").limit(n)
+
+
+def runtime(samples: DataFrame) -> DataFrame:
+    """One row from parsed samples (name, value): uptime_s, cpu_percent (100 at most; null without an uptime), rss_mb."""
+    of = lambda n: F.coalesce(F.max(F.when(F.col("name") == n, F.col("value"))), F.lit(0.0)).alias(n)
+    up, user, system, rss = "process_uptime_seconds", "process_cpu_user_seconds_total", "process_cpu_system_seconds_total", "process_resident_memory_bytes"
+    cpu = F.least(F.lit(100.0), F.round((F.col(user) + F.col(system)) / F.col(up) * 100))
+    return samples.agg(*map(of, (up, user, system, rss))).select(F.col(up).alias("uptime_s"), F.when(F.col(up) > 0, cpu).cast("long").alias("cpu_percent"), F.round(F.col(rss) / (1 << 20)).cast("long").alias("rss_mb"))

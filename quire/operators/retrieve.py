@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.strings import keywords, ordered_join, strip
-from quire.functions.vectors import distance
+from quire.functions.vectors import dot, doubles, norm, square_gap
+
+#: Terms asked for (with their users) that are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def with_embeddings(chunks: DataFrame, embed) -> DataFrame:
@@ -19,10 +22,15 @@ def has_index(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def knn(questions: DataFrame, chunks: DataFrame, k: int = 12, metric: str = "cosine") -> DataFrame:
-    """question_id, doc_id, chunk, distance, rank: the nearest chunks of the question's document, itself excluded."""
-    q = questions.select("question_id", "doc_id", F.col("embedding").alias("_q"))
-    pairs = q.join(chunks.select("doc_id", "chunk", F.col("embedding").alias("_c")), "doc_id").filter("chunk <> question_id")
-    near = pairs.select("question_id", "doc_id", "chunk", F.round(distance(F.col("_q"), F.col("_c"), metric), 6).alias("distance"))
+    """question_id, doc_id, chunk, distance, rank: the nearest chunks of the question's document.
+
+    Lengths are worked out once for each vector, before the join. A document with a large share of all chunks is split by Spark's
+    skew join, and each task keeps `k` for a question before they meet.
+    """
+    q = questions.select("question_id", "doc_id", doubles(F.col("embedding")).alias("_q")).withColumn("_n", norm(F.col("_q")))
+    c = chunks.select("doc_id", "chunk", doubles(F.col("embedding")).alias("_c")).withColumn("_m", norm(F.col("_c")))
+    far = {"cosine": 1 - dot(F.col("_q"), F.col("_c")) / (F.col("_n") * F.col("_m")), "l2sq": square_gap(F.col("_q"), F.col("_c"))}[metric]
+    near = q.join(c, "doc_id").select("question_id", "doc_id", "chunk", F.round(far, 6).alias("distance"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk"))).filter(F.col("rank") <= k)
 
 
@@ -41,7 +49,7 @@ def select_context(ranked: DataFrame, top: int = 5, gate: float = 0.9, near: flo
     w = Window.partitionBy("question_id")
     best = (F.col("score_rank") <= top) & (F.coalesce("distance", F.lit(0.5)) < gate)
     marked = ranked.withColumn("_best", best).withColumn("_any", F.max(best.cast("int")).over(w) == 1)
-    kept = marked.filter(F.when(F.col("_any"), F.col("_best")).otherwise(F.col("distance") < near))
+    kept = marked.filter(F.when(F.col("_any"), F.col("_best")).otherwise(F.col("distance").isNull() | (F.col("distance") < near)))
     order = F.when(F.col("_any"), F.col("score_rank")).otherwise(F.col("rank"))
     return kept.select("question_id", "doc_id", "chunk", F.row_number().over(w.orderBy(order)).alias("position"), F.when(F.col("_any"), "reranked").otherwise("distance").alias("source"))
 
@@ -61,10 +69,12 @@ def document_context(docs: DataFrame, chunks: DataFrame, most_chunks: int = 500,
 def keyword_search(queries: DataFrame, chunks: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, doc_id, chunk, score, rank: a user's chunks with any query term; score = sum of tf * ln(1 + N / df)."""
     terms = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
-    post = chunks.select("user_id", "doc_id", "chunk", F.explode(terms).alias("term")).groupBy("user_id", "doc_id", "chunk", "term").agg(F.count("*").alias("tf"))
     total = chunks.groupBy("user_id").agg(F.count("*").alias("total"))
     asked = queries.select("query_id", "user_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("q"), "[^\\p{L}\\p{N}]+"), lambda t: t != ""))).alias("term"))
-    wanted = post.join(asked.select("user_id", "term").distinct(), ["user_id", "term"], "left_semi")
+    sought = asked.select("user_id", "term").distinct()
+    few = sought.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # the terms asked for go to the chunks, not the chunks' terms to them
+    each = chunks.select("user_id", "doc_id", "chunk", F.explode(terms).alias("term")).join(F.broadcast(sought) if few else sought, ["user_id", "term"], "left_semi")
+    wanted = each.groupBy("user_id", "doc_id", "chunk", "term").agg(F.count("*").alias("tf"))
     df = wanted.groupBy("user_id", "term").agg(F.count("*").alias("df"))
     hits = asked.join(wanted, ["user_id", "term"]).join(df, ["user_id", "term"]).join(total, "user_id")
     scored = hits.groupBy("query_id", "doc_id", "chunk").agg(F.round(F.sum(F.col("tf") * F.log(1 + F.col("total") / F.col("df"))), 6).alias("score"))

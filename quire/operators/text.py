@@ -14,7 +14,8 @@ TOPICS = ["Introduction", "Overview", "Summary", "Background", "Objectives", "Me
 def chunks_of(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Array of chunks: paragraphs packed while they fit; a chunk after the first starts with the end of the one before.
 
-    A paragraph is never split. A fold over paragraphs carries the chunks done, the open chunk and its counted size.
+    A paragraph is never split. A fold over paragraphs carries the chunks done, the open chunk and its
+    counted size; what a chunk starts with counts for it, and a chunk no longer than `overlap` hands nothing on.
     """
     parts = F.filter(F.transform(F.split(strip(F.coalesce(text, F.lit(""))), "\\n\\s*\\n"), strip), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
@@ -23,7 +24,7 @@ def chunks_of(text: Column, size: int = 1000, overlap: int = 200) -> Column:
         room = (acc["n"] + F.length(p) + 2 <= size) | (acc["open"] == "")
         tail = F.when(F.length(acc["open"]) > overlap, F.concat(F.substring(acc["open"], -overlap, overlap), F.lit("\n\n"))).otherwise("") if overlap else F.lit("")
         more = F.struct(acc["done"].alias("done"), F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p)).alias("open"), (acc["n"] + F.length(p) + 2).alias("n"))
-        cut = F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), F.concat(tail, p).alias("open"), (F.lit(overlap) + F.length(p) + 2).alias("n"))
+        cut = F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), F.concat(tail, p).alias("open"), (F.when(F.length(acc["open"]) > overlap, overlap).otherwise(0) + F.length(p) + 2).alias("n"))
         return F.when(room, more).otherwise(cut)
 
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
@@ -45,12 +46,16 @@ def split_sections(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "section", sheet.alias("sheet"), body.alias("text")).filter(strip(F.col("text")) != "")
 
 
-def index_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """chunk_id, doc_id, chunk (running number over sections), filename, sheet, text."""
+def index_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, embed=None) -> DataFrame:
+    """chunk_id, doc_id, chunk (running number over sections), filename, sheet, text; with a column function `embed` of text also
+    embedding, and no row where it gives none.
+    """
     names = docs.select("doc_id", F.coalesce("filename", F.lit("document.txt")).alias("filename"))
     parts = split_sections(docs).select("doc_id", "section", "sheet", F.posexplode(chunks_of(F.col("text"), size, overlap)).alias("pos", "text")).filter(strip(F.col("text")) != "")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "pos")) - 1
-    return parts.withColumn("chunk", n).join(names, "doc_id").select(F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("chunk").cast("string")).alias("chunk_id"), "doc_id", "chunk", "filename", "sheet", "text")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("chunk").cast("string"))
+    rows = parts.withColumn("chunk", n).join(names, "doc_id").select(name.alias("chunk_id"), "doc_id", "chunk", "filename", "sheet", "text")
+    return rows if embed is None else rows.withColumn("embedding", embed(F.col("text"))).filter("embedding is not null")
 
 
 def rewrite(text: Column, *rules: tuple[str, str]) -> Column:

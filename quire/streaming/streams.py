@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,30 +32,44 @@ def online_users(activity: DataFrame, late: str = "10 minutes", window: str = "1
 
 
 def request_metrics(requests: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """window, route, total and a cumulative count for each latency bound."""
+    """window, route, total, a cumulative count for each latency bound, and p50_ms, p90_ms, p99_ms: the smallest bounds that such shares stay under."""
     counts = [F.sum((F.col("duration_s") <= b).cast("long")).alias(f"le_{i}") for i, b in enumerate(BOUNDS)]
-    return requests.withWatermark("ts", late).groupBy(F.window("ts", window), "route").agg(F.count("*").alias("total"), *counts)
+    sums = requests.withWatermark("ts", late).groupBy(F.window("ts", window), "route").agg(F.count("*").alias("total"), *counts)
+
+    def bound(share: float):
+        out = F
+        for i, b in enumerate(BOUNDS):
+            out = out.when(F.col(f"le_{i}") >= share * F.col("total"), F.lit(b))
+        return F.round(1000 * out)
+
+    return sums.select("*", *[bound(x / 100).alias(f"p{x}_ms") for x in (50, 90, 99)])
 
 
 def consent_state(events: DataFrame) -> DataFrame:
-    """doc_id, sensitive, confirmed, awaiting after each batch of events (doc_id, ts, seq, kind)."""
+    """doc_id, sensitive, confirmed, awaiting, pending after each batch of events (doc_id, ts, seq, kind, question).
+
+    Pending is the question that came with the last hit, while it awaits an answer.
+    """
+    columns = "sensitive boolean, confirmed boolean, awaiting boolean, pending string"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sensitive, confirmed, awaiting = state.get if state.exists else (False, False, False)
-        for kind in pd.concat(list(frames)).sort_values(["ts", "seq"])["kind"]:
+        sensitive, confirmed, awaiting, pending = state.get if state.exists else (False, False, False, None)
+        new = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        for kind, question in zip(new["kind"], new["question"]):
             if kind in ("scan_hit", "scan_clear"):
                 sensitive = kind == "scan_hit"
                 awaiting = sensitive and not confirmed
+                pending = question if awaiting else None
             elif kind in ("yes", "no"):
-                confirmed, awaiting = kind == "yes", False
-        state.update((sensitive, confirmed, awaiting))
-        yield pd.DataFrame([(key[0], sensitive, confirmed, awaiting)], columns=["doc_id", "sensitive", "confirmed", "awaiting"])
+                confirmed, awaiting, pending = kind == "yes", False, None
+        state.update((sensitive, confirmed, awaiting, pending))
+        yield pd.DataFrame([(key[0], sensitive, confirmed, awaiting, pending)], columns=["doc_id", "sensitive", "confirmed", "awaiting", "pending"])
 
-    return events.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, sensitive boolean, confirmed boolean, awaiting boolean", "sensitive boolean, confirmed boolean, awaiting boolean", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("doc_id").applyInPandasWithState(step, f"doc_id long, {columns}", columns, "update", GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(events: DataFrame, most: int = 3, hours: int = 24, late: str = "10 minutes") -> DataFrame:
-    """user_id, ts, allowed, count_in_window for live changes (user_id, ts, seq)."""
+    """user_id, ts, allowed, count_in_window, retry_hours (where not allowed) for live changes (user_id, ts, seq)."""
     span = hours * 3600.0
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,12 +84,13 @@ def rate_limit(events: DataFrame, most: int = 3, hours: int = 24, late: str = "1
                 t0, n = t, 0
             ok = n < most
             n += ok
-            rows.append((key[0], ts, ok, n))
+            rows.append((key[0], ts, ok, n, None if ok else math.ceil((t0 + span - t) / 3600)))
         state.update((t0, n))
         state.setTimeoutTimestamp(max(int((t0 + span) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["user_id", "ts", "allowed", "count_in_window"])
+        yield pd.DataFrame(rows, columns=["user_id", "ts", "allowed", "count_in_window", "retry_hours"]).astype({"retry_hours": "Int64"})
 
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, ts timestamp, allowed boolean, count_in_window long", "t0 double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    told = "user_id long, ts timestamp, allowed boolean, count_in_window long, retry_hours long"
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, told, "t0 double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expire_shares(shares: DataFrame, late: str = "10 minutes") -> DataFrame:
