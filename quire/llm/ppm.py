@@ -9,7 +9,6 @@ grams only. So a task holds FAN requests of one shard and what is shipped grows
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections import Counter
 from itertools import chain
@@ -19,23 +18,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.asking import FAN, add_up, climb, descend, split_tokens, token_shard
 from quire.llm.common import LOWER, batched, block_count, materialise, pack, pack_sorted, remainder, unpack, unpack_sorted, unzip, zip_bytes
 
 #: Ends a document and fills the context before its first byte; no UTF-8 text holds it.
 END = 255
-#: Requests that meet in a node of the tree (expected number).
-FAN = 128
 #: Shards of the grams; a block's request has a row for each, so there aren't more, and a shard's share of the model is as bounded as the model.
 SHARDS = 4096
 CHUNK = 4 << 20
 #: Taken off every count for the escape: of total T over q symbols, escapes have ESCAPE * q / T.
 ESCAPE = 0.3
 
-#: `block` rows: kind docs has the texts, kinds gram and token the requests; in the tree, node and salt are those of a row and of its parent.
+#: Rows of a block: kind docs has the texts, kinds gram and token the requests.
 BLOCK = "kind string, node long, shard int, keys binary, counts binary, ids array<string>, held array<boolean>"
-SUMS = "kind string, shard int, node long, keys binary, counts binary"
 MODEL = "kind string, shard int, keys binary, vals binary, tokens long, vocab long"
-ANSWER = "kind string, shard int, node long, keys binary, vals binary"
 SCORED = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -88,28 +84,12 @@ def count_grams(docs: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their counts."""
-    if not len(keys):
-        return keys, counts.astype(np.int64)
-    at = np.argsort(keys, kind="stable")
-    keys, counts = keys[at], counts[at].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
-
-
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     """By the last three bytes of the context."""
     ctx = (grams >> np.uint64(8)) & np.uint64(0xFFFFFF)
     return ((ctx * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
 
 
-def token_shard(tokens: list[bytes], shards: int) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), dtype=np.uint64, count=len(tokens)) % np.uint64(shards)
-
-
 def requests(order: int, shards: int, block_bytes: int):
     """Packs documents in blocks: a row with the texts, and rows with the distinct grams and tokens and their counts in the
     documents to learn from (0 where none), a row for each shard."""
@@ -144,30 +124,6 @@ def requests(order: int, shards: int, block_bytes: int):
     return run
 
 
-def split_tokens(blob: bytes) -> list[bytes]:
-    """Tokens hold no space; the end token is a line feed."""
-    return unzip(blob).split(b" ")
-
-
-def merged(kind: str, keys: pd.Series, counts: pd.Series) -> tuple[bytes, bytes]:
-    if kind == "gram":
-        k, c = add_up(np.concatenate([unpack_sorted(x) for x in keys]), np.concatenate([unpack(x, "<i8") for x in counts]))
-        return pack_sorted(k), pack(c)
-    total: dict[bytes, int] = {}
-    for k, c in zip(keys, counts):
-        for t, n in zip(split_tokens(k), unpack(c, "<i8").tolist()):
-            total[t] = total.get(t, 0) + n
-    names = sorted(total)
-    return zip_bytes(b" ".join(names)), pack(np.array([total[t] for t in names], dtype=np.int64))
-
-
-def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What the children of a node ask for, added up."""
-    one = pdf.iloc[0]
-    k, c = merged(one["kind"], pdf["keys"], pdf["counts"])
-    return pd.DataFrame([(one["kind"], int(one["shard"]), int(one["salt"]), k, c)], columns=["kind", "shard", "node", "keys", "counts"])
-
-
 def low_grams(batches):
     """Counts of the last two context bytes and the symbol: 2^24 values at most."""
     for pdf in batches:
@@ -273,22 +229,6 @@ def models(order: int, low):
     return run
 
 
-def answers(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """For each child of a node the values of its own keys, from those of the node."""
-    rows = []
-    if len(left) and len(right):
-        kind, shard, keys, vals = (right[c].iloc[0] for c in ("kind", "shard", "keys", "vals"))
-        if kind == "gram":
-            table, vals = unpack_sorted(keys), unpack(vals, "<f4")
-            for node, k in zip(left["node"], left["keys"]):
-                rows.append((kind, int(shard), node, k, pack(vals[np.searchsorted(table, unpack_sorted(k))])))
-        else:
-            table = dict(zip(split_tokens(keys), unpack(vals, "<i8").tolist()))
-            for node, k in zip(left["node"], left["keys"]):
-                rows.append((kind, int(shard), node, k, pack(np.array([table[t] for t in split_tokens(k)], dtype=np.int64))))
-    return pd.DataFrame(rows, columns=["kind", "shard", "node", "keys", "vals"])
-
-
 class Lookup:
     """Values by key in an open hash table over numpy arrays; every key asked for must be there."""
 
@@ -371,14 +311,7 @@ def ppm_scores(docs: DataFrame, order: int = 5, modulus: int = 7, held: int = 2,
     blocks = materialise(rows.mapInPandas(requests(order, shards, block_bytes), BLOCK), "blocks", "kind")
     texts, asked = blocks.filter("kind = 'docs'"), blocks.filter("kind <> 'docs'").select("kind", "shard", "node", "keys", "counts")
 
-    width, levels = texts.count(), [asked]
-    while True:  # up the tree: what a node's children ask for
-        width = max(1, math.ceil(width / fan))
-        levels[-1] = levels[-1].withColumn("salt", F.pmod("node", F.lit(width)))
-        levels.append(materialise(levels[-1].groupBy("kind", "shard", "salt").applyInPandas(merge, SUMS), "sums"))
-        if width == 1:
-            break
-    top = levels.pop()
+    top, levels = climb(asked, texts.count(), fan)
     low = top.filter("kind = 'gram'").select("keys", "counts").mapInPandas(low_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = low.groupBy(F.shiftright("gram", 16).alias("part")).applyInPandas(low_packed, "keys binary, counts binary").collect()  # 256 rows of 2^16 grams at most
     found = sorted(((unpack_sorted(r["keys"]), unpack(r["counts"], "<i8")) for r in found), key=lambda x: int(x[0][0]))
@@ -387,7 +320,6 @@ def ppm_scores(docs: DataFrame, order: int = 5, modulus: int = 7, held: int = 2,
     model = materialise(top.mapInPandas(models(order, table), MODEL), "model")
     total = model.agg(F.sum("tokens").alias("n"), F.sum("vocab").alias("v")).first()
     told = model.select("kind", "shard", F.lit(0).cast("long").alias("node"), "keys", "vals")
-    for asked in reversed(levels):  # and down again: to each child its own part
-        told = asked.groupBy("kind", "shard", "salt").cogroup(told.withColumnRenamed("node", "salt").groupBy("kind", "shard", "salt")).applyInPandas(answers, ANSWER)
+    told = descend(told, levels)
     scored = texts.select("node", "keys", "counts", "ids", "held").groupBy("node").cogroup(told.groupBy("node")).applyInPandas(scores(order, total["n"] or 0, total["v"] or 0), SCORED)
     return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))  # as text on the way: pandas would turn nullable longs into doubles
