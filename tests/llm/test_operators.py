@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -129,6 +130,38 @@ def test_divergence(docs, odd):
         assert got == sorted(want, key=str)
 
 
+def test_verdicts(docs, odd):
+    """`kept` and both distances from histograms counted in plain Python."""
+    chars = lambda t: Counter(next((k for k, c in enumerate((r"[a-z]", r"\p{Lu}", r"\p{L}", r"\p{N}", r"[.,;:!?'\"()-]", r"[|]", r"[#*$%&<>=+~^_/\\@{}\[\]]", r".")) if regex.fullmatch(c, x, regex.S)), 7) for x in t if x not in " \t\n\x0b\x0c\r")
+    listed = set(divergence.WORDS) | {w.capitalize() for w in divergence.WORDS}
+
+    def histograms(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        c = chars(t or "")
+        n = Counter(x.lower() if x in listed else None for x in w)
+        return np.array([c[k] for k in range(8)], dtype=float), np.array([n[x] for x in (*divergence.WORDS, None)], dtype=float), len(w)
+
+    def distance(p, q):
+        p, q = p / max(1, p.sum()), q / max(1, q.sum())
+        m = (p + q) / 2
+        part = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x > 0)
+        return math.sqrt(max(0, (part(p) + part(q)) / 2))
+
+    for df in (docs, odd):
+        rows = df.select("doc_id", "text", "lang").collect()
+        found = [histograms(r.text) for r in rows]
+        fixed = [[sum((f[k] for f, r in zip(found, rows) if r.lang == x), np.zeros(8 if k == 0 else len(divergence.WORDS) + 1)) for x in divergence.COMMON] for k in (0, 1)]
+        want = []
+        for r, f in zip(rows, found):
+            far = [min(distance(f[k], q) for q in fixed[k]) for k in (0, 1)]
+            bad = f[2] >= divergence.LEAST_WORDS and (far[0] > divergence.FAR_CHARS or far[1] > divergence.FAR_WORDS)
+            want.append((r.doc_id, bad, round(far[0], 6), round(far[1], 6)))
+        got = [(r.doc_id, not r.kept and not r.base_failed, r.kept, r.base_failed, round(r.char_distance, 6), round(r.word_distance, 6)) for r in divergence.quality_verdicts(df).collect()]
+        assert sorted(((a, d, e) for a, _, _, _, d, e in got), key=str) == sorted(((a, c, d) for a, _, c, d in want), key=str)
+        verdict = {(a, d, e): x for a, x, d, e in want}
+        assert all(kept == (not base and not verdict[a, d, e]) for a, _, kept, base, d, e in got)
+
+
 def test_js_distance(spark):
     d = lambda p, q: spark.range(1).select(divergence.js_distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
     assert d([1.0, 0.0], [0.0, 1.0]) == pytest.approx(1) and d([0.5, 0.5], [0.5, 0.5]) == 0
@@ -143,6 +176,39 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in langid.language_predictions(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_by_hand(docs, odd):
+    """Predictions and posteriors from counts of hashed n-grams in plain Python."""
+    bits, smoothing = 16, 0.5
+
+    def grams(t):
+        points = [ord(c) for c in f" {t.lower()} "]
+        for i in range(len(points)):
+            code = 0
+            for k in range(min(3, len(points) - i)):
+                code = (code + points[i + k] + 1) * 0x9E3779B1 & 0xFFFFFFFF
+                code ^= code >> 15
+                yield code >> (32 - bits)
+
+    for df in (docs, odd):
+        rows = df.select("doc_id", "text", "lang").collect()
+        counts = defaultdict(Counter)
+        for r in rows:
+            if r.text is not None and r.lang is not None and not held(r.doc_id, 5, 0):
+                counts[r.lang].update(grams(r.text))
+        total = {x: sum(c.values()) + smoothing * (1 << bits) for x, c in counts.items()}
+        want = []
+        for r in rows:
+            lang, score = "und", 0.0
+            if r.text is not None and regex.search(r"\p{L}", r.text):
+                mine = list(grams(r.text))
+                logs = {x: sum(math.log((c[g] + smoothing) / total[x]) for g in mine) for x, c in counts.items()}
+                lang = min(logs, key=lambda x: (-logs[x], x))
+                score = 1 / sum(math.exp(v - logs[lang]) for v in logs.values())
+            want.append((r.doc_id, held(r.doc_id, 5, 0), lang, round(score, 6)))
+        got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in langid.language_predictions(df).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_nearest(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     bad = spark.createDataFrame([(100, None), (None, [1.0] * 64), (200, [0.0] * 64), (250, [float("nan")] * 64), (300, [None] * 64)], "vec_id long, embedding array<float>")
@@ -195,6 +261,49 @@ def test_mixing(spark, docs, odd):
     assert mixing.mixing_rates(odd, labels, weights).count() == len(ODD)
 
 
+def test_classifier_by_hand(spark):
+    """Posteriors of a Bernoulli naive Bayes over the known words, worked out in plain Python from the same labelled texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 150").select("doc_id", "text")
+    labelled = docs.withColumn("domain", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Zyx, qwerty! ").otherwise(" plain ")))
+    model = mixing.fit_classifier(labelled.select("text", "domain"), ["a", "b"])
+    assert {"zyx", "qwerty", "plain"} <= {*model.words} | {"plain"}
+    seen = mixing.with_seen(labelled, "text", "seen")
+    got = {r.doc_id: list(r.p) for r in seen.select("doc_id", model.posterior("seen").alias("p")).collect()}
+    bags = {}
+    for r in seen.select("doc_id", "text", "domain", "seen").collect():
+        low = regex.sub(r"[^\p{L}\p{N}\x20\x09-\x0D]+", "\x01", r.text.lower())
+        own = {w.strip("\x01") for w in re.split(r"[\x20\x09-\x0D]+", low)}
+        assert own == set(r.seen.words)
+        bags[r.doc_id] = (r.domain, own | {w[: mixing.BEGINNING] + "*" for w in own} | set(r.seen.signs))
+    n = Counter(d for d, _ in bags.values())
+    there = {w: {d: (sum(w in b for x, b in bags.values() if x == d) + 0.5) / (n[d] + 1) for d in "ab"} for w in model.words}
+    for i, (_, bag) in bags.items():
+        logs = {d: math.log((n[d] + 0.5) / (len(bags) + 1)) + sum(math.log(p[d]) if w in bag else 0.0 if w.startswith(" ") else math.log(1 - p[d]) for w, p in there.items()) for d in "ab"}
+        top = max(logs.values())
+        odds = [math.exp(logs[d] - top) for d in "ab"]
+        assert got[i] == pytest.approx([x / sum(odds) for x in odds], abs=2e-6)
+
+
+def test_labels_that_disagree(spark):
+    rows = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, None, None), (4, 1, None), (None, 1, 1)]
+    got = mixing.label_domains(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()
+    assert {r.doc_id: r.domain for r in got} == {1: "low", 2: "toxic", 4: "good"}
+
+
+def test_draw_meets_its_targets(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    weights = {"good": 0.6, "low": 0.35, "toxic": 0.05}
+    out = mixing.drawn(docs, labels, weights, 1.5)
+    told = mixing.mixing_rates(docs, labels, weights, 1.5)
+    rates = told.select("doc_id", "n_tokens", "rate", *[f"p_{d}" for d in weights])
+    n = rates.agg(F.sum("n_tokens")).first()[0]
+    got = out.groupBy("doc_id").agg(F.count("*").alias("copies")).join(rates, "doc_id").agg(*[F.sum(F.col("copies") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in weights]).first()
+    for d, w in weights.items():
+        assert got[d] / n == pytest.approx(1.5 * w, rel=0.06)
+    wrong = out.groupBy("doc_id").agg(F.count("*").alias("copies")).join(rates, "doc_id").filter("copies not in (floor(rate), floor(rate) + 1)")
+    assert wrong.count() == 0 and out.columns == docs.columns
+
+
 def simhash(text):
     w = words(text)
     hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
@@ -212,6 +321,17 @@ def test_simhash(docs, odd):
         assert sorted((tuple(r) for r in vptree.simhash_components(df).collect()), key=str) == want
 
 
+def test_shards_that_are_cut_again(spark):
+    """The same links with a first tree of a few leaves, whose shards are cut by trees of their own."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 15_000, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, 5_000, dtype=np.uint64)
+    points = np.unique(np.concatenate([base, base[:5_000] ^ flips]))
+    nodes = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(4)
+    got = {(r.node, r.root) for r in vptree.components(vptree.near_links(nodes, 2, sampled=40, split=1500)).collect()}
+    assert got == {(r.node, r.root) for r in vptree.components(vptree.near_links(nodes, 2)).collect()} and len(got) >= 4_990
+
+
 def test_vantage_points_lose_no_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
@@ -250,6 +370,10 @@ def test_byte_bpe(docs, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE, "rb"))}
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     small = odd.filter("doc_id is null or doc_id <> 5")  # the library needs minutes for one token of 300,000 bytes
+    long_ = byte_bpe.document_codes(odd.filter("doc_id = 5"), BYTE, P.PATTERN, True).first()
+    assert b"".join({i: t for t, i in ranks.items()}[k] for k in long_.ids) == b"x" * 300_000
+    runs = Counter(e.encode_ordinary("x" * 4096))
+    assert long_.n_tokens == len(long_.ids) and set(long_.ids) == set(runs)
     for df in (docs, small):
         want = []
         for i, t in texts(df):
