@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, remainder, slices
+from quire.llm.common import free_name, pack, remainder, slices, unpack
 
 SLICE = 2 << 20
 ORDERS = (1, 2, 3)
+#: Bytes of the matrix at most; with very many languages it gets fewer buckets, LEAST_BITS at least.
+MOST_BYTES, LEAST_BITS = 256 << 20, 8
 
 
 def buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,23 +60,37 @@ def language_counts(bits: int):
 
 
 class LanguageModel:
-    """Languages, and their log probabilities by bucket."""
+    """Languages, their log probabilities by bucket, and what an n-gram of a text in the language has on average."""
 
     def __init__(self, langs: list[str], logs: np.ndarray, bits: int):
         self.langs, self.logs, self.bits = langs, logs, bits
+        self.level = (np.exp(logs) * logs).sum(axis=1)
+
+
+def packed_counts(bits: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(1 << bits, dtype="<i8")
+        counts[pdf["bucket"].to_numpy(dtype=np.int64)] = pdf["n"].to_numpy(dtype=np.int64)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [pack(counts)]})
+
+    return run
 
 
 def fit_languages(docs: DataFrame, bits: int = 16, smoothing: float = 0.5) -> LanguageModel:
     """Learns from every row with text and lang. Classes are equally likely beforehand.
 
-    The driver gets languages times 2^bits counts at most, however many rows there are.
+    The driver gets a packed row of 2^bits counts for each language, however many rows there are; the languages are counted first, and so many
+    that the matrix doesn't fit MOST_BYTES get fewer buckets.
     """
     known = docs.filter("text is not null and lang is not null").select("text", "lang")
-    found = known.mapInPandas(language_counts(bits), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
-    logs = np.full((len(langs), 1 << bits), float(smoothing))
-    logs[found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64), found["bucket"].to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=np.float64)
-    return LanguageModel(langs, np.log(logs / logs.sum(axis=1, keepdims=True)) if len(langs) else logs, bits)
+    n = known.select("lang").distinct().count()
+    bits = min(bits, int(np.log2(MOST_BYTES / 8 / max(1, n))))
+    if bits < LEAST_BITS:
+        raise ValueError(f"{n} languages are too many for a matrix of {MOST_BYTES} bytes")
+    found = known.mapInPandas(language_counts(bits), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = sorted(found.groupBy("lang").applyInPandas(packed_counts(bits), "lang string, counts binary").collect())
+    logs = np.array([unpack(r["counts"], "<i8") + float(smoothing) for r in rows]).reshape(len(rows), 1 << bits)
+    return LanguageModel([r["lang"] for r in rows], np.log(logs / logs.sum(axis=1, keepdims=True)) if len(rows) else logs.reshape(0, 1 << bits), bits)
 
 
 def score_batch(model: LanguageModel, texts: list[str]) -> np.ndarray:
@@ -88,31 +104,43 @@ def score_batch(model: LanguageModel, texts: list[str]) -> np.ndarray:
     return out
 
 
+def gram_counts(texts: list[str]) -> np.ndarray:
+    """Number of n-grams of each text between two spaces."""
+    n = np.array([len(t.lower()) + 2 for t in texts], dtype=np.int64)
+    return sum(n - k + 1 for k in ORDERS)
+
+
 def predictor(shared):
     def run(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for texts, usable in series:
             ok = usable.to_numpy(dtype=bool) & bool(model.langs)
-            lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+            lang, score, fit = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if ok.any():
-                logs = score_batch(model, list(texts[ok]))
+                mine = list(texts[ok])
+                logs = score_batch(model, mine)
                 best = logs.argmax(axis=1)  # the first of equals: languages are in order
                 score[ok] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 lang[ok] = np.array(model.langs, dtype=object)[best]
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+                fit[ok] = logs.max(axis=1) / gram_counts(mine) - model.level[best]
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "fit": fit})
 
     return run
 
 
 def predict_language(model: LanguageModel, spark, text: Column) -> Column:
-    """Struct of lang_pred and score, the winner's posterior probability; `und` and 0 for a text that is null or has no
-    letter, and where nothing was learnt. Of equal languages the first by name wins."""
+    """Struct of lang_pred, score (the winner's posterior probability) and fit; `und`, 0 and no fit for a text that is null or has no
+    letter, and where nothing was learnt. Of equal languages the first by name wins.
+
+    Fit is the mean log probability of the text's n-grams less what they have on average in the winner's own texts: about 0 there, and far below
+    in a language that was not learnt, whose posterior says nothing, as one of the learnt ones always wins by much.
+    """
     usable = F.coalesce(text.rlike("\\p{L}"), F.lit(False))
-    return F.pandas_udf(predictor(spark.sparkContext.broadcast(model)), "lang_pred string, score double").asNondeterministic()(text, usable)
+    return F.pandas_udf(predictor(spark.sparkContext.broadcast(model)), "lang_pred string, score double, fit double").asNondeterministic()(text, usable)
 
 
 def language_predictions(docs: DataFrame, modulus: int = 5, held: int = 0, bits: int = 16) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learns from rows whose crc32(doc_id) mod `modulus` isn't `held`.
+    """doc_id, held_out, lang_pred, score, fit; learns from rows whose crc32(doc_id) mod `modulus` isn't `held`.
 
     A null doc_id has no remainder: learnt from, not held out. Repeated rows count as often as they occur; an empty
     table gives no rows; other columns are ignored, whatever their names.
@@ -121,4 +149,4 @@ def language_predictions(docs: DataFrame, modulus: int = 5, held: int = 0, bits:
     model = fit_languages(docs.filter(F.coalesce(left != held, F.lit(True))), bits)
     got = free_name(docs, "told")
     told = docs.select("doc_id", F.coalesce(left == held, F.lit(False)).alias("held_out"), predict_language(model, docs.sparkSession, F.col("text")).alias(got))
-    return told.select("doc_id", "held_out", f"{got}.lang_pred", f"{got}.score")
+    return told.select("doc_id", "held_out", f"{got}.lang_pred", f"{got}.score", f"{got}.fit")

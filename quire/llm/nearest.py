@@ -33,8 +33,8 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def packer(blocks: int, slots: int, copies: bool):
-    """Rows (vec_id, embedding) of a batch as matrices, one for each dimension and block.
+def packer(blocks: int, slots: int, copies: bool, width: str):
+    """Rows (vec_id, embedding) of a batch as matrices of the width they came in, one for each dimension and block.
 
     A query block is copied to all slots; a candidate block gets one slot, for all query blocks."""
 
@@ -45,7 +45,7 @@ def packer(blocks: int, slots: int, copies: bool):
             for dim, part in pdf.groupby(size):
                 for a in range(0, len(part), TILE):
                     some = part.iloc[a : a + TILE]
-                    ids, m = some["vec_id"].to_numpy(dtype="<i8"), np.array(some["embedding"].tolist(), dtype="<f8")
+                    ids, m = some["vec_id"].to_numpy(dtype="<i8"), np.array(some["embedding"].tolist(), dtype=width)
                     n = (n + 1) % slots
                     if copies:
                         of = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
@@ -65,8 +65,11 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return codes, scale, np.sqrt((coded**2).sum(axis=1)), np.sqrt(((unit - coded) ** 2).sum(axis=1))
 
 
-def matrix(rows: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.frombuffer(x, dtype="<i8") for x in rows["ids"]]), np.concatenate([np.frombuffer(x, dtype="<f8").reshape(-1, dim) for x in rows["vectors"]])
+def matrix(blobs, dim: int, width: str) -> np.ndarray:
+    """Rows in double, each taken by the power of two that brings its largest component under one, which leaves cosines as they are
+    and squares in range."""
+    m = np.concatenate([np.frombuffer(x, dtype=width).reshape(-1, dim) for x in blobs]).astype(np.float64)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,18 +88,19 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple
     return query[at], vec[at], score[at]
 
 
-def slot_search(k: int):
+def slot_search(k: int, width: str):
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         got = []
         for dim in sorted(set(candidates["dim"]) & set(queries["dim"])):
-            qid, q = matrix(queries[queries["dim"] == dim], dim)
+            asked = queries[queries["dim"] == dim]
+            qid, q = np.concatenate([np.frombuffer(x, dtype="<i8") for x in asked["ids"]]), matrix(asked["vectors"], dim, width)
             unit = q / np.sqrt((q**2).sum(axis=1))[:, None]
             code, scale, length, rest = quantise(unit)
             wide = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # sums of products stay whole numbers
             floor = np.full((len(qid), k), -np.inf)
             have = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
             for _, block in candidates[candidates["dim"] == dim].iterrows():
-                cid, c = np.frombuffer(block["ids"], dtype="<i8"), np.frombuffer(block["vectors"], dtype="<f8").reshape(-1, dim)
+                cid, c = np.frombuffer(block["ids"], dtype="<i8"), matrix([block["vectors"]], dim, width)
                 ccode, cscale, _, crest = quantise(c / np.sqrt((c**2).sum(axis=1))[:, None])
                 near = (code.astype(wide) @ ccode.astype(wide).T) * (scale[:, None] * cscale[None, :])
                 bound = length[:, None] * crest[None, :] + rest[:, None] + 1e-9
@@ -142,13 +146,15 @@ def nearest_vectors(vectors: DataFrame, every: int = 50, k: int = 5, slot_bytes:
 
     All other rows are candidates; ties go to the smaller vec_id. Rows with a null vec_id and vectors that are null,
     zero, or hold null or non-finite components take no part; vectors of other dimensions are no candidates of a
-    query. A repeated row is a candidate as often as it occurs, a repeated query id is asked once. Queries with no
-    candidate and empty tables give no rows; other columns are ignored.
+    query. A repeated row is a candidate as often as it occurs; a query id that repeats is asked once, with the least of its vectors
+    in the order of components. Queries with no candidate and empty tables give no rows; other columns are ignored.
     """
-    fine = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = fine.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    float_ = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    kind, width = ("array<float>", "<f4") if float_ else ("array<double>", "<f8")
+    fine = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    asked = fine.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     slots, blocks = block_count(vectors, slot_bytes), max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    queries = asked.mapInPandas(packer(blocks, slots, True), BLOCK)
-    candidates = fine.mapInPandas(packer(blocks, slots, False), BLOCK)
-    found = candidates.groupBy("block", "slot").cogroup(queries.groupBy("block", "slot")).applyInPandas(slot_search(k), FOUND)
+    queries = asked.mapInPandas(packer(blocks, slots, True, width), BLOCK)
+    candidates = fine.mapInPandas(packer(blocks, slots, False, width), BLOCK)
+    found = candidates.groupBy("block", "slot").cogroup(queries.groupBy("block", "slot")).applyInPandas(slot_search(k, width), FOUND)
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(heap_merge(k), "query_id long, rank int, vec_id long, score double")

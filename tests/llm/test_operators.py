@@ -227,6 +227,17 @@ def test_nearest(spark):
     assert nearest.nearest_vectors(v.limit(0)).count() == 0
 
 
+def test_nearest_of_odd_vectors(spark):
+    """Very large and very small components, a query id with two vectors, other dimensions, clashing columns."""
+    rows = [(50, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [3e-320, 0.0]), (3, [-1e300, 1e300]), (100, [0.0, 1.0]), (100, [0.0, -1.0]), (4, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"block": F.lit("b"), "slot": F.lit(1), "rank": F.lit(2), "query_id": F.lit(3)})
+    got = defaultdict(list)
+    for r in sorted(nearest.nearest_vectors(df, 50, 3).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    assert got[50] == [(2, 1.0), (1, round(math.sqrt(0.5), 9)), (100, 0.0)]
+    assert got[100] == [(2, 0.0), (50, 0.0), (1, -round(math.sqrt(0.5), 9))] or got[100][:2] == [(2, -0.0), (50, -0.0)]
+
+
 def test_wrapper(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in wrapper.main_texts(pages).collect()}
