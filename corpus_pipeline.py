@@ -13,8 +13,9 @@ from quire.llm.langid import fit_languages, predict_language
 from quire.llm.mixing import drawn
 from quire.llm.similar import similar_components
 
-#: Least posterior of the predicted language.
-LEAST_CONFIDENCE = 0.5
+#: Least posterior of the predicted language, and least fit. At sf0.1 held-out texts of a learnt language are at -1.26 or above (labelled good ones at
+#: -0.92), texts of a language left out of the learning at -1.45 or below.
+LEAST_CONFIDENCE, LEAST_FIT = 0.5, -1.4
 #: Near-duplicates: words of a shingle, and least Jaccard similarity of the shingle sets in percent.
 SHINGLE_WORDS, LEAST_SIMILAR = 5, 80
 #: Ids of dropped or repeated documents up to this number are broadcast; more are joined by a shuffle.
@@ -33,15 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence; learns from the lang of the documents themselves.
+    """Documents whose language is told with confidence and that read like it; learns from the lang of the documents themselves.
 
-    Texts that are null or hold no letter have no language and go; so do all where no row has a lang. Repeated rows count as
+    A language that no document names is rejected by its fit. Texts that are null or hold no letter have no language and go; so do all where no row has a lang. Repeated rows count as
     often as they occur, null ids and other columns pass through as they are.
     """
     told = free_name(docs, "told")
     model = fit_languages(docs)
     marked = docs.withColumn(told, predict_language(model, spark, F.col("text")))
-    return marked.filter((F.col(f"{told}.lang_pred") != "und") & (F.col(f"{told}.score") >= LEAST_CONFIDENCE)).drop(told)
+    sure = (F.col(f"{told}.score") >= LEAST_CONFIDENCE) & (F.col(f"{told}.fit") >= LEAST_FIT)
+    return marked.filter((F.col(f"{told}.lang_pred") != "und") & sure).drop(told)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
