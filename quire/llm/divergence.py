@@ -145,4 +145,4 @@ def quality_verdicts(docs: DataFrame, **parameters) -> DataFrame:
     """
     found = materialise(docs.select("doc_id", "lang", features(F.col("text")).alias("f")), "features")
     told = found.select("doc_id", "f", judge(F.col("f"), references(found), **parameters).alias("told"))
-    return told.select("doc_id", *[f"f.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], *[f"told.{c}" for c in ("base_failed", "kept", "char_distance", "word_distance")])
+    return told.select("doc_id", *[f"f.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "told.base_failed", "told.kept", *[F.round(f"told.{c}", 9).alias(c) for c in ("char_distance", "word_distance")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from quire.llm import divergence
 from quire.llm.byte_bpe import document_codes
 from quire.llm.divergence import quality_verdicts
 from quire.llm.langid import language_predictions
@@ -54,5 +55,45 @@ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND
 """
 
 
+#: Characters of each class of divergence.CLASSES in what is left of a text without a-z and white space.
+IN_REST = {
+    "upper": "\\p{Lu}", "letter": "\\p{L}", "digit": "\\p{N}", "point": "[.,;:!?''\"()-]", "bar": "[|]", "symbol": "[#*$%&<>=+~^_/\\\\@{}\\[\\]]",
+}
+
+
+def op3_sql() -> str:
+    """Base counts by windows over a row for each word; histograms as rows (kind, place, count), held against those of the languages."""
+    count = lambda c: f"length(rest) - length(regexp_replace(rest, '{c}', '', 'g'))"
+    classes = {k: count(c) for k, c in IN_REST.items()} | {"letter": f"({count(IN_REST['letter'])}) - ({count(IN_REST['upper'])})"}
+    listed = ", ".join(f"'{w}'" for w in divergence.WORDS)
+    langs = ", ".join(f"'{x}'" for x in divergence.COMMON)
+    part = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / ((p + q) / 2)) ELSE 0 END"
+    return f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l, regexp_replace(text, '[a-z\\x20\\x09-\\x0D]+', '', 'g') AS rest,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+words AS (SELECT r, unnest(range(len(l))) AS i, unnest(l) AS w FROM split),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w1, w2) AS k FROM (
+              SELECT r, i, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM words WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE w2 IS NOT NULL),
+repeats AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE k > 1) GROUP BY r),
+base AS (SELECT s.r, doc_id, lang, len(l) AS n_words, length(array_to_string(l, '')) AS word_chars, {count('[#*$%&|<>]')} AS n_symbols,
+                len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, rest, l FROM split s LEFT JOIN repeats USING (r)),
+counted AS (
+  SELECT r, lang, 'chars' AS kind, list_append(c, length(rest) - list_sum(c[2:])) AS c FROM (
+    SELECT r, lang, rest, [word_chars - length(rest), {', '.join(classes[k] for k in divergence.CLASSES)}] AS c FROM base)
+  UNION ALL SELECT r, lang, 'words', list_append(c, n_words - list_sum(c)) FROM (
+    SELECT r, lang, n_words, list_transform([{listed}], lambda x: len(list_filter(l, lambda y: y = x OR y = concat(upper(x[1]), x[2:])))) AS c FROM base)),
+hist AS (SELECT r, lang, kind, unnest(range(len(c))) AS k, CAST(unnest(c) AS DOUBLE) AS n FROM counted),
+shares AS (SELECT r, kind, k, n / greatest(1, sum(n) OVER (PARTITION BY r, kind)) AS p FROM hist),
+fixed AS (SELECT x AS lang, kind, k, n / greatest(1, sum(n) OVER (PARTITION BY x, kind)) AS q FROM (
+            SELECT x, kind, k, coalesce(sum(n) FILTER (WHERE lang = x), 0) AS n FROM hist, (SELECT unnest([{langs}]) AS x) GROUP BY ALL)),
+nearest AS (SELECT r, kind, min(d) AS d FROM (
+              SELECT r, kind, f.lang, sqrt(greatest(0, sum((({part('p')}) + ({part('q')})) / 2))) AS d FROM shares JOIN fixed f USING (kind, k) GROUP BY ALL) GROUP BY ALL),
+far AS (SELECT r, max(d) FILTER (WHERE kind = 'chars') AS c, max(d) FILTER (WHERE kind = 'words') AS w FROM nearest GROUP BY r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT (n_words >= {divergence.LEAST_WORDS} AND (c > {divergence.FAR_CHARS} OR w > {divergence.FAR_WORDS})) AS kept,
+       round(c, 9) AS char_distance, round(w, 9) AS word_distance
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base) JOIN far USING (r)"""
+
+
 def oracle_sql():
-    return {"op5_nearest": FINE + OP5}
+    return {"op3_divergence": op3_sql(), "op5_nearest": FINE + OP5}

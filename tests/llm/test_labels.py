@@ -23,3 +23,18 @@ def test_toxic_documents_of_each_language(spark):
     toxic, good = share("toxic"), share("good")
     assert set(toxic) == {"en", "fr", "de", "es"} and min(toxic.values()) >= 0.5
     assert min(good.values()) >= 0.99
+
+
+def test_sql_twins(spark):
+    """Queries with SQL give the same rows in DuckDB, distances and scores to nine decimals."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, sf)
+        rows = lambda xs: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in xs)
+        want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
+        assert rows(map(tuple, got.collect())) == rows(want) and want, name
