@@ -382,7 +382,8 @@ def test_byte_bpe(docs, odd):
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     small = odd.filter("doc_id is null or doc_id <> 5")  # the library needs minutes for one token of 300,000 bytes
     long_ = byte_bpe.document_codes(odd.filter("doc_id = 5"), BYTE, P.PATTERN, True).first()
-    assert b"".join({i: t for t, i in ranks.items()}[k] for k in long_.ids) == b"x" * 300_000
+    token = {i: t for t, i in ranks.items()}
+    assert b"".join(token[k] for k in long_.ids) == b"x" * 300_000
     runs = Counter(e.encode_ordinary("x" * 4096))
     assert long_.n_tokens == len(long_.ids) and set(long_.ids) == set(runs)
     for df in (docs, small):
