@@ -17,14 +17,14 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Index, free_name, slices
+from quire.llm.common import Index, slices
 from quire.llm.pretokens import segment_sums
 
 CARRY = 250_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class PerfectHash:
@@ -168,18 +168,19 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 def coder(path: str, pattern: str, with_ids: bool):
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Frames of a few million characters leave one by one, so that a task holds the ids of no more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, split = load_vocabulary(path), regex.compile(pattern).findall
         index = Index()
         ids, sizes = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
         starts = sizes
-        for s in series:
-            texts = [t if isinstance(t, str) else "" for t in s]
-            rows = []
+        for pdf in batches:
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             for a, b in slices([len(t) for t in texts], SLICE):
                 if len(index) > CARRY:
                     index, ids, sizes = Index(), ids[:0], sizes[:0]
-                known, flat, counts = len(index), [], []
+                known, flat, counts, rows = len(index), [], [], []
                 for t in texts[a:b]:
                     words = split(t)
                     flat += map(index.__getitem__, words)
@@ -195,24 +196,21 @@ def coder(path: str, pattern: str, with_ids: bool):
                     mine = flat[at[k] : at[k] + counts[k]]
                     own = ids[ranges(starts[mine], sizes[mine])]
                     row = (n, hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(vocabulary.decode(own).tobytes()).hexdigest())
-                    rows.append((*row, own.astype(np.int64)) if with_ids else row)  # arrays: a list would hold an object for each id
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+                    rows.append((*row, own.astype(np.int32)) if with_ids else row)  # arrays: a list would hold an object for each id
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].to_numpy())
+                yield out
 
     return run
 
 
-def encode_decode(path: str, pattern: str, text: Column, with_ids: bool = False) -> Column:
-    """Struct of n_tokens, ids_sha256 and decoded_sha256 of a text column, and ids if asked for."""
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
-    return F.pandas_udf(coder(path, pattern, with_ids), kind).asNondeterministic()(text)
-
-
 def document_codes(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes.
+    """doc_id, n_tokens and the SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes; the ids too if asked for.
 
     Null and empty texts have no ids. Every row gives a row, whatever its id; an empty table gives none; other columns
     are ignored, whatever their names.
     """
-    got = free_name(docs, "coded")
-    coded = docs.select("doc_id", encode_decode(path, pattern, F.col("text"), with_ids).alias(got))
-    return coded.select("doc_id", *[f"{got}.{c}" for c in ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids])
+    kind = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text on the way: pandas would turn nullable longs into doubles
+    coded = rows.mapInPandas(coder(path, pattern, with_ids), kind)
+    return coded.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
