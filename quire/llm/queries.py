@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from quire.llm import divergence
+from quire.llm.align import alignment_digests
 from quire.llm.byte_bpe import document_codes
 from quire.llm.divergence import quality_verdicts
 from quire.llm.langid import language_predictions
@@ -17,6 +18,7 @@ from quire.llm.vptree import simhash_components
 from quire.llm.wrapper import main_texts
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+BYTE_JSON, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Shares of the tokens that documents of each domain should have.
 WEIGHTS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 
@@ -44,6 +46,7 @@ def queries():
         "op8_simhash": lambda s, d: simhash_components(docs(s, d)),
         "op9_sequences": lambda s, d: sequence_digests(docs(s, d), public_tokenizers.path(WORD_BPE)),
         "op10_byte_bpe": lambda s, d: document_codes(docs(s, d), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN),
+        "op11_alignment": lambda s, d: alignment_digests(docs(s, d), public_tokenizers.path(BYTE_JSON), public_tokenizers.path(PIECES)),
         "pipeline": pipeline,
     }
 
