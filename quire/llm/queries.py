@@ -11,6 +11,7 @@ from quire.llm.divergence import quality_verdicts
 from quire.llm.langid import language_predictions
 from quire.llm.mixing import mixing_rates
 from quire.llm.nearest import nearest_vectors
+from quire.llm.packing import pack_documents
 from quire.llm.ppm import ppm_scores
 from quire.llm.pretokens import document_token_counts
 from quire.llm.sequences import sequence_digests
@@ -47,6 +48,7 @@ def queries():
         "op9_sequences": lambda s, d: sequence_digests(docs(s, d), public_tokenizers.path(WORD_BPE)),
         "op10_byte_bpe": lambda s, d: document_codes(docs(s, d), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN),
         "op11_alignment": lambda s, d: alignment_digests(docs(s, d), public_tokenizers.path(BYTE_JSON), public_tokenizers.path(PIECES)),
+        "op12_packing": lambda s, d: pack_documents(docs(s, d), public_tokenizers.path(BYTE_JSON)),
         "pipeline": pipeline,
     }
 
