@@ -7,6 +7,7 @@ import public_tokenizers
 from quire.llm import divergence
 from quire.llm.align import alignment_digests
 from quire.llm.byte_bpe import document_codes
+from quire.llm.collocations import collocations
 from quire.llm.divergence import quality_verdicts
 from quire.llm.langid import language_predictions
 from quire.llm.mixing import mixing_rates
@@ -49,6 +50,7 @@ def queries():
         "op10_byte_bpe": lambda s, d: document_codes(docs(s, d), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN),
         "op11_alignment": lambda s, d: alignment_digests(docs(s, d), public_tokenizers.path(BYTE_JSON), public_tokenizers.path(PIECES)),
         "op12_packing": lambda s, d: pack_documents(docs(s, d), public_tokenizers.path(BYTE_JSON)),
+        "op13_collocations": lambda s, d: collocations(docs(s, d)),
         "pipeline": pipeline,
     }
 
@@ -100,5 +102,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base) JOIN far USING (r)"""
 
 
+#: Phrases by windows over a row for each word, their cuts, and the longer phrases that hold them.
+OP13 = """WITH texts AS (SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT row_number() OVER () AS p, lang, piece FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts)),
+split AS (SELECT p, lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS l FROM pieces),
+words AS (SELECT p, lang, unnest(range(len(l))) AS i, unnest(l) AS w FROM split),
+next AS (SELECT lang, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY p ORDER BY i)),
+f AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest([[w], CASE WHEN w1 IS NOT NULL THEN [w, w1] END, CASE WHEN w2 IS NOT NULL THEN [w, w1, w2] END, CASE WHEN w3 IS NOT NULL THEN [w, w1, w2, w3] END]) AS g FROM next)
+      WHERE g IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+cuts AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+         FROM (SELECT *, unnest(range(1, len(g))) AS k FROM cand) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM cuts) WHERE o = 1),
+inner_ AS (SELECT lang, s, max(a) AS m FROM (SELECT lang, a, unnest(list_concat([g[i:i + 1] FOR i IN range(1, len(g))], CASE WHEN len(g) = 4 THEN [g[1:3], g[2:4]] ELSE [] END)) AS s FROM cand WHERE len(g) > 2) GROUP BY ALL),
+kept AS (SELECT l.lang, array_to_string(l.g, ' ') AS phrase, a, l, r, score FROM least l LEFT JOIN inner_ i ON i.lang = l.lang AND i.s = l.g WHERE m IS NULL OR CAST(100 AS HUGEINT) * m < CAST(80 AS HUGEINT) * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql():
-    return {"op3_divergence": op3_sql(), "op5_nearest": FINE + OP5}
+    return {"op3_divergence": op3_sql(), "op5_nearest": FINE + OP5, "op13_collocations": OP13}
