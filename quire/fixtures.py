@@ -53,7 +53,9 @@ SELECT event_id AS question_id, CASE WHEN event_id % 13 <> 0 THEN event_id % 300
 FROM {events}""",
     "fx_states": """
 SELECT event_id % 3000 AS doc_id, ts, event_id AS seq,
-       CASE event_type WHEN 'click' THEN 'yes' WHEN 'error' THEN 'no' WHEN 'view' THEN 'scan_hit' WHEN 'purchase' THEN 'scan_clear' ELSE 'other' END AS kind,
+       CASE event_type WHEN 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'agree' ELSE 'yes' END WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'refuse' ELSE 'no' END
+            WHEN 'view' THEN CASE WHEN user_id % 4 = 0 THEN 'ask' ELSE 'scan_hit' END WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0 THEN 'scan_clear' ELSE 'empty' END
+            ELSE CASE WHEN user_id % 5 = 0 THEN 'outside' ELSE 'ask' END END AS kind,
        CASE event_type WHEN 'click' THEN 'empty' WHEN 'error' THEN 'outside' WHEN 'view' THEN 'yes' WHEN 'purchase' THEN 'no' ELSE 'other' END AS turn,
        concat('question ', CAST(event_id AS VARCHAR(20))) AS question
 FROM {events}""",

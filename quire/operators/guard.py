@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,17 +72,80 @@ def consent_gate(scans: DataFrame, consents: DataFrame) -> DataFrame:
     return scans.join(given, "doc_id", "left").select("doc_id", F.col("found").alias("sensitive"), sure.alias("confirmed"), (~F.col("found") | sure).alias("allowed"))
 
 
+#: What an event does to a document's state, besides what depends on it: kinds of scans, answers and questions in the chat, and the consent form.
+KINDS = ("scan_hit", "scan_clear", "yes", "no", "ask", "agree", "refuse")
+
+
+def stepped(state: tuple[bool, bool, bool], kind: str) -> tuple[bool, bool, bool]:
+    """(sensitive, confirmed, awaiting) after an event of a kind; other kinds change nothing."""
+    sensitive, confirmed, awaiting = state
+    gated = sensitive and not confirmed
+    if kind in ("scan_hit", "scan_clear"):
+        return kind == "scan_hit", confirmed, False
+    if kind in ("agree", "refuse"):
+        return sensitive, kind == "agree", False
+    if gated and kind in ("yes", "no", "ask"):
+        return sensitive, kind == "yes", kind == "ask"
+    return state
+
+
+def state_bits(number: int) -> tuple[bool, bool, bool]:
+    return bool(number & 4), bool(number & 2), bool(number & 1)
+
+
+def composed(steps: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of `steps` takes the states 0 to 7 to others; rows of equal `group` lie together and are composed in order, in pairs of pairs."""
+    while True:
+        place = np.arange(len(group)) - np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])[np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))]
+        if not place.any():
+            return steps, group
+        left = np.flatnonzero(place % 2 == 0)
+        pair = left[(left + 1 < len(group)) & (place[np.minimum(left + 1, len(group) - 1)] % 2 == 1)]
+        steps[pair] = np.take_along_axis(steps[pair + 1], steps[pair], axis=1)
+        steps, group = steps[left], group[left]
+
+
+def composer(ordered: bool):
+    """A range of rows in order (doc_id, and a kind or a composed step): a row for each document with what the rows do to each state."""
+    of_kind = np.array([[sum(b << (2 - i) for i, b in enumerate(stepped(state_bits(s), k))) for s in range(8)] for k in (*KINDS, "other")], dtype=np.int8)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId(), None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if ordered:
+                steps = of_kind[pd.Categorical(pdf["kind"], [*KINDS]).codes]  # others and nulls are -1: the last row
+            else:
+                steps = np.array(pdf["step"].tolist(), dtype=np.int8)
+            docs = pdf["doc_id"].to_numpy()
+            if held is not None:
+                steps, docs = np.concatenate([held[0], steps]), np.concatenate([held[1], docs])
+            steps, docs = composed(steps, docs)
+            yield pd.DataFrame({"doc_id": docs[:-1], "part": part, "step": list(steps[:-1].astype(np.int32))})
+            held = steps[-1:], docs[-1:]  # the last document may go on in the next batch
+        if held is not None:
+            yield pd.DataFrame({"doc_id": held[1], "part": part, "step": list(held[0].astype(np.int32))})
+
+    return run
+
+
 def consent_state(events: DataFrame) -> DataFrame:
-    """doc_id, sensitive, confirmed, awaiting after all events (doc_id, ts, seq, kind in scan_hit, scan_clear, yes, no), in order.
+    """doc_id, sensitive, confirmed, awaiting after all events (doc_id, ts, seq, kind), in order.
+
+    A scan (scan_hit, scan_clear) says whether the document is sensitive and ends any waiting; the consent form (agree, refuse) says whether
+    it is confirmed. In the chat a sensitive document that isn't confirmed is gated: `yes` confirms it, any other question (ask) waits for
+    an answer, `no` ends the waiting; a chat about any other document changes nothing. Rows without a doc_id are left out, other kinds do nothing.
 
-    The last scan says whether the document is sensitive, the last answer whether it is confirmed; it awaits an answer while a hit is
-    the last of all events and isn't confirmed.
+    An event is a function of eight states, and such functions compose: ranges of events are composed on their own, however many
+    of them one document has, and a document's ranges after that, a row for each.
     """
-    last = lambda *kinds: F.max_by(F.when(F.col("kind").isin(*kinds), F.col("kind")), F.when(F.col("kind").isin(*kinds), F.struct("ts", "seq")))
-    each = events.groupBy("doc_id").agg(last("scan_hit", "scan_clear").alias("_scan"), last("yes", "no").alias("_answer"), last("scan_hit", "scan_clear", "yes", "no").alias("_last"))
-    sure = lambda c: F.coalesce(c, F.lit(False))
-    confirmed = sure(F.col("_answer") == "yes")
-    return each.select("doc_id", sure(F.col("_scan") == "scan_hit").alias("sensitive"), confirmed.alias("confirmed"), (sure(F.col("_last") == "scan_hit") & ~confirmed).alias("awaiting"))
+    rows = events.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "ts", "seq", "kind")
+    order = ["doc_id", "ts", "seq"]
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "kind").mapInPandas(composer(True), "doc_id long, part int, step array<int>")
+    last = ranges.repartition("doc_id").sortWithinPartitions("doc_id", "part").mapInPandas(composer(False), "doc_id long, part int, step array<int>")
+    bit = lambda n: F.col("step")[0].bitwiseAND(n) > 0
+    return last.select("doc_id", bit(4).alias("sensitive"), bit(2).alias("confirmed"), bit(1).alias("awaiting"))
 
 
 def processing_status(results: DataFrame) -> DataFrame:

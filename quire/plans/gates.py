@@ -25,12 +25,17 @@ def greeting_sql(column: str) -> str:
     return f"{column} <> '' AND (({short}) OR regexp_matches({column}, '{words_sql(guard.GREETINGS)}'))"
 
 
-#: State of documents after their events, from `states` (doc_id, ts, seq, kind, turn, question).
-STATES = """consents AS (
-  SELECT doc_id, coalesce(scan = 'scan_hit', FALSE) AS sensitive, coalesce(answer = 'yes', FALSE) AS confirmed,
-         coalesce(last = 'scan_hit', FALSE) AND NOT coalesce(answer = 'yes', FALSE) AS awaiting
-  FROM (SELECT doc_id, arg_max(kind, seq) FILTER (WHERE kind IN ('scan_hit', 'scan_clear')) AS scan, arg_max(kind, seq) FILTER (WHERE kind IN ('yes', 'no')) AS answer,
-               arg_max(kind, seq) FILTER (WHERE kind <> 'other') AS last FROM states GROUP BY doc_id)),
+#: State of documents after their events, from `states` (doc_id, ts, seq, kind, turn, question): what scans said so far; then the last event that
+#: set the consent (the form, or a yes while the document was sensitive); then the last that set or ended the waiting.
+STATES = """scanned AS (
+  SELECT *, last_value(CASE WHEN kind LIKE 'scan%' THEN kind = 'scan_hit' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ts, seq) AS hit FROM states),
+settled AS (
+  SELECT *, last_value(CASE WHEN kind IN ('agree', 'refuse') THEN kind = 'agree' WHEN kind = 'yes' AND hit THEN TRUE END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ts, seq) AS sure FROM scanned),
+gated AS (SELECT *, coalesce(hit, FALSE) AND NOT coalesce(lag(sure) OVER (PARTITION BY doc_id ORDER BY ts, seq), FALSE) AS gate FROM settled),
+consents AS (
+  SELECT doc_id, coalesce(arg_max(hit, (ts, seq)), FALSE) AS sensitive, coalesce(arg_max(sure, (ts, seq)), FALSE) AS confirmed,
+         coalesce(arg_max(gate AND kind = 'ask', (ts, seq)) FILTER (WHERE kind LIKE 'scan%' OR kind IN ('agree', 'refuse') OR (gate AND kind IN ('yes', 'no', 'ask'))), FALSE) AS awaiting
+  FROM (SELECT doc_id, ts, seq, kind, coalesce(hit, FALSE) AS hit, coalesce(sure, FALSE) AS sure, gate FROM gated) GROUP BY doc_id),
 fallbacks AS (
   SELECT doc_id, question AS pending FROM (
     SELECT doc_id, turn, question, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS k FROM states WHERE turn <> 'other')

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from quire.operators.guard import scan_sensitive
+from quire.operators.guard import scan_sensitive, stepped
 from quire.operators.metrics import BOUNDS
 from quire.operators.text import chunk
 
@@ -45,64 +45,157 @@ def request_metrics(requests: DataFrame, late: str = "10 minutes", window: str =
     return sums.select("*", *[bound(x / 100).alias(f"p{x}_ms") for x in (50, 90, 99)])
 
 
-def consent_state(events: DataFrame) -> DataFrame:
-    """doc_id, sensitive, confirmed, awaiting, pending after each batch of events (doc_id, ts, seq, kind, question).
-
-    Pending is the question that came with the last hit, while it awaits an answer.
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries over consent_state, rate_limit and expire_shares are started within this: their processors need a state store with timers."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class InOrder(StatefulProcessor):
+    """Holds a key's rows (micros, seq, ...) until the watermark has passed them, and folds them in order of time, whatever batches they
+    came in. A timer waits for the first row held, another for the deadline of the state; rows of the delay are all that is held."""
+
+    ROW = STATE = ""
+    START: tuple = ()
+
+    def init(self, handle) -> None:
+        self.handle, self.held, self.state = handle, handle.getListState("held", self.ROW), handle.getValueState("state", self.STATE)
+
+    def step(self, state: tuple, row: tuple, out: list[tuple]) -> tuple:
+        """The state after a row; what it tells is appended to `out`."""
+        raise NotImplementedError
+
+    def deadline(self, state: tuple) -> int | None:
+        """When the state ends by itself."""
+        return None
+
+    def ended(self, state: tuple, out: list[tuple]) -> None:
+        """What is told when it does."""
+
+    def frame(self, key: tuple, state: tuple | None, out: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        names = [c.split()[0] for c in self.ROW.split(", ")]
+        new = [r for pdf in rows for r in pdf[names].astype(object).itertuples(index=False, name=None)]
+        if new:
+            self.held.appendList(new)
+            self.wake(min(r[0] for r in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held, state, out = sorted(self.held.get(), key=lambda r: r[:2]), self.state.get() if self.state.exists() else self.START, []
+        ready = [r for r in held if r[0] <= now]
+        for row in ready:
+            if (end := self.deadline(state)) is not None and end <= row[0]:
+                self.ended(state, out)
+                state = self.START
+            state = self.step(state, row, out)
+        if (end := self.deadline(state)) is not None and end <= now:
+            self.ended(state, out)
+            state = self.START
+        elif end is not None:
+            self.wake(end)
+        if ready:
+            self.held.clear()
+            if later := held[len(ready) :]:
+                self.held.put(later)
+                self.wake(later[0][0])
+        if state == self.START:
+            self.state.clear()
+        else:
+            self.state.update(state)
+        if ready or out:
+            yield self.frame(key, state, out)
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(rows: DataFrame, key: str, processor: InOrder, told: str, late: str, mode: str = "Append") -> DataFrame:
+    held = rows.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts"))
+    return held.groupBy(key).transformWithStateInPandas(processor, told, mode, "EventTime")
+
+
+class Consent(InOrder):
+    ROW, STATE = "micros long, seq long, kind string, question string", "micros long, seq long, sensitive boolean, confirmed boolean, awaiting boolean, pending string"
+    START = (None, None, False, False, False, None)
+
+    def step(self, state, row, out):
+        micros, seq, kind, question = row
+        _, _, sensitive, confirmed, awaiting, pending = state
+        if kind in ("empty", "outside"):
+            pending = question
+        elif kind in ("yes", "no") and not (sensitive and not confirmed):
+            pending = None
+        return (micros, seq, *stepped((sensitive, confirmed, awaiting), kind), pending)
+
+    def frame(self, key, state, out):
+        return pd.DataFrame([(key[0], *state)], columns=["doc_id", "micros", "seq", "sensitive", "confirmed", "awaiting", "pending"])
+
+
+def consent_state(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """doc_id, micros, seq (of the last event), sensitive, confirmed, awaiting, pending after events (doc_id, ts, seq, kind, question) that the watermark has passed.
+
+    Kinds are those of guard.consent_state, and `empty` and `outside` for questions that the document didn't answer: the last of them is pending
+    until a `yes` or `no` that isn't about consent.
     """
-    columns = "sensitive boolean, confirmed boolean, awaiting boolean, pending string"
+    return in_order(events, "doc_id", Consent(), f"doc_id long, {Consent.STATE}", late, "Update")
+
+
+class Limit(InOrder):
+    ROW, STATE, START = "micros long, seq long", "start long, n long", (None, 0)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sensitive, confirmed, awaiting, pending = state.get if state.exists else (False, False, False, None)
-        new = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        for kind, question in zip(new["kind"], new["question"]):
-            if kind in ("scan_hit", "scan_clear"):
-                sensitive = kind == "scan_hit"
-                awaiting = sensitive and not confirmed
-                pending = question if awaiting else None
-            elif kind in ("yes", "no"):
-                confirmed, awaiting, pending = kind == "yes", False, None
-        state.update((sensitive, confirmed, awaiting, pending))
-        yield pd.DataFrame([(key[0], sensitive, confirmed, awaiting, pending)], columns=["doc_id", "sensitive", "confirmed", "awaiting", "pending"])
+    def __init__(self, most: int, span: int):
+        self.most, self.span = most, span
 
-    return events.groupBy("doc_id").applyInPandasWithState(step, f"doc_id long, {columns}", columns, "update", GroupStateTimeout.NoTimeout)
+    def step(self, state, row, out):
+        t0, n = (row[0], 0) if state[0] is None else state
+        ok = n < self.most
+        out.append((row[0], row[1], ok, n + ok, None if ok else -((row[0] - t0 - self.span) // 3_600_000_000)))
+        return t0, n + ok
+
+    def deadline(self, state):
+        return None if state[0] is None else state[0] + self.span
+
+    def frame(self, key, state, out):
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["user_id", "micros", "seq", "allowed", "count_in_window", "retry_hours"]).astype({"retry_hours": "Int64"})
 
 
 def rate_limit(events: DataFrame, most: int = 3, hours: int = 24, late: str = "10 minutes") -> DataFrame:
-    """user_id, ts, allowed, count_in_window, retry_hours (where not allowed) for live changes (user_id, ts, seq)."""
-    span = hours * 3600.0
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        t0, n = state.get if state.exists else (float("-inf"), 0)
-        rows = []
-        for ts in pd.concat(list(frames)).sort_values(["ts", "seq"])["ts"]:
-            t = ts.timestamp()
-            if t - t0 >= span:
-                t0, n = t, 0
-            ok = n < most
-            n += ok
-            rows.append((key[0], ts, ok, n, None if ok else math.ceil((t0 + span - t) / 3600)))
-        state.update((t0, n))
-        state.setTimeoutTimestamp(max(int((t0 + span) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["user_id", "ts", "allowed", "count_in_window", "retry_hours"]).astype({"retry_hours": "Int64"})
-
-    told = "user_id long, ts timestamp, allowed boolean, count_in_window long, retry_hours long"
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, told, "t0 double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    """user_id, ts, seq, allowed, count_in_window, retry_hours (where not allowed) for live changes (user_id, ts, seq) that the watermark has passed."""
+    told = in_order(events, "user_id", Limit(most, hours * 3_600_000_000), "user_id long, micros long, seq long, allowed boolean, count_in_window long, retry_hours long", late)
+    return told.withColumn("ts", F.timestamp_micros("micros")).drop("micros")
+
+
+class Expiry(InOrder):
+    ROW, STATE, START = "micros long, seq long, end long", "end long", (None,)
+
+    def step(self, state, row, out):
+        return (row[2] if state[0] is None else max(state[0], row[2]),)
+
+    def deadline(self, state):
+        return state[0]
+
+    def ended(self, state, out):
+        out.append(state)
+
+    def frame(self, key, state, out):
+        return pd.DataFrame([(key[0], r[0]) for r in out], columns=["share_id", "end"])
 
 
 def expire_shares(shares: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """share_id of shares (share_id, ts, expires_at) once event time has passed their expiry; a later row extends it."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"share_id": [key[0]]})
-            return
-        end = max([int(x.timestamp() * 1000) for f in frames for x in f["expires_at"]] + ([state.get[0]] if state.exists else []))
-        state.update((end,))
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-
-    return shares.withWatermark("ts", late).groupBy("share_id").applyInPandasWithState(step, "share_id string", "expires long", "append", GroupStateTimeout.EventTimeTimeout)
+    """share_id, expired_at of shares (share_id, ts, expires_at) once event time has passed their expiry; a row before that extends it, a row
+    after it starts the share anew."""
+    told = in_order(shares.withColumn("seq", F.lit(0).cast("long")).withColumn("end", F.unix_micros("expires_at")), "share_id", Expiry(), "share_id string, end long", late)
+    return told.select("share_id", F.timestamp_micros("end").alias("expired_at"))
