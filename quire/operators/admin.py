@@ -148,9 +148,14 @@ def find_documents(documents: DataFrame, search: str = "", kind: str = "") -> Da
     return some.select("doc_id", "user_id", "name", "type", "size", "uploaded_at")
 
 
-def document_page(documents: DataFrame, users: DataFrame, search: str = "", kind: str = "", page: int = 1, limit: int = 20) -> DataFrame:
-    """A page of the documents found, newest first, with the owner."""
-    top = paged(find_documents(documents, search, kind), [F.desc("uploaded_at"), F.desc("doc_id")], page, max(1, min(200, limit)))
+def document_page(documents: DataFrame, users: DataFrame, search: str = "", kind: str = "", page: int = 1, limit: int = 20, sort: str = "uploaded_at", ascending: bool = False) -> DataFrame:
+    """A page of the documents found, by any of their fields (newest first unless told otherwise), with the owner; equals are in the order of doc_id,
+    the other way round where the sort is descending."""
+    found = find_documents(documents, search, kind)
+    if sort not in found.columns:
+        raise ValueError(f"documents are sorted by one of {', '.join(found.columns)}")
+    order = [c.asc() if ascending else c.desc() for c in (F.col(sort), F.col("doc_id"))]
+    top = paged(found, order, page, max(1, min(200, limit)))
     return top.join(users.select("user_id", F.col("name").alias("owner")), "user_id", "left")
 
 

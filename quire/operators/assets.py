@@ -70,14 +70,29 @@ def clean_cards(rows: DataFrame, k: int = 15) -> DataFrame:
     return fine.select("request_id", "round", "at", shorten(F.col("front"), 200).alias("front"), shorten(F.col("back"), 600).alias("back"), F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("General")).alias("category"), F.when(level.isin("Easy", "Medium", "Hard"), level).otherwise("Medium").alias("difficulty"))
 
 
-def assemble_deck(cards: DataFrame, n: int = 20) -> DataFrame:
-    """request_id, position, front, back, category, difficulty: distinct cards of rounds 1 to 3, up to the first round that adds none, at most n (3 to 50)."""
+def assemble_deck(cards: DataFrame, n: int = 20, rounds: int = 3, each: int = 15) -> DataFrame:
+    """request_id, position, front, back, category, difficulty: distinct cards, at most n (3 to 50), in the order of their rounds.
+
+    A round asks for what is missing, at most `each`, and looks at no more of its elements (`at` under that number, whether or not they
+    are cards); a round that adds none is the last. A request has at most rounds * each cards to fold.
+    """
     n = max(3, min(50, n))
-    first = cards.filter("round <= 3").withColumn("_n", F.row_number().over(Window.partitionBy("request_id", "front", "back").orderBy("round", "at"))).filter("_n = 1")
-    gains = cards.filter("round <= 3").select("request_id", "round").distinct().join(first.groupBy("request_id", "round").agg(F.count("*").alias("_g")), ["request_id", "round"], "left")
-    dry = gains.filter("_g is null").groupBy("request_id").agg(F.min("round").alias("_stop"))
-    kept = first.join(dry, "request_id", "left").filter("_stop is null or round < _stop")
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy("round", "at"))).filter(F.col("position") <= n).select("request_id", "position", "front", "back", "category", "difficulty")
+    card = F.struct("round", "at", "front", "back", "category", "difficulty")
+    asked = cards.filter((F.col("round") <= rounds) & (F.col("at") < each)).groupBy("request_id").agg(F.array_sort(F.collect_list(card)).alias("cards"))
+    kind = "array<struct<front: string, back: string, category: string, difficulty: string>>"
+    start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).cast(cards.schema["round"].dataType).alias("round"), F.lit(0).alias("before"), F.lit(False).alias("over"))
+
+    def step(acc: Column, c: Column) -> Column:
+        size, new = F.size(acc["kept"]), c["round"] != acc["round"]
+        # a new round ends it all if the one before added none, or wasn't there
+        over = acc["over"] | (new & ((c["round"] != acc["round"] + 1) | ((acc["round"] > 0) & (size == acc["before"]))))
+        before = F.when(new, size).otherwise(acc["before"])
+        fits = ~over & (c["at"] < F.least(F.lit(each), n - before)) & (size < n) & ~F.exists(acc["kept"], lambda k: (k["front"] == c["front"]) & (k["back"] == c["back"]))
+        one = F.struct(c["front"].alias("front"), c["back"].alias("back"), c["category"].alias("category"), c["difficulty"].alias("difficulty"))
+        return F.struct(F.when(fits, F.array_append(acc["kept"], one)).otherwise(acc["kept"]).alias("kept"), c["round"].alias("round"), before.alias("before"), over.alias("over"))
+
+    deck = asked.select("request_id", F.posexplode(F.aggregate("cards", start, step, lambda acc: acc["kept"])).alias("pos", "x"))
+    return deck.select("request_id", (F.col("pos") + 1).alias("position"), "x.*")
 
 
 def grade_quiz(answers: DataFrame, key: DataFrame) -> DataFrame:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from quire.functions.strings import keywords, ordered_join, strip
 from quire.functions.vectors import dot, doubles, norm, square_gap
@@ -12,9 +19,31 @@ from quire.functions.vectors import dot, doubles, norm, square_gap
 BROADCAST_TERMS = 200_000
 
 
-def with_embeddings(chunks: DataFrame, embed) -> DataFrame:
-    """Adds embedding by the caller's column function of text (an Arrow UDF, say); rows without one are dropped."""
-    return chunks.withColumn("embedding", embed(F.col("text"))).filter("embedding is not null")
+@lru_cache(maxsize=4)
+def loaded(load: Callable[[], Callable]) -> Callable:
+    """A model, loaded once in each worker process."""
+    return load()
+
+
+def with_embeddings(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list]], batch: int = 64, text: str = "text") -> DataFrame:
+    """Adds embedding (array<float>): `load`, a function of a module, gives a function from up to `batch` texts to as many vectors, or None where one failed;
+    rows without a vector are dropped, and so is a batch for which the function raises. Null texts are asked for as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(load)
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                try:
+                    vectors = model([t or "" for t in part.column(text).to_pylist()])
+                except Exception as error:  # the batch is lost, as the rows of a failed call are
+                    warnings.warn(f"a batch of {part.num_rows} texts could not be embedded: {error}", stacklevel=2)
+                    continue
+                held = part.append_column("embedding", pa.array(vectors, pa.list_(pa.float32())))
+                yield held.filter(pc.is_valid(held.column("embedding")))
+
+    fields = [f for f in chunks.schema if f.name != "embedding"]
+    return chunks.select(*[f"`{f.name}`" for f in fields]).mapInArrow(run, StructType([*fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
 def has_index(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -82,8 +111,10 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, limit: int = 20) -> Da
 
 
 def substring_search(queries: DataFrame, chunks: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, doc_id, chunk, score (null), rank: a user's chunks that contain the query whatever its case, by document and chunk."""
-    hits = queries.select("query_id", "user_id", "q").join(chunks.select("user_id", "doc_id", "chunk", "text"), "user_id").filter(F.lower("text").contains(F.lower("q")))
+    """query_id, doc_id, chunk, score (null), rank: a user's chunks that contain the trimmed query whatever its case, by document and chunk; a
+    blank query finds nothing. Meets each query with all chunks of its user; `search` has a stored form."""
+    asked = queries.select("query_id", "user_id", strip(F.col("q")).alias("q")).filter("q <> ''")
+    hits = asked.join(chunks.select("user_id", "doc_id", "chunk", "text"), "user_id").filter(F.lower("text").contains(F.lower("q")))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "chunk"))).filter(F.col("rank") <= min(50, limit)).select("query_id", "doc_id", "chunk", F.lit(None).cast("double").alias("score"), "rank")
 
 

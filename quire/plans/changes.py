@@ -200,7 +200,7 @@ QUERIES = {
            UNION ALL SELECT b.doc_id, CAST(chunk AS INT), d.user_id, CASE WHEN seq % 3 = 0 THEN d.name ELSE 'new.txt' END, CASE WHEN seq % 2 = 1 THEN 'Sheet1' END, digest, 0
            FROM (SELECT doc_id, chunk, max(seq) AS seq, arg_max(md5(text), seq) AS digest FROM brought WHERE doc_id <> 4 AND seq % 9 > 0 GROUP BY doc_id, chunk) b JOIN fx_documents d USING (doc_id)""",
     ),
-    "write_flashcards_json": (_cards, f"WITH cards AS ({CARDS})\n{DECK}"),
+    "write_flashcards_json": (_cards, f"WITH cards AS ({CARDS}), {DECK}"),
     "read_tables": (
         _entities,
         """SELECT 'users' AS entity, count(*) AS n FROM fx_users UNION ALL SELECT 'documents', count(*) FROM fx_documents UNION ALL SELECT 'messages', count(*) FROM fx_messages

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import guard, intake, retrieve, text
-from quire.plans.queries import COUNTS, SELECTED, STRIP
+from quire.plans.queries import CHUNKS, COUNTS, SELECTED, STRIP
 
 FOUND = " + ".join(COUNTS.values())
 NOT_WORD = "[^\\p{L}\\p{N}_]"
@@ -57,6 +57,11 @@ routes AS (SELECT question_id, CASE
 FROM (SELECT *, {squeezed('question')} AS s FROM ({asks})))"""
 
 
+def length_model():
+    """A model that gives nothing for some texts."""
+    return lambda texts: [[len(t), 1.0] if len(t) % 5 else None for t in texts]
+
+
 def _route(t):
     chunks = text.chunk(t("fx_paragraphs"))
     rude = guard.has_profanity(t("fx_asks"), t("customer").select(F.col("c_mktsegment").alias("word")), "question_id", "question")
@@ -162,9 +167,14 @@ FROM routes LEFT JOIN told USING (question_id)""",
         f"SELECT doc_id, name FROM fx_documents WHERE {STRIP.format('text')} <> ''",
     ),
     "with_embeddings": (
-        lambda t: retrieve.with_embeddings(t("documents").select("doc_id", "text"), lambda c: F.when(F.length(c) % 5 > 0, F.array(F.length(c).cast("double"), F.lit(1.0)))).select("doc_id", F.size("embedding").alias("n"), F.get("embedding", 0).alias("first")),
+        lambda t: retrieve.with_embeddings(t("documents").select("doc_id", "text"), length_model).select("doc_id", F.size("embedding").alias("n"), F.get("embedding", 0).cast("double").alias("first")),
         "SELECT doc_id, 2 AS n, CAST(length(text) AS DOUBLE) AS first FROM documents WHERE length(text) % 5 > 0",
     ),
+    "index_chunks_embedded": (
+        lambda t: text.index_chunks(t("fx_paragraphs").withColumn("filename", F.lit(None).cast("string")), embed=lambda rows: retrieve.with_embeddings(rows, length_model)).select("chunk_id", "doc_id", "chunk", F.md5("text").alias("digest"), F.get("embedding", 0).cast("double").alias("first")),
+        f"""SELECT concat(CAST(doc_id AS VARCHAR), '_', CAST(k AS VARCHAR)) AS chunk_id, doc_id, CAST(k AS INT) AS chunk, digest, first FROM (
+              SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS k, md5(text) AS digest, CAST(length(text) AS DOUBLE) AS first FROM ({CHUNKS}) WHERE length(text) % 5 > 0)""",
+    ),
     "headings": (lambda t: text.headings(t("documents")), HEADINGS),
     "suggest_topics": (
         _topics,
@@ -175,9 +185,9 @@ FROM routes LEFT JOIN told USING (question_id)""",
     "clean_selection": (lambda t: t("documents").select("doc_id", F.md5(text.clean_selection(F.col("text"))).alias("digest")), f"SELECT doc_id, md5({CLEAN}) AS digest FROM documents"),
     "format_answer": (lambda t: t("documents").select("doc_id", F.md5(text.format_answer(F.col("text"))).alias("digest")), f"SELECT doc_id, md5({FORMAT}) AS digest FROM documents"),
     "split_sections": (
-        lambda t: text.split_sections(t("documents").withColumn("text", F.replace("text", F.lit(" the "), F.lit("\n# Sheet: the\n")))).select("doc_id", "section", "sheet", F.md5("text").alias("digest")),
-        f"""SELECT doc_id, CAST(section AS INT) AS section, CASE WHEN section > 0 THEN 'the' END AS sheet, md5(part) AS digest FROM (
-              SELECT doc_id, unnest(range(len(l))) AS section, unnest(l) AS part FROM (SELECT doc_id, string_split(text, ' the ') AS l FROM documents))
+        lambda t: text.split_sections(t("documents").withColumn("text", F.replace("text", F.lit(" the "), F.lit("\r\n# Sheet:  the \r ")))).select("doc_id", "section", "sheet", F.md5("text").alias("digest")),
+        f"""SELECT doc_id, CAST(section AS INT) AS section, CASE WHEN section > 0 THEN 'the' END AS sheet, md5(CASE WHEN n = 1 THEN part ELSE {STRIP.format("replace(replace(part, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} END) AS digest FROM (
+              SELECT doc_id, unnest(range(len(l))) AS section, unnest(l) AS part, len(l) AS n FROM (SELECT doc_id, string_split(text, ' the ') AS l FROM documents))
             WHERE {STRIP.format('part')} <> ''""",
     ),
     "validate_files": (

@@ -147,7 +147,7 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
            ORDER BY doc_id, chunk) AS INT) AS rank
            FROM asked
            JOIN owned USING (user_id)
-           WHERE contains(lower(text), lower(q)))
+           WHERE contains(lower(text), lower(regexp_replace(q, '^\\s+|\\s+$', '', 'g'))) AND regexp_replace(q, '^\\s+|\\s+$', '', 'g') <> '')
            WHERE rank <= 20""",
     ),
     "snippet": (
@@ -298,6 +298,16 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
            FROM fx_messages
            GROUP BY 1) c USING (user_id)""",
     ),
+    "document_page_by_size": (
+        lambda t: admin.document_page(t("fx_documents"), t("fx_users"), "file_", "", 2, 15, "size", True),
+        """SELECT d.user_id, doc_id, d.name, type, size, uploaded_at, u.name AS owner
+           FROM (SELECT *
+           FROM fx_documents
+           WHERE contains(name, 'file_')
+           ORDER BY size, doc_id
+           LIMIT 15 OFFSET 15) d
+           LEFT JOIN fx_users u USING (user_id)""",
+    ),
     "document_page": (
         lambda t: admin.document_page(t("fx_documents"), t("fx_users"), "file_1", "text/plain"),
         """SELECT d.user_id, doc_id, d.name, type, size, uploaded_at, u.name AS owner
@@ -460,9 +470,9 @@ def full_sql(sql: str) -> str:
 
 
 def all_queries():
-    from quire.plans import changes, gates, live, study
+    from quire.plans import changes, gates, indexes, live, study
 
-    return QUERIES | gates.QUERIES | study.QUERIES | changes.QUERIES | live.QUERIES
+    return QUERIES | gates.QUERIES | study.QUERIES | changes.QUERIES | live.QUERIES | indexes.QUERIES
 
 
 def load_from(spark, sf_dir):

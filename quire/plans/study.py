@@ -48,12 +48,24 @@ CARDS = f"""SELECT request_id, round, CAST(pos AS INT) AS "at", {shortened('fron
   SELECT request_id, round, pos, {said('front')} AS front, {said('back')} AS back, {said('category')} AS category, {said('difficulty')} AS difficulty
   FROM ({listed('fx_cards', 'flashcards', 'request_id, round')}) WHERE pos < 15)
 WHERE front <> '' AND back <> ''"""
-DECK = f"""SELECT request_id, CAST(position AS INT) AS position, front, back, category, difficulty FROM (
-  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round, "at") AS position FROM (
-    SELECT *, min(CASE WHEN gained = 0 THEN round END) OVER (PARTITION BY request_id) AS stop FROM (
-      SELECT *, sum(CAST(k = 1 AS INT)) OVER (PARTITION BY request_id, round) AS gained FROM (
-        SELECT *, row_number() OVER (PARTITION BY request_id, front, back ORDER BY round, "at") AS k FROM cards WHERE round <= 3)))
-  WHERE k = 1 AND (stop IS NULL OR round < stop)) WHERE position <= 20"""
+
+
+def deck_sql(n: int) -> str:
+    """Decks of `cards` round by round: what is missing says how many elements a round looks at."""
+    firsts = lambda k, left, known: f"""SELECT * EXCLUDE (k) FROM (SELECT c.*, row_number() OVER (PARTITION BY c.request_id, c.front, c.back ORDER BY c."at") AS k
+      FROM cards c {left} WHERE c.round = {k} AND c."at" < {'15' if k == 1 else 'missing'} {known}) WHERE k = 1"""
+    unknown = lambda *of: "".join(f" AND (c.request_id, c.front, c.back) NOT IN (SELECT (request_id, front, back) FROM {r})" for r in of)
+    left = "JOIN {} m ON m.request_id = c.request_id"
+    return f"""r1 AS ({firsts(1, '', f'AND c."at" < {n}')}),
+m1 AS (SELECT request_id, least(15, {n} - count(*)) AS missing, count(*) AS n FROM r1 GROUP BY request_id),
+r2 AS ({firsts(2, left.format('m1'), unknown('r1'))}),
+m2 AS (SELECT request_id, least(15, {n} - m1.n - count(*)) AS missing FROM r2 JOIN m1 USING (request_id) GROUP BY request_id, m1.n),
+r3 AS ({firsts(3, left.format('m2'), unknown('r1', 'r2'))})
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round, "at") AS INT) AS position, front, back, category, difficulty
+FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)"""
+
+
+DECK = deck_sql(20)
 #: Answers to a quiz: right ones, ones with blanks around, wrong ones, and some left out.
 ANSWERED = "CASE (request_id + position) % 4 WHEN 0 THEN correct_answer WHEN 1 THEN concat(' ', correct_answer, ' ') WHEN 2 THEN 'wrong' END"
 
@@ -105,7 +117,8 @@ QUERIES = {
             FROM (SELECT request_id, {parsed('raw')} AS j FROM fx_quiz) r LEFT JOIN (SELECT DISTINCT request_id FROM ({QUIZ})) q USING (request_id)""",
     ),
     "clean_cards": (_cards, CARDS),
-    "assemble_deck": (lambda t: assets.assemble_deck(_cards(t)), f"WITH cards AS ({CARDS})\n{DECK}"),
+    "assemble_deck": (lambda t: assets.assemble_deck(_cards(t)), f"WITH cards AS ({CARDS}), {DECK}"),
+    "assemble_small_deck": (lambda t: assets.assemble_deck(_cards(t), 5), f"WITH cards AS ({CARDS}), {deck_sql(5)}"),
     "grade_quiz": (
         _graded,
         f"""SELECT request_id, CAST(score AS BIGINT) AS score, total, percent, CASE WHEN percent >= 90 THEN 'excellent' WHEN percent >= 70 THEN 'good' WHEN percent >= 50 THEN 'fair' ELSE 'poor' END AS band
