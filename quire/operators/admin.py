@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.intake import WORD_TYPES, extension
+from quire.sources.scratch import shared_folder
 
 #: MIME types and endings by class of document, first match wins.
 DOCUMENT_CLASSES = {
@@ -264,48 +262,115 @@ def history_view(documents: DataFrame, user: int, term: str = "", sort: str = "d
 
 
 def link_identities(users: DataFrame, logins: DataFrame) -> DataFrame:
-    """login_id, user_id, google_id, action (linked, known, new), name, avatar of logins (login_id, google_id, email, name, avatar): by
+    """login_id, user_id, google_id, action (linked, known, new), name, avatar of logins (login_id, google_id, email, name, avatar), in the order of login_id: by
     google id, else by email.
 
-    A user found by email without a google id gets the login's; a known user keeps their name and avatar where they have one, a
-    new name is the email before its @. The rows are what the users table holds after the logins.
+    A user found by email without a google id gets that of their first login so found, and its avatar where they have none; a known user stays as they
+    are. A login that finds no user makes one, named by what stands before the @ of the email unless it says a name, whom later
+    logins find (as known). The rows are what the users table holds after each login; a made user has no user_id yet.
     """
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     by_id = users.filter("google_id is not null").select("google_id", F.col("user_id").alias("_a"), F.struct("name", "avatar").alias("_pa"))
     by_mail = users.select(F.lower("email").alias("_mail"), F.col("user_id").alias("_b"), F.col("google_id").alias("_g"), F.struct("name", "avatar").alias("_pb"))
     rows = logins.withColumn("_mail", F.lower(F.trim("email"))).join(by_id, "google_id", "left").join(by_mail, "_mail", "left")
-    action = F.when(F.col("_a").isNotNull(), "known").when(F.col("_b").isNotNull(), F.when(F.col("_g").isNull(), "linked").otherwise("known")).otherwise("new")
-    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
-    held, said = F.coalesce("_pa", "_pb"), F.coalesce(filled(F.col("name")), F.split("_mail", "@")[0])
-    google = F.when(F.col("_a").isNotNull(), F.col("google_id")).otherwise(F.coalesce("_g", "google_id"))
-    return rows.select("login_id", F.coalesce("_a", "_b").alias("user_id"), google.alias("google_id"), action.alias("action"), F.coalesce(filled(held["name"]), said).alias("name"), F.coalesce(filled(held["avatar"]), filled(F.col("avatar"))).alias("avatar"))
-
-
-def limited(most: int, span: float):
-    """Rows come sorted by user and time; of what was before, the user's window and its count are all that is kept."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, t0, n = None, 0.0, 0
-        for pdf in batches:
-            out = []
-            for u, t in zip(pdf["user_id"].tolist(), pdf["t"].tolist()):
-                if u != user or t - t0 >= span:
-                    user, t0, n = u, t, 0
-                ok = n < most
-                n += ok
-                out.append((ok, n, None if ok else -int((t - t0 - span) // 3600)))
-            yield pd.DataFrame(out, columns=["allowed", "count_in_window", "retry_hours"]).assign(user_id=pdf["user_id"].to_numpy(), ts=pdf["ts"].to_numpy())[["user_id", "ts", "allowed", "count_in_window", "retry_hours"]].astype({"retry_hours": "Int64"})
-
-    return run
-
-
-def rate_limit(events: DataFrame, most: int = 3, hours: int = 24) -> DataFrame:
+    free = F.col("_a").isNull() & F.col("_b").isNotNull() & F.col("_g").isNull()
+    links = rows.filter(free).groupBy("_b").agg(F.min(F.struct("login_id", "google_id", filled(F.col("avatar")).alias("avatar"))).alias("_link"))
+    # who logs in by the google id that an earlier login linked finds that user
+    linked = links.select(F.col("_link.google_id").alias("google_id"), F.col("_link.login_id").alias("_since"), F.col("_b").alias("_c")).groupBy("google_id").agg(F.min(F.struct("_since", "_c")).alias("_x"))
+    rows = rows.join(linked.select("google_id", "_x._since", "_x._c"), "google_id", "left").withColumn("_c", F.when((F.col("_since") < F.col("login_id")) & F.col("_a").isNull(), F.col("_c")))
+    known = rows.withColumn("_u", F.coalesce("_a", "_c", "_b"))
+    found = known.filter("_u is not null").join(users.select(F.col("user_id").alias("_u"), F.struct("name", "avatar", F.col("google_id").alias("g")).alias("_own")), "_u").join(links.withColumnRenamed("_b", "_u"), "_u", "left")
+    after = F.col("_link.login_id") <= F.col("login_id")
+    action = F.when(F.col("_own.g").isNull() & (F.col("_link.login_id") == F.col("login_id")), "linked").otherwise("known")
+    own, pic = F.col("_own"), filled(F.col("_own.avatar"))
+    said = F.coalesce(filled(F.col("name")), F.split("_mail", "@")[0])
+    told = found.select("login_id", F.col("_u").alias("user_id"), F.coalesce(own["g"], F.when(after, F.col("_link.google_id"))).alias("google_id"), action.alias("action"), own["name"].alias("name"), F.coalesce(pic, F.when(own["g"].isNull() & after, F.col("_link.avatar"))).alias("avatar"))
+    return told.unionByName(made_users(known.filter("_u is null").select("login_id", "google_id", F.col("_mail").alias("mail"), said.alias("name"), filled(F.col("avatar")).alias("avatar"))))
+
+
+def made_users(logins: DataFrame) -> DataFrame:
+    """Rows of link_identities for logins (login_id, google_id, mail, name, avatar) that no user stands behind: in rounds, those that no open login before them shares an
+    id or an email with make users, and logins that find one of these are known. A round settles at least the first login of each
+    group that is tied by ids and emails, so there are as many rounds as a chain of such ties is long."""
+    spark, out, folder = logins.sparkSession, [], shared_folder(logins.sparkSession, "logins")
+    logins.write.parquet(f"{folder}/0")
+    open_, n = spark.read.parquet(f"{folder}/0"), 0
+    while not open_.isEmpty():
+        first = lambda by: open_.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("login_id").alias(f"_{by}"))  # noqa: B023, E731
+        marked = open_.join(first("google_id"), "google_id", "left").join(first("mail"), "mail", "left")
+        alone = lambda by: F.coalesce(F.col(f"_{by}"), F.col("login_id")) == F.col("login_id")
+        makers = marked.filter(alone("google_id") & alone("mail")).select(*logins.columns)
+        made = lambda by: makers.filter(F.col(by).isNotNull()).select(by, F.struct("login_id", "google_id", "name", "avatar").alias(f"of_{by}"))  # noqa: B023, E731
+        met = marked.join(made("google_id"), "google_id", "left").join(made("mail"), "mail", "left")
+        of = F.coalesce("of_google_id", F.when(alone("google_id") | F.col("google_id").isNull(), F.col("of_mail")))
+        settled = met.withColumn("of", of)
+        told = settled.filter("of is not null").select("login_id", F.lit(None).cast("long").alias("user_id"), "of.google_id", F.when(F.col("of.login_id") == F.col("login_id"), "new").otherwise("known").alias("action"), "of.name", "of.avatar")
+        told.write.parquet(f"{folder}/told-{n}")
+        settled.filter("of is null").select(*logins.columns).write.parquet(f"{folder}/{n + 1}")
+        n += 1
+        out.append(f"{folder}/told-{n - 1}")
+        open_ = spark.read.parquet(f"{folder}/{n}")
+    kind = "login_id long, user_id long, google_id string, action string, name string, avatar string"
+    return spark.read.schema(kind).parquet(*out) if out else spark.createDataFrame([], kind)
+
+
+#: Events from which a user's are spread over tasks instead of held in one row.
+BUSY = 200_000
+
+
+def counted(rows: DataFrame, most: int, span: int) -> DataFrame:
+    """Windows of users with few events (user_id, ts, seq, micros): a fold over the sorted events finds where windows start, and each is a slice of them."""
+    each = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("micros", "seq", "ts"))).alias("e"))
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(None).cast("long").alias("t0"), F.lit(0).alias("i"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = acc["t0"].isNull() | (x["micros"] >= acc["t0"] + span)
+        return F.struct(F.when(new, F.array_append(acc["at"], acc["i"])).otherwise(acc["at"]).alias("at"), F.when(new, x["micros"]).otherwise(acc["t0"]).alias("t0"), (acc["i"] + 1).alias("i"))
+
+    starts = each.select("user_id", "e", F.aggregate("e", start, step, lambda acc: acc["at"]).alias("at"))
+    end = F.coalesce(F.get("at", F.col("w") + 1), F.size("e"))
+    windows = starts.select("user_id", "e", "at", F.posexplode("at").alias("w", "first")).select("user_id", F.slice("e", F.col("first") + 1, end - F.col("first")).alias("e"))
+    return windows.select("user_id", F.col("e")[0]["micros"].alias("t0"), F.posexplode("e").alias("k", "x")).select("user_id", "x.*", "t0", (F.col("k") + 1).alias("k"))
+
+
+def counted_in_slices(rows: DataFrame, most: int, span: int) -> DataFrame:
+    """Windows of users with many events: time is cut in slices as long as a window, so a user has at most one start in each.
+
+    Slice after slice, all users at once: the start is the first event that lies a window's length after the start before, a minimum that tasks take
+    of what they hold before it is shuffled. What is carried is a row a user. Then each event finds its start by user and slice, and
+    the first `most` of a window are numbered; all others are denied.
+    """
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "busy")
+    rows.withColumn("num", F.monotonically_increasing_id()).withColumn("slice", F.floor(F.col("micros") / span)).write.partitionBy("slice").parquet(f"{folder}/rows")
+    held = spark.read.parquet(f"{folder}/rows")
+    carry, starts = spark.createDataFrame([], "user_id long, t0 long"), []
+    for r in held.select("slice").distinct().orderBy("slice").collect():  # as many as windows fit the whole time
+        here = held.filter(F.col("slice") == r["slice"]).join(carry, "user_id", "left")
+        new = here.filter(F.col("t0").isNull() | (F.col("micros") >= F.col("t0") + span)).groupBy("user_id").agg(F.min("micros").alias("new"))
+        carry.join(new, "user_id", "full").select("user_id", F.lit(r["slice"]).cast("long").alias("slice"), "t0", "new").write.parquet(f"{folder}/starts/{len(starts)}")
+        starts.append(f"{folder}/starts/{len(starts)}")
+        carry = spark.read.parquet(starts[-1]).select("user_id", F.coalesce("new", "t0").alias("t0"))
+    table = spark.read.parquet(*starts).withColumnRenamed("t0", "before")
+    placed = held.withColumn("slice", F.col("slice").cast("long")).join(table, ["user_id", "slice"]).withColumn("t0", F.when(F.col("micros") >= F.col("new"), F.col("new")).otherwise(F.col("before")))
+    first = placed.withColumn("k", F.row_number().over(Window.partitionBy("user_id", "t0").orderBy("micros", "seq", "num"))).filter(F.col("k") <= most).select("num", "k")
+    return placed.join(first, "num", "left").select("user_id", "micros", "seq", "ts", "t0", F.coalesce("k", F.lit(most + 1)).alias("k"))
+
+
+def rate_limit(events: DataFrame, most: int = 3, hours: int = 24, busy: int = BUSY) -> DataFrame:
     """user_id, ts, allowed, count_in_window, retry_hours: a window starts at the first change after the one before ended.
 
-    Where a window starts depends on the one before, so a user's events (user_id, ts, seq) pass through one task in order, as a
-    stream: none of them is held.
+    Events are (user_id, ts, seq); those without a user or a time are left out. A user with more than `busy` events is spread over tasks.
     """
-    ordered = events.filter("user_id is not null").select("user_id", "ts", "seq", F.col("ts").cast("double").alias("t")).repartition("user_id").sortWithinPartitions("user_id", "ts", "seq")
-    return ordered.mapInPandas(limited(most, hours * 3600.0), "user_id long, ts timestamp, allowed boolean, count_in_window int, retry_hours long")
+    span = hours * 3_600_000_000
+    rows = events.filter("user_id is not null and ts is not null").select("user_id", "ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    many = rows.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") > busy).select("user_id")
+    if many.isEmpty():
+        told = counted(rows, most, span)
+    else:
+        told = counted(rows.join(many, "user_id", "left_anti"), most, span).union(counted_in_slices(rows.join(many, "user_id", "left_semi"), most, span))
+    ok = F.col("k") <= most
+    left = F.when(~ok, F.ceil((F.col("t0") + span - F.col("micros")) / 3_600_000_000))
+    return told.select("user_id", "ts", ok.alias("allowed"), F.least("k", F.lit(most)).alias("count_in_window"), left.alias("retry_hours"))
 
 
 def activity_log(documents: DataFrame, users: DataFrame, level: str = "", page: int = 1, limit: int = 20) -> DataFrame:

@@ -55,7 +55,11 @@ def _logins(t):
     u = t("fx_users")
     google = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("g"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("x"), F.col("user_id").cast("string")))
     email = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit(" New"), F.col("user_id").cast("string"), F.lit("@Example.com"))).otherwise(F.upper("email"))
-    return u.select(F.col("user_id").alias("login_id"), google.alias("google_id"), email.alias("email"), F.when(F.col("user_id") % 2 == 0, " ").otherwise("Said").alias("name"), F.lit("photo").alias("avatar"))
+    one = u.select(F.col("user_id").alias("login_id"), google.alias("google_id"), email.alias("email"), F.when(F.col("user_id") % 2 == 0, " ").otherwise("Said").alias("name"), F.lit("photo").alias("avatar"))
+    # new emails once more with another id, and ids that were linked with another email
+    again = u.filter("user_id % 5 = 0").select(F.col("user_id") + 10_000_000, F.concat(F.lit("y"), "user_id"), email, F.lit("Again"), F.lit("other"))
+    linked = u.filter("user_id % 4 > 0 and user_id % 5 > 0").select(F.col("user_id") + 20_000_000, google, F.concat(F.lit("elsewhere"), "user_id"), F.lit("Again"), F.lit("other"))
+    return one.union(again).union(linked)
 
 
 LOGINS = """SELECT user_id AS login_id, concat(CASE WHEN user_id % 2 = 0 THEN 'g' ELSE 'x' END, CAST(user_id AS VARCHAR)) AS google_id,
@@ -187,10 +191,16 @@ QUERIES = {
     ),
     "link_identities": (
         lambda t: admin.link_identities(t("fx_users"), _logins(t)).withColumn("user_id", F.col("user_id").cast("string")),
-        f"""SELECT login_id, CAST(coalesce(a.user_id, b.user_id) AS VARCHAR) AS user_id, CASE WHEN a.user_id IS NOT NULL THEN l.google_id ELSE coalesce(b.google_id, l.google_id) END AS google_id,
-                  CASE WHEN a.user_id IS NOT NULL THEN 'known' WHEN b.user_id IS NULL THEN 'new' WHEN b.google_id IS NULL THEN 'linked' ELSE 'known' END AS action,
-                  coalesce(a.name, b.name, l.name, string_split(l.email, '@')[1]) AS name, CASE WHEN a.user_id IS NOT NULL THEN coalesce(a.avatar, 'photo') ELSE coalesce(b.avatar, 'photo') END AS avatar
-            FROM ({LOGINS}) l LEFT JOIN fx_users a ON a.google_id = l.google_id LEFT JOIN fx_users b ON lower(b.email) = l.email""",
+        f"""WITH first AS (
+              SELECT login_id, CAST(coalesce(a.user_id, b.user_id) AS VARCHAR) AS user_id, CASE WHEN a.user_id IS NOT NULL THEN l.google_id ELSE coalesce(b.google_id, l.google_id) END AS google_id,
+                     CASE WHEN a.user_id IS NOT NULL THEN 'known' WHEN b.user_id IS NULL THEN 'new' WHEN b.google_id IS NULL THEN 'linked' ELSE 'known' END AS action,
+                     coalesce(a.name, b.name, l.name, string_split(l.email, '@')[1]) AS name,
+                     CASE WHEN a.user_id IS NOT NULL THEN a.avatar WHEN b.google_id IS NOT NULL THEN b.avatar ELSE coalesce(b.avatar, 'photo') END AS avatar
+              FROM ({LOGINS}) l LEFT JOIN fx_users a ON a.google_id = l.google_id LEFT JOIN fx_users b ON lower(b.email) = l.email)
+            SELECT * FROM first
+            UNION ALL SELECT login_id + 10000000, NULL, CASE WHEN action = 'new' THEN google_id ELSE concat('y', CAST(login_id AS VARCHAR)) END, CASE WHEN action = 'new' THEN 'known' ELSE 'new' END,
+                             CASE WHEN action = 'new' THEN name ELSE 'Again' END, CASE WHEN action = 'new' THEN avatar ELSE 'other' END FROM first WHERE login_id % 5 = 0
+            UNION ALL SELECT login_id + 20000000, user_id, google_id, 'known', name, avatar FROM first WHERE action = 'linked'""",
     ),
     "upsert_chunks": (
         _upserted,

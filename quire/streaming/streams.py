@@ -16,11 +16,17 @@ from quire.operators.text import chunk
 
 
 def index_uploads(uploads: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, late: str = "10 minutes"):
-    """Starts a query that scans and chunks each new document (doc_id, text, confirmed, ts) once, and upserts the chunks of allowed ones."""
+    """Starts a query that scans and chunks each new document (doc_id, text, confirmed, ts) once, and upserts the chunks of allowed ones, with the
+    number of the batch: one that fails comes again with the same number (ChunkStore.sink takes it once)."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        allowed = df.join(scan_sensitive(df).filter("found").select("doc_id"), "doc_id", "left_anti").union(df.filter("confirmed")).dropDuplicates(["doc_id"])
-        upsert(chunk(allowed), epoch)
+        held = df.persist()
+        try:
+            held.write.format("noop").mode("overwrite").save()  # all of it, also where the store holds the batch: the stream's own state goes on with it
+            allowed = held.join(scan_sensitive(held).filter("found").select("doc_id"), "doc_id", "left_anti").union(held.filter("confirmed")).dropDuplicates(["doc_id"])
+            upsert(chunk(allowed), epoch)
+        finally:
+            held.unpersist()
 
     fresh = uploads.withWatermark("ts", late).dropDuplicatesWithinWatermark(["doc_id"])
     return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

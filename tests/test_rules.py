@@ -1,9 +1,14 @@
 """Rules of the own operators on literal rows, with answers worked out by hand."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import admin, assets, chat, guard, metrics, retrieve, text
+from quire.operators import admin, assets, chat, guard, metrics, retrieve, search, text
 from quire.sources import tables
+from quire.sources.scratch import shared_folder
 
 
 def stamp(s):
@@ -96,16 +101,135 @@ def test_rate_limit_of_one_busy_user(spark):
     assert got.filter("allowed").count() == 3 * 14 and got.agg(F.max("retry_hours")).first()[0] == 24  # 20,000 minutes: 13.9 windows of a day
 
 
-def test_gate_stays_after_a_refusal(spark):
-    events = spark.createDataFrame([(1, 1, "scan_hit"), (1, 2, "no"), (2, 1, "scan_hit"), (2, 2, "yes"), (3, 1, "yes"), (3, 2, "scan_hit")], "doc_id long, seq long, kind string").withColumn("ts", stamp("2024-01-01"))
+def test_consent_of_scans_form_and_chat(spark):
+    """By doc_id: what the chat does depends on the gate, what the form does doesn't; a scan ends the waiting."""
+    told = {
+        1: ("scan_hit no", (True, False, False)),
+        2: ("scan_hit ask yes", (True, True, False)),
+        3: ("yes scan_hit", (True, False, False)),  # a yes to a document that isn't gated confirms nothing
+        4: ("agree scan_hit", (True, True, False)),  # the form confirms any document
+        5: ("scan_hit ask", (True, False, True)),
+        6: ("scan_hit ask scan_hit", (True, False, False)),
+        7: ("scan_hit yes refuse ask", (True, False, True)),
+        8: ("scan_hit yes no", (True, True, False)),  # no longer gated
+        9: ("scan_hit ask scan_clear ask", (False, False, False)),
+        10: ("other", (False, False, False)),
+    }
+    rows = [(d, i, k) for d, (kinds, _) in told.items() for i, k in enumerate(kinds.split())]
+    events = spark.createDataFrame(rows + [(None, 1, "yes"), (11, 1, None)], "doc_id long, seq long, kind string").withColumn("ts", stamp("2024-01-01"))
     state = guard.consent_state(events)
-    assert {r.doc_id: (r.sensitive, r.confirmed, r.awaiting) for r in state.collect()} == {1: (True, False, False), 2: (True, True, False), 3: (True, True, False)}
-    q = spark.createDataFrame([(1, 1, "what?"), (2, 2, "what?"), (3, 1, "Yes")], "question_id long, doc_id long, question string")
+    assert {r.doc_id: (r.sensitive, r.confirmed, r.awaiting) for r in state.collect()} == {d: want for d, (_, want) in told.items()} | {11: (False, False, False)}
+    assert guard.consent_state(events.limit(0)).collect() == []
+    q = spark.createDataFrame([(1, 1, "what?"), (2, 2, "what?"), (3, 3, "Yes")], "question_id long, doc_id long, question string")
     none = q.limit(0)
     routes = guard.route_question(q, state, none.select("doc_id"), q.select("doc_id"), none.select("question_id"))
     assert {r.question_id: r.route for r in routes.collect()} == {1: "consent-pending", 2: "retrieve", 3: "consent-yes"}
 
 
+def test_consent_of_one_busy_document(spark):
+    """Many events of one document, over several ranges, against a plain fold."""
+    rng = random.Random(3)
+    rows = [(7 if rng.random() < 0.6 else rng.randrange(20), i, rng.choice([*guard.KINDS, "other"])) for i in range(4000)]
+    want = {}
+    for d, _, k in rows:
+        want[d] = guard.stepped(want.get(d, (False, False, False)), k)
+    events = spark.createDataFrame(rows, "doc_id long, seq long, kind string").withColumn("ts", F.timestamp_seconds("seq"))
+    assert {r.doc_id: (r.sensitive, r.confirmed, r.awaiting) for r in guard.consent_state(events).collect()} == want
+
+
+def plain_chunks(body, size, overlap):
+    done, open_, n = [], "", 0
+    for p in filter(None, (x.strip(" \t\n\x0b\f\r") for x in re.split(r"\n\s*\n", body.strip(" \t\n\x0b\f\r")))):
+        if n + len(p) + 2 <= size or not open_:
+            open_, n = f"{open_}\n\n{p}" if open_ else p, n + len(p) + 2
+        else:
+            done.append(open_)
+            tail = open_[-overlap:] if overlap and len(open_) > overlap else ""
+            open_, n = f"{tail}\n\n{p}" if tail else p, len(tail) + len(p) + 2
+    return done + [open_] * bool(open_)
+
+
+def test_chunks_of_many_paragraphs(spark):
+    """Texts of up to 3,000 paragraphs, tiny ones among them, so that what a chunk hands on spans many."""
+    rng, rows = random.Random(5), [(0, None), (1, ""), (2, " \n\n \n"), (3, "x" * 5000)]
+    for i, (n, most) in enumerate([(3000, 400), (600, 3), (300, 60), (257, 900), (256, 1), (30, 1500)]):
+        rows.append((10 + i, "\n \n".join(rng.choice("abé😀") * rng.randint(1, most) for _ in range(n))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, overlap in ((1000, 200), (1600, 200), (50, 7), (300, 0)):
+        got = {}
+        for r in text.chunk(df, size, overlap).orderBy("doc_id", "chunk").collect():
+            got.setdefault(r.doc_id, []).append(r.text)
+        assert got == {d: c for d, t in rows if (c := plain_chunks(t or "", size, overlap))}
+
+
+def test_sections(spark):
+    rows = [(1, "\n  body a  \n"), (2, "# Sheet: B\r\n x \r\n\r\n# Sheet:  \ny\x0b z"), (3, "head\u2028# Sheet: C # Sheet: D\n\n"), (4, None), (5, "# Sheet: E\n\n# Sheet: F\n f # Sheet: g")]
+    got = [(r.doc_id, r.sheet, r.text) for r in text.split_sections(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "section").collect()]
+    assert got == [(1, None, "\n  body a  \n"), (2, "B", "x"), (2, None, "y\n z"), (3, None, "head"), (5, "F", "f # Sheet: g")]
+
+
+def test_decks_ask_for_what_is_missing(spark):
+    card = lambda r, at, f: (1, r, at, f, "b", "c", "Easy")
+    rows = [card(1, i, f"c{i}") for i in range(15)] + [card(2, 0, "c0"), card(2, 1, "c1"), *(card(2, 1 + i, f"d{i}") for i in range(1, 7))]
+    df = spark.createDataFrame(rows, "request_id long, round int, at int, front string, back string, category string, difficulty string")
+    deck = lambda n: [r.front for r in assets.assemble_deck(df, n).orderBy("position").collect()]
+    assert deck(20) == [f"c{i}" for i in range(15)] + ["d1", "d2", "d3"]  # five are missing, so the second round looks at five
+    assert deck(5) == [f"c{i}" for i in range(5)] and deck(1) == ["c0", "c1", "c2"]
+    dry = df.filter("round = 1").union(df.filter("round = 1 and at < 2").withColumn("round", F.lit(2))).union(df.filter("round = 1 and at = 3").selectExpr("request_id", "3", "0", "'new'", "back", "category", "difficulty"))
+    assert assets.assemble_deck(dry, 30).count() == 15  # the second round adds none, so the third isn't asked for
+    gap = df.filter("round = 1").union(df.filter("round = 2").withColumn("round", F.lit(3)))
+    assert assets.assemble_deck(gap, 30).count() == 15
+
+
+def test_identities(spark):
+    users = spark.createDataFrame([(1, "Ann", "ann@x", "g1", None), (2, "Bob", "Bob@x", None, None), (3, "Cy", "cy@x", "g3", "own")], "user_id long, name string, email string, google_id string, avatar string")
+    rows = [(1, "g1", "other@x", "n", "pic"), (2, "g2", "bob@X ", "n", "pic"), (3, "g2", "new@x", "n", "pic2"), (4, "g9", "cy@x", "n", "pic"), (5, "g5", "Dee@x", " ", None), (6, "g5", "dee2@x", "Dee", "late"), (7, "g6", "dee@x", "n", None), (8, "g6", "dee2@x", "n", "p"), (9, None, "eve@x", None, "p"), (10, None, "eve@x", "Eve", None)]
+    got = admin.link_identities(users, spark.createDataFrame(rows, "login_id long, google_id string, email string, name string, avatar string"))
+    assert [tuple(r)[1:] for r in got.orderBy("login_id").collect()] == [
+        (1, "g1", "known", "Ann", None), (2, "g2", "linked", "Bob", "pic"), (2, "g2", "known", "Bob", "pic"), (3, "g3", "known", "Cy", "own"), (None, "g5", "new", "dee", None),
+        (None, "g5", "known", "dee", None), (None, "g5", "known", "dee", None), (None, "g6", "new", "n", "p"), (None, None, "new", "eve", "p"), (None, None, "known", "eve", "p"),
+    ]
+
+
+def test_rate_limit_spreads_busy_users(spark):
+    """A user with a third of all events, in windows that begin anywhere, gaps of days, equal rows; both ways give the same."""
+    rng = random.Random(9)
+    rows = [(7 if i % 3 == 0 else rng.randrange(30), rng.choice([0, 40, 300]) * 86400 + rng.randrange(6 * 86400), i // 2) for i in range(3000)]
+    rows += [(7, 86400, 5)] * 3 + [(None, 5, 1)]
+    df = spark.createDataFrame(rows, "user_id long, s long, seq long").select("user_id", F.timestamp_seconds("s").alias("ts"), "seq")
+    few, many = (sorted(map(str, admin.rate_limit(df, busy=b).collect())) for b in (10**6, 200))
+    assert few == many and len(few) == 3003
+    want, start = {}, {}
+    for u, s, q in sorted(r for r in rows if r[0] is not None):
+        if u not in start or s - start[u][0] >= 86400:
+            start[u] = (s, 0)
+        t0, n = start[u]
+        ok = n < 3
+        start[u] = (t0, n + ok)
+        want[u] = want.get(u, 0) + ok
+    assert {r.user_id: r.n for r in admin.rate_limit(df, busy=200).filter("allowed").groupBy("user_id").agg(F.count("*").alias("n")).collect()} == want
+
+
+def test_pages_of_documents_by_any_field(spark):
+    d = spark.createDataFrame([(i, 1, f"n{i}", "t", s, None) for i, s in ((1, 5), (2, 3), (3, 5), (4, 9))], "doc_id long, user_id long, name string, type string, size long, uploaded_at timestamp")
+    u = spark.createDataFrame([(1, "Ann")], "user_id long, name string")
+    page = lambda *a: [r.doc_id for r in admin.document_page(d, u, "", "", 1, 3, *a).collect()]
+    assert page("size", True) == [2, 1, 3] and page("size") == [4, 3, 1] and page("name", True) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        page("text")
+
+
+def test_searches_of_the_index(spark):
+    rows = [(u, d, c, t) for u in (1, 2) for d in range(40) for c, t in enumerate([f"Common word{d % 7} x{d}", None if d == 3 else f"rare{d} COMMON common 😀é"])]
+    chunks = spark.createDataFrame(rows, "user_id long, doc_id long, chunk long, text string").withColumn("num", F.lit("clash"))
+    index = search.SearchIndex(spark, shared_folder(spark, "index")).build(chunks)
+    q = spark.createDataFrame([(1, 1, "common rare5"), (2, 2, "WORD3 nothing"), (3, 1, " "), (4, 9, "common"), (5, 1, "x1"), (6, 1, "é"), (7, 1, "common x3"), (8, 2, "mmon w"), (9, 1, None)], "query_id long, user_id long, q string")
+    plain = lambda f: sorted(map(tuple, f(q, chunks, 7).select("query_id", "doc_id", "chunk", "rank").collect()))
+    for ours, whole in ((search.keyword_search, retrieve.keyword_search), (search.substring_search, retrieve.substring_search)):
+        assert sorted(map(tuple, ours(q, index, 7).select("query_id", "doc_id", "chunk", "rank").collect())) == plain(whole)
+    assert {r.query_id for r in search.substring_candidates(q, index).collect()} == {1, 4, 5, 6, 7, 8} - {1, 4, 7}
+
+
 def test_runtime(spark):
     lines = ["process_uptime_seconds 10", "process_cpu_user_seconds_total 9", "process_cpu_system_seconds_total 8", "process_resident_memory_bytes 3145728", "# x"]
     of = lambda x: metrics.runtime(metrics.parse_exposition(spark.createDataFrame([(v,) for v in x], "value string"))).first()
