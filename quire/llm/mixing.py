@@ -8,6 +8,7 @@ sum of rate * tokens * posterior, match the targets in the least-squares sense.
 from __future__ import annotations
 
 import warnings
+from itertools import count
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ MOST_LABELLED = 20_000
 #: against an even spread is so high that chance, over all words of a sample, doesn't reach it. No share of a domain's documents
 #: is asked for, since words of a small language have a small one.
 LEAST_LIFT, LEAST_RATIO = 3.0, 25.0
-STEPS, TOLERANCE = 200, 1e-6
+TOLERANCE = 1e-6
 #: So many steps of the rates are replayed at most before the rates are written down.
 REPLAY = 6
 #: Decimals of the posteriors.
@@ -154,15 +155,15 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "domain")
 
 
-def fit_rates(docs: DataFrame, weights: list[float], scale: float, whole: int | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+def fit_rates(docs: DataFrame, weights: list[float], scale: float, whole: int | None = None, steps: int | None = None, tolerance: float = TOLERANCE) -> list[list[float]]:
     """Steps of projected gradient over rows (n, p: posterior array): what each step takes off a document's rate, as
     the weights of its posteriors.
 
     The targets share out `scale` times all tokens by weight, or so many that the domain numbered `whole` gets `scale` times its
     own. Minimised is the sum over domains of (expected - target)^2 / available, from rates of one. A step scales each document's
     gradient by its tokens, so it takes off p . (expected - target) / available and clips at zero; a job adds up
-    one number for each domain. It ends when no domain is further than `tolerance` of all tokens from where the step before left
-    it; if `steps` don't suffice, a warning says how far they are.
+    one number for each domain. It goes on until no domain is further than `tolerance` of all tokens from where the step before left
+    it; only a caller who limits the `steps` gets rates that haven't settled, with a warning that says how far they are.
     """
     k = len(weights)
     # the rate depends on the posteriors only, so documents with the same ones step together
@@ -172,7 +173,7 @@ def fit_rates(docs: DataFrame, weights: list[float], scale: float, whole: int |
     total = scale * (sum(have) if whole is None else have[whole] * sum(weights) / weights[whole])
     targets = [total * w / sum(weights) for w in weights]
     now, history, pending = list(have), [], []
-    for _ in range(steps):
+    for _ in count() if steps is None else range(steps):
         g = [(now[i] - targets[i]) / have[i] if have[i] > 0 else 0.0 for i in range(k)]
         history.append(g)
         pending.append(g)

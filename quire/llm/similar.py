@@ -4,7 +4,7 @@ Equal sets are one node. Fingerprints that differ in few bits come first: the va
 A similarity of 0.8 leaves up to some 20 of 64 bits different, too wide for triangle bounds to prune anything, so the other pairs come from
 the shingles. Two sets as similar as wanted share one of their first shingles, if these are put in one order for
 all (rare ones first), and as many are taken as a partner may lack: so each of these shingles is a block that holds all pairs to
-look at. Lengths, places in the order and fingerprints over the sets leave few, which are confirmed by the sets themselves. Links to one
+look at. Lengths, places in the order and parities over the sets leave few, which are confirmed by the sets themselves. Links to one
 node of a block come before all other pairs, so that a large group of copies isn't compared each with each.
 """
 
@@ -21,8 +21,6 @@ from quire.llm.vptree import components, near_links, shingle_hashes
 
 #: Bits up to which vantage-point shards look for fingerprints.
 NEAR = 3
-#: Bits in which fingerprints of similar sets may differ. At Jaccard 0.8 about 10 are expected, with a deviation of 3.
-WIDE = 24
 #: Documents (expected number) that tell which shingles are common: those that so many of them have, MOST_COMMON at most. They
 #: decide the order of shingles only, not the result.
 SAMPLED, LEAST_SEEN, MOST_COMMON = 10_000, 3, 1 << 18
@@ -48,6 +46,12 @@ def set_fingerprint(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s)).view(">i8")[0])
 
 
+def parity(s: np.ndarray) -> int:
+    """Bit b says whether an odd number of the set's shingles fall on it. Each shingle that one of two sets has alone turns one bit, so
+    the bits in which two parities differ are no more than the shingles in which the sets do."""
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
+
+
 def first_shingles(s: np.ndarray, common: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which a set that is similar has one among its own."""
     if not len(s):
@@ -133,23 +137,25 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
         for pdf in batches:
             sets = [shingle_set(t, words, seed) for t in pdf["text"]]
             firsts = [first_shingles(s, common, seen, percent).view(np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "fp": [set_fingerprint(s) for s in sets], "firsts": firsts})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "fp": [set_fingerprint(s) for s in sets], "odd": [parity(s) for s in sets], "firsts": firsts})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = materialise(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n int, fp long, firsts array<long>"), "sets")
+    marked = materialise(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n int, fp long, odd long, firsts array<long>"), "sets")
     nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    one = materialise(marked.select("node", "n", "fp", "firsts").dropDuplicates(["node"]), "one")
+    one = materialise(marked.select("node", "n", "fp", "odd", "firsts").dropDuplicates(["node"]), "one")
     # most shingles stand in one set only; one shuffle of narrow rows finds the others and keeps their rows
     each = one.select(F.posexplode("firsts").alias("at", "shingle"), "node").repartition("shingle")
     shared = each.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("shingle")
-    blocks = materialise(each.join(shared, "shingle").join(one.select("node", "n", "fp"), "node").withColumn("root", F.col("node")), "blocks")
+    blocks = materialise(each.join(shared, "shingle").join(one.select("node", "n", "odd"), "node").withColumn("root", F.col("node")), "blocks")
 
     def alike(x: str, y: str):
         of = lambda k: (F.col(f"{x}{k}"), F.col(f"{y}{k}"))
-        (m, n), (i, j), (a, b) = of("n"), of("at"), of("fp")
+        (m, n), (i, j), (a, b) = of("n"), of("at"), of("odd")
         # at the first shingle that two sets share, what follows it in both is enough for the similarity
         enough = (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
-        return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & enough & (F.bit_count(a.bitwiseXOR(b)) <= WIDE)
+        # similar sets share so many, and differ in the others
+        shared = F.ceil(percent * (m + n) / (100 + percent))
+        return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & enough & (F.bit_count(a.bitwiseXOR(b)) <= m + n - 2 * shared)
 
     c, total, left = F.col, nodes.count(), blocks
     by_fp = materialise(one.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
@@ -164,7 +170,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
         # what has linked so far isn't looked at again; blocks of one component are done
         left = still_mixed(left, named)
         # each round has other nodes that all of a block are held against
-        start = F.first(F.struct("node", "n", "at", "fp", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(before)), "node").rowsBetween(Window.unboundedPreceding, 0))
+        start = F.first(F.struct("node", "n", "at", "odd", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(before)), "node").rowsBetween(Window.unboundedPreceding, 0))
         stars = left.withColumn("start", start).filter("root <> start.root").filter(alike("", "start."))
         found = confirmed(stars.select(F.col("node").alias("u"), F.col("start.node").alias("v")).distinct(), docs, nodes, words, percent, seed)
         links, new = links.union(found), found.count()

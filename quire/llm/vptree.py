@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -25,8 +26,8 @@ from quire.llm.common import materialise, slices, words_of
 SHARD, LEAF = 4096, 512
 #: One node in SAMPLE builds a tree over shards, and no more than MOST_SAMPLED (expected number); so a tree has fewer leaves than LEAVES.
 SAMPLE, MOST_SAMPLED, LEAVES = 16, 1 << 16, 1 << 14
-#: Rows (nodes and visitors) of a shard that are cut again by another tree.
-SPLIT = 1 << 20
+#: Rows (nodes and visitors) of a shard that are cut again by another tree, and how often at most (each cut makes up to LEAVES of one).
+SPLIT, CUTS = 1 << 20, 3
 SLICE = 2 << 20
 PAIRS = 1 << 21
 
@@ -218,29 +219,44 @@ def cutter(radius: int):
 
 
 def cut_again(routed: DataFrame, radius: int, most: int, sampled: int) -> DataFrame:
-    """Cuts shards of over `most` rows by trees over samples of their own, until none is left or a cut no longer makes them smaller.
+    """Cuts shards of over `most` rows by trees over samples of their own, each shard up to CUTS times as long as that makes it smaller by a tenth; rows of
+    (shard, a, b, fp, home).
 
-    A shard's rows come in pieces of about `most`, each with a copy of the shard's tree, so that no task holds a whole shard.
+    A shard's rows come in pieces of about `most`, each with a copy of the shard's tree, so that no task holds a whole shard. Shards that
+    no longer shrink (balls of near fingerprints) are held against themselves piece by piece (a: of the home points, b: of all points).
     """
-    done, largest = None, None
-    while True:
+    kept, was = [], None
+    for cut in range(CUTS + 1):
         routed = materialise(routed, "routed")
-        sizes = materialise(routed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most), "sizes")
-        now = sizes.agg(F.max("n")).first()[0] or 0
-        if not now or (largest and now >= largest):
-            return routed if done is None else done.union(routed)
-        rest = routed.join(sizes, "shard", "left_anti")
-        done, largest = rest if done is None else done.union(rest), now
-        over = routed.join(sizes, "shard")
-        u = F.pmod(F.xxhash64("fp", F.lit(now)), F.lit(1 << 30)) / float(1 << 30)
-        some = over.filter("home").filter(u < F.least(F.lit(1.0 / SAMPLE), sampled / F.col("n")))
-        trees = some.groupBy("shard").applyInPandas(planter(max(1, math.ceil(math.log2(now / SHARD)))), "shard long, tree binary")
+        sizes = routed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+        before = F.lit(None).cast("long").alias("was")
+        sizes = materialise(sizes.withColumn("parent", F.shiftright("shard", LEAVES.bit_length() - 1)).join(was, "parent", "left").drop("parent") if was is not None else sizes.select("*", before), "sizes")
+        kept.append(routed.join(sizes.select("shard"), "shard", "left_anti").select("shard", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp", "home"))
+        stuck = sizes.filter((10 * F.col("n") > 9 * F.col("was")) | F.lit(cut == CUTS))
+        kept.append(in_pieces(routed.join(stuck.select("shard", "n"), "shard"), most))
+        sizes = materialise(sizes.join(stuck.select("shard"), "shard", "left_anti"), "sizes")
+        largest = sizes.agg(F.max("n")).first()[0]
+        if not largest:
+            return reduce(DataFrame.union, kept)
+        was = sizes.select(F.col("shard").alias("parent"), F.col("n").alias("was"))
+        over = routed.join(sizes.select("shard", "n"), "shard")
+        u = F.pmod(F.xxhash64("fp", F.lit(largest)), F.lit(1 << 30)) / float(1 << 30)
+        some = over.filter("home").filter(u < F.least(F.lit(1.0), F.greatest(F.lit(1.0 / SAMPLE), F.lit(float(LEAF)) / F.col("n")), sampled / F.col("n")))
+        trees = some.groupBy("shard").applyInPandas(planter(max(1, math.ceil(math.log2(largest / SHARD)))), "shard long, tree binary")
         pieces = F.ceil(F.col("n") / most).cast("int")
         copies = trees.join(sizes, "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
         dealt = over.withColumn("piece", F.pmod(F.xxhash64("fp"), pieces).cast("int"))
         routed = dealt.groupBy("shard", "piece").cogroup(copies.groupBy("shard", "piece")).applyInPandas(cutter(radius), "shard long, fp long, home boolean")
 
 
+def in_pieces(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (shard, fp, home, n) in pieces of which two are about `most`: each piece of home points (a) with each piece of all points (b), as visitors."""
+    k = F.ceil(2 * F.col("n") / most).cast("int")
+    piece, all_ = F.pmod(F.xxhash64("fp", F.lit(1)), k).cast("int"), F.explode(F.sequence(F.lit(0), k - 1))
+    homes = rows.filter("home").select("shard", piece.alias("a"), all_.alias("b"), "fp", "home")
+    return homes.union(rows.select("shard", all_.alias("a"), piece.alias("b"), "fp", F.lit(False)).select("shard", "a", "b", "fp", F.lit(False)))
+
+
 def near_links(nodes: DataFrame, radius: int, sampled: int = MOST_SAMPLED, split: int = SPLIT) -> DataFrame:
     """Stars (u, v) that connect all distinct fingerprints (column fp) within the radius of each other."""
     spark = nodes.sparkSession
@@ -252,9 +268,9 @@ def near_links(nodes: DataFrame, radius: int, sampled: int = MOST_SAMPLED, split
         sample = [r[0] for r in some.orderBy(F.xxhash64("fp")).limit(sampled).collect()]
     first = Tree(np.array(sample, dtype=np.int64).view(np.uint64), depth)
     routed = nodes.select("fp").mapInPandas(router(spark.sparkContext.broadcast(first), radius), "shard long, fp long, home boolean")
-    if n > split // 4 * first.leaves:
-        routed = cut_again(routed, radius, split, sampled)
-    return routed.groupBy("shard").applyInPandas(stars(radius), "u long, v long")
+    if n <= split:  # a shard has a fingerprint once at most
+        return routed.groupBy("shard").applyInPandas(stars(radius), "u long, v long")
+    return cut_again(routed, radius, split, sampled).groupBy("shard", "a", "b").applyInPandas(stars(radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42) -> DataFrame:

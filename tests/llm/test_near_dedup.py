@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from quire.llm import similar
 from quire.llm.common import words_of
 
 
@@ -55,3 +56,22 @@ def test_near_dedup_chains_and_repeats(spark):
     want, _ = brute_force(docs.collect())
     assert want == {0, 30, 32}
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()} == want
+
+
+def test_short_texts_just_at_the_bound(spark):
+    """Nine words and the first eight of them share four of five shingles, however many bits of a fingerprint differ."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 9)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:8]))]
+    found = similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, i - i % 2) for i in range(1200)}
+
+
+def test_parities_differ_no_more_than_the_sets():
+    rng = np.random.default_rng(7)
+    for n, m in ((5, 1), (40, 9), (300, 60), (0, 3)):
+        s = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        a, b = s[: n + m // 2], s[m // 2 :]
+        assert ((similar.parity(a) ^ similar.parity(b)) & (1 << 64) - 1).bit_count() <= len(np.setxor1d(a, b))

@@ -265,7 +265,7 @@ def test_mixing(spark, docs, odd):
     # the same steps in numpy
     tokens, p = np.array([r.n_tokens for r in rows], dtype=float), np.array([[r[f"p_{d}"] for d in weights] for r in rows])
     rate, have = np.ones(len(rows)), tokens @ p
-    for _ in range(mixing.STEPS):
+    for _ in range(1000):
         rate = np.maximum(0, rate - p @ (((rate * tokens) @ p - n * np.array(list(weights.values()))) / have))
     assert np.abs(rate - [r.rate for r in rows]).max() < 1e-2
     assert mixing.mixing_rates(odd, labels.limit(0), weights).count() == len(ODD)
@@ -332,6 +332,37 @@ def test_simhash(docs, odd):
         assert sorted((tuple(r) for r in vptree.simhash_components(df).collect()), key=str) == want
 
 
+def test_a_shard_that_no_cut_makes_smaller(spark, monkeypatch):
+    """A ball of near fingerprints, held against itself in pieces, beside shards that split; every link against all pairs."""
+    rng = np.random.default_rng(4)
+    ball = np.uint64(0xFEED_F00D_CAFE_BEEF) ^ (np.uint64(1) << rng.integers(0, 64, 900, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 900, dtype=np.uint64))
+    points = np.unique(np.concatenate([ball, rng.integers(0, 1 << 63, 3_000, dtype=np.uint64)]))
+    links = [(i, j) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points[:i] ^ points[i]) <= 2)]
+    label = np.arange(len(points))
+    for _ in range(8):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    monkeypatch.setattr(vptree, "SHARD", 256)
+    nodes = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(4)
+    groups = {}
+    for r in vptree.components(vptree.near_links(nodes, 2, sampled=64, split=200)).collect():
+        groups.setdefault(r.root, {r.root}).add(r.node)
+    want = {}
+    for x, k in zip(points.view(np.int64).tolist(), label.tolist()):
+        want.setdefault(k, set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_rates_settle_however_long_it_takes(spark):
+    """Domains that are hard to tell apart take many steps; the end meets the targets."""
+    rows = spark.createDataFrame([(100, [0.55, 0.45]), (100, [0.45, 0.55])], "n long, p array<double>")
+    history = mixing.fit_rates(rows, [0.52, 0.48], 1.0, tolerance=1e-9)
+    p, r = np.array([[0.55, 0.45], [0.45, 0.55]]), np.ones(2)
+    for g in history:
+        r = np.maximum(0, r - p @ np.array(g))
+    assert len(history) > 200 and np.allclose((r * 100) @ p, [104, 96], atol=1e-3)
+
+
 def test_shards_that_are_cut_again(spark):
     """The same links with a first tree of a few leaves, whose shards are cut by trees of their own."""
     rng = np.random.default_rng(3)
