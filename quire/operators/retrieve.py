@@ -6,6 +6,8 @@ import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from quire.functions.strings import keywords, ordered_join, strip
-from quire.functions.vectors import dot, doubles, norm, square_gap
 
+#: Vectors of a tile, and questions that meet a tile at a time.
+TILE, BLOCK = 1024, 256
 #: Terms asked for (with their users) that are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -50,17 +53,51 @@ def has_index(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.join(chunks.select("doc_id"), "doc_id", "left_semi")
 
 
-def knn(questions: DataFrame, chunks: DataFrame, k: int = 12, metric: str = "cosine") -> DataFrame:
-    """question_id, doc_id, chunk, distance, rank: the nearest chunks of the question's document.
-
-    Lengths are worked out once for each vector, before the join. A document with a large share of all chunks is split by Spark's
-    skew join, and each task keeps `k` for a question before they meet.
+def nearest_in_tile(k: int, metric: str):
+    """Of one tile of a document: the nearest `k` of its chunks for each question, by distances of a whole block at once."""
+
+    def run(asked: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(tile):
+            return pd.DataFrame(columns=["question_id", "doc_id", "chunk", "distance"])
+        tile = tile.sort_values("chunk", kind="stable")
+        c = np.array(tile["c"].tolist(), dtype=np.float64)
+        chunk, out = tile["chunk"].to_numpy(), []
+        for at in range(0, len(asked), BLOCK):
+            part = asked.iloc[at : at + BLOCK]
+            q = np.array(part["q"].tolist(), dtype=np.float64)
+            if metric == "cosine":
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    far = 1 - (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :])
+            else:
+                far = np.stack([((c - x) ** 2).sum(axis=1) for x in q])
+            far = np.round(far, 6) + 0.0  # no negative zero
+            order = np.argsort(np.where(np.isnan(far), np.inf, far), axis=1, kind="stable")[:, :k]  # equal ones by chunk
+            rows = np.repeat(np.arange(len(part)), order.shape[1])
+            out.append(pd.DataFrame({"question_id": part["question_id"].to_numpy()[rows], "doc_id": part["doc_id"].to_numpy()[rows], "chunk": chunk[order.ravel()], "distance": far[rows, order.ravel()]}))
+        return pd.concat(out)
+
+    return run
+
+
+def knn(questions: DataFrame, chunks: DataFrame, k: int = 12, metric: str = "cosine", tile: int = TILE) -> DataFrame:
+    """question_id, doc_id, chunk, distance, rank: the nearest chunks of the question's document, equal ones by chunk; metric is cosine or l2sq.
+
+    A document's chunks are dealt over tiles of about `tile` vectors by their number, so one with a large share of all chunks is many tiles, and each
+    question goes to the tiles of its document. A tile gives `k` for a question; these meet in the end. Rows without an embedding take no part; a
+    vector of length zero has no cosine: its distance is null and comes last.
     """
-    q = questions.select("question_id", "doc_id", doubles(F.col("embedding")).alias("_q")).withColumn("_n", norm(F.col("_q")))
-    c = chunks.select("doc_id", "chunk", doubles(F.col("embedding")).alias("_c")).withColumn("_m", norm(F.col("_c")))
-    far = {"cosine": 1 - dot(F.col("_q"), F.col("_c")) / (F.col("_n") * F.col("_m")), "l2sq": square_gap(F.col("_q"), F.col("_c"))}[metric]
-    near = q.join(c, "doc_id").select("question_id", "doc_id", "chunk", F.round(far, 6).alias("distance"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk"))).filter(F.col("rank") <= k)
+    if metric not in ("cosine", "l2sq"):
+        raise ValueError("metric is cosine or l2sq")
+    held = chunks.select("doc_id", "chunk", F.col("embedding").alias("c")).filter("doc_id is not null and c is not null")
+    tiles = held.groupBy("doc_id").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = held.join(tiles, "doc_id").select("doc_id", "chunk", "c", F.pmod(F.xxhash64("chunk"), "tiles").cast("int").alias("tile"))
+    asked = questions.select("question_id", "doc_id", F.col("embedding").alias("q")).filter("q is not null").join(tiles, "doc_id")
+    sent = asked.select("question_id", "doc_id", "q", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    told = f"question_id {kind(questions, 'question_id')}, doc_id {kind(questions, 'doc_id')}, chunk {kind(chunks, 'chunk')}, distance double"
+    near = sent.groupBy("doc_id", "tile").cogroup(dealt.groupBy("doc_id", "tile")).applyInPandas(nearest_in_tile(k, metric), told)
+    near = near.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.asc_nulls_last("distance"), "chunk"))).filter(F.col("rank") <= k)
 
 
 def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:

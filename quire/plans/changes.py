@@ -36,12 +36,22 @@ SHARED = f"""SELECT concat('s', CAST(conv_id AS VARCHAR)) AS share_id, CASE WHEN
 def _lines(t):
     """Exposition text of the requests: counters by route, process values, comments, broken lines."""
     r = t("fx_requests").groupBy("route").agg(F.count("*").alias("n"), F.round(F.sum("duration_s"), 3).alias("s"))
+    return metrics.parse_exposition(r.select(F.explode(_of_routes()).alias("value")).union(_of_process(t)))
+
+
+def _of_process(t):
+    """The lines of one process over all requests: up as long as they last, busy for their durations, with a page of memory for each."""
+    p = t("fx_requests").agg((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).alias("up"), F.round(F.sum(F.when(F.col("status_code") < 400, F.col("duration_s"))), 3).alias("user"), F.round(F.sum(F.when(F.col("status_code") >= 400, F.col("duration_s"))), 3).alias("system"), (F.count("*") * 4096).alias("rss"))
+    names = {"up": "process_uptime_seconds", "user": "process_cpu_user_seconds_total", "system": "process_cpu_system_seconds_total", "rss": "process_resident_memory_bytes"}
+    return p.select(F.explode(F.array(*[F.concat(F.lit(f"{name} "), F.col(c).cast("string")) for c, name in names.items()])))
+
+
+def _of_routes():
     label = F.concat(F.lit('{method="GET",route="'), F.col("route"), F.lit('"}'))
-    lines = F.array(
+    return F.array(
         F.lit("# HELP requests"), F.concat(F.lit("requests_total"), label, F.lit(" "), F.col("n").cast("string")), F.concat(F.lit("seconds_sum"), label, F.lit(" "), F.col("s").cast("string")),
-        F.lit("broken"), F.lit("no_number x"), F.lit('bucket{le="+Inf"} +Inf'), F.lit("process_uptime_seconds 200"), F.lit("process_cpu_user_seconds_total 30.5"), F.lit("process_cpu_system_seconds_total 9.3"), F.lit("process_resident_memory_bytes 157286400"),
+        F.lit("broken"), F.lit("no_number x"), F.lit('bucket{le="+Inf"} +Inf'),
     )
-    return metrics.parse_exposition(r.select(F.explode(lines).alias("value")))
 
 
 def _changed(t):
@@ -62,6 +72,8 @@ def _logins(t):
     return one.union(again).union(linked)
 
 
+PROCESS = """SELECT epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS up, round(sum(duration_s) FILTER (WHERE status_code < 400), 3) AS user_s,
+  round(sum(duration_s) FILTER (WHERE status_code >= 400), 3) AS system_s, count(*) * 4096 AS rss FROM fx_requests"""
 LOGINS = """SELECT user_id AS login_id, concat(CASE WHEN user_id % 2 = 0 THEN 'g' ELSE 'x' END, CAST(user_id AS VARCHAR)) AS google_id,
   lower(trim(CASE WHEN user_id % 5 = 0 THEN concat(' New', CAST(user_id AS VARCHAR), '@Example.com') ELSE upper(email) END)) AS email, CASE WHEN user_id % 2 = 1 THEN 'Said' END AS name FROM fx_users"""
 
@@ -85,20 +97,27 @@ def _cards(t):
     return t.spark.read.schema("request_id long, position int, front string, back string, category string, difficulty string").json(path)
 
 
+#: What is read of each entity: a key and the characters of some of its columns.
+ENTITY_SUMS = {
+    "users": ("user_id", "length(concat(name, email))"), "documents": ("doc_id", "length(concat(name, text))"), "chunks": ("chunk", "length(text)"), "messages": ("turn", "length(concat(role, text))"),
+    "shares": ("message_count", "length(snapshot_hash)"), "reports": ("report_id", "length(concat(subject, message))"), "requests": ("status_code", "length(concat(method, route))"),
+}
+
+
 def _entities(t):
-    """The entity tables written as the store keeps them, and read again with their fixed schemas: rows of each."""
+    """The entity tables written as the store keeps them, and read again with their fixed schemas: rows of each, and sums over what they hold."""
     from quire.sources.scratch import shared_folder
 
     folder = shared_folder(t.spark, "store")
-    views = {"users": "fx_users", "documents": "fx_documents", "messages": "fx_messages", "reports": "fx_reports", "requests": "fx_requests"}
-    for name, schema in tables.SCHEMAS.items():
-        if name in views:
-            t(views[name]).write.parquet(f"{folder}/{name}.parquet")
-        else:
-            t.spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
+    rows = {name: t(f"fx_{name}") for name in ("users", "documents", "messages", "reports", "requests")}
+    rows["chunks"] = t("fx_vectors").withColumn("chunk", F.col("chunk").cast("int"))
+    rows["shares"] = chat.snapshot_hash(t("fx_messages"))
+    for name, df in rows.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
     out = None
     for name, df in tables.read_tables(t.spark, folder).items():
-        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n")
+        key, size = ENTITY_SUMS[name]
+        n = df.agg(F.count("*").alias("n"), F.sum(F.col(key).cast("long")).alias("keys"), F.sum(F.expr(size).cast("long")).alias("chars")).select(F.lit(name).alias("entity"), "n", "keys", "chars")
         out = n if out is None else out.union(n)
     return out
 
@@ -143,10 +162,14 @@ QUERIES = {
     "parse_exposition": (
         lambda t: _lines(t).select("name", F.coalesce(F.get(F.map_values("labels"), F.size("labels") - 1), F.lit("")).alias("last_label"), F.size("labels").alias("n"), "value"),
         """SELECT u.name, u.label AS last_label, CAST(u.n AS INT) AS n, u.value FROM (SELECT route, count(*) AS c, round(sum(duration_s), 3) AS s FROM fx_requests GROUP BY route), LATERAL (VALUES
-             ('requests_total', route, 2, CAST(c AS DOUBLE)), ('seconds_sum', route, 2, s), ('bucket', '+Inf', 1, CAST('inf' AS DOUBLE)), ('process_uptime_seconds', '', 0, 200),
-             ('process_cpu_user_seconds_total', '', 0, 30.5), ('process_cpu_system_seconds_total', '', 0, 9.3), ('process_resident_memory_bytes', '', 0, 157286400)) u(name, label, n, value)""",
+             ('requests_total', route, 2, CAST(c AS DOUBLE)), ('seconds_sum', route, 2, s), ('bucket', '+Inf', 1, CAST('inf' AS DOUBLE))) u(name, label, n, value)
+           UNION ALL SELECT u.name, '', 0, u.value FROM (""" + PROCESS + """), LATERAL (VALUES ('process_uptime_seconds', CAST(up AS DOUBLE)), ('process_cpu_user_seconds_total', user_s), ('process_cpu_system_seconds_total', system_s),
+             ('process_resident_memory_bytes', CAST(rss AS DOUBLE))) u(name, value)""",
+    ),
+    "runtime": (
+        lambda t: metrics.runtime(_lines(t)),
+        f"SELECT CAST(up AS DOUBLE) AS uptime_s, CAST(least(100, round((user_s + system_s) / up * 100)) AS BIGINT) AS cpu_percent, CAST(round(rss / 1048576) AS BIGINT) AS rss_mb FROM ({PROCESS})",
     ),
-    "runtime": (lambda t: metrics.runtime(_lines(t)), "SELECT CAST(200 AS DOUBLE) AS uptime_s, CAST(20 AS BIGINT) AS cpu_percent, CAST(150 AS BIGINT) AS rss_mb FROM (SELECT count(*) AS n FROM fx_requests) WHERE n > 0"),
     "user_pages": (
         lambda t: admin.page_counts(admin.find_users(t("fx_users"), "user1"), 20),
         "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 20)) AS BIGINT) AS pages FROM fx_users WHERE regexp_matches(name, 'user1', 'i') OR regexp_matches(email, 'user1', 'i')",
@@ -213,8 +236,10 @@ QUERIES = {
     "write_flashcards_json": (_cards, f"WITH cards AS ({CARDS}), {DECK}"),
     "read_tables": (
         _entities,
-        """SELECT 'users' AS entity, count(*) AS n FROM fx_users UNION ALL SELECT 'documents', count(*) FROM fx_documents UNION ALL SELECT 'messages', count(*) FROM fx_messages
-           UNION ALL SELECT 'reports', count(*) FROM fx_reports UNION ALL SELECT 'requests', count(*) FROM fx_requests UNION ALL SELECT 'chunks', 0 UNION ALL SELECT 'shares', 0""",
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS entity, count(*) AS n, CAST(sum({key}) AS BIGINT) AS keys, CAST(sum({size}) AS BIGINT) AS chars FROM {({'chunks': 'fx_vectors', 'shares': f'({SNAP})'}).get(name, f'fx_{name}')}"
+            for name, (key, size) in ENTITY_SUMS.items()
+        ),
     ),
     "read_text_files": (_texts, "SELECT concat(CAST(conv_id AS VARCHAR), ' ', role) AS line, count(*) AS n FROM conversations GROUP BY 1"),
 }

@@ -31,10 +31,22 @@ def caught_up(t, df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
 
 
 def _online(t):
-    rows = caught_up(t, streams.online_users(_events(t)), "online")
+    rows = caught_up(t, streams.online_users_exact(_events(t)), "online")
     return rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "online_users")
 
 
+#: Windows of a day: as many users as the table has, so that an estimate has something to get wrong.
+DAY, SIX_HOURS, ERROR = "24 hours", "6 hours", 0.02
+
+
+def _estimated(t):
+    """Windows with their exact number of users, and whether the live estimate lies within three deviations of it."""
+    rows = caught_up(t, streams.online_users(_events(t), window=DAY, slide=SIX_HOURS, error=ERROR), "estimated").select("window", F.col("online_users").alias("estimate"))
+    exact = t("events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", DAY, SIX_HOURS)).agg(F.countDistinct("user_id").alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1), 3 * ERROR * F.col("exact"))
+    return rows.join(exact, "window").select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "exact", near.alias("near"))
+
+
 def _metrics(t):
     source = _events(t).select("ts", F.concat(F.lit("/"), "event_type").alias("route"), (F.col("value") / 100).alias("duration_s"))
     rows = caught_up(t, streams.request_metrics(source), "metrics")
@@ -141,6 +153,12 @@ QUERIES = {
             FROM (SELECT user_id, {BUCKET} AS start FROM events UNION ALL SELECT user_id, {BUCKET} - INTERVAL 5 MINUTES FROM events)
             GROUP BY start HAVING start + INTERVAL 10 MINUTES <= {CLOSED}""",
     ),
+    "live_online_users_estimated": (
+        _estimated,
+        f"""SELECT CAST(start AS TIMESTAMP) AS start, CAST(start + INTERVAL 24 HOURS AS TIMESTAMP) AS "end", count(DISTINCT user_id) AS exact, TRUE AS near
+            FROM (SELECT user_id, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01') - to_hours(CAST(6 * k AS BIGINT)) AS start FROM events, range(4) r(k))
+            GROUP BY start HAVING start + INTERVAL 24 HOURS <= {CLOSED}""",
+    ),
     "live_request_metrics": (
         _metrics,
         f"""SELECT *, {bound_at(0.5)}, {bound_at(0.9)}, {bound_at(0.99)} FROM (

@@ -32,8 +32,16 @@ def index_uploads(uploads: DataFrame, upsert: Callable[[DataFrame, int], None],
     return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def online_users(activity: DataFrame, late: str = "10 minutes", window: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
-    """window, online_users: distinct users (user_id, ts) in sliding windows, exact."""
+def online_users(activity: DataFrame, late: str = "10 minutes", window: str = "10 minutes", slide: str = "5 minutes", error: float = 0.02) -> DataFrame:
+    """window, online_users: distinct users (user_id, ts) in sliding windows, estimated within `error` (relative standard deviation).
+
+    A window's state is one sketch, whose size depends on the error alone; sketches of tasks and batches are merged.
+    """
+    return activity.withWatermark("ts", late).groupBy(F.window("ts", window, slide)).agg(F.approx_count_distinct("user_id", error).alias("online_users"))
+
+
+def online_users_exact(activity: DataFrame, late: str = "10 minutes", window: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
+    """window, online_users as above but exact, for windows of few users: the state holds each of them."""
     return activity.withWatermark("ts", late).groupBy(F.window("ts", window, slide)).agg(F.size(F.collect_set("user_id")).alias("online_users"))
 
 

@@ -1,8 +1,10 @@
 """Rules of the own operators on literal rows, with answers worked out by hand."""
 
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,25 @@ def test_knn_keeps_a_chunk_numbered_like_the_question(spark):
     assert [(r.chunk, r.distance, r["rank"]) for r in retrieve.knn(q, chunks).orderBy("rank").collect()] == [(3, 0.0, 1), (4, 1.0, 2)]
 
 
+def test_knn_of_one_document_over_many_tiles(spark):
+    """A document with most chunks, in tiles of ten; vectors of length zero, without an embedding, and equal ones."""
+    rng = np.random.default_rng(2)
+    rows = [(1 if i % 5 else 2, i, None if i == 7 else [0.0, 0.0] if i == 8 else [float(x) for x in rng.integers(-2, 3, 2)]) for i in range(300)]
+    q = [(i, 1 + i % 3, [1.0, float(i)]) for i in range(9)] + [(20, 1, None), (21, None, [1.0, 0.0])]
+    chunks, asked = spark.createDataFrame(rows, "doc_id long, chunk long, embedding array<double>"), spark.createDataFrame(q, "question_id long, doc_id long, embedding array<double>")
+    for metric in ("cosine", "l2sq"):
+        want = set()
+        for i, d, x in q:
+            far = []
+            for e, c, y in rows:
+                if x and y and e == d:
+                    gap, size = (np.subtract(x, y) ** 2).sum(), np.linalg.norm(x) * np.linalg.norm(y)
+                    far.append((round(gap, 6) if metric == "l2sq" else round(1 - np.dot(x, y) / size, 6) if size else math.inf, c))
+            want |= {(i, c, None if f == math.inf else f + 0.0, k + 1) for k, (f, c) in enumerate(sorted(far)[:12])}
+        got = retrieve.knn(asked, chunks, metric=metric, tile=10)
+        assert {(r.question_id, r.chunk, r.distance, r["rank"]) for r in got.collect()} == want
+
+
 def test_context_keeps_unknown_distances(spark):
     rows = [(1, 1, 1, None, 6, 6), (1, 1, 2, 0.7, 7, 7), (1, 1, 3, 0.5, 8, 8)]
     df = spark.createDataFrame(rows, "question_id long, doc_id long, chunk long, distance double, rank int, score_rank int")
