@@ -1,11 +1,12 @@
 """The chunk store, and live indexing into it."""
 
 import pytest
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from quire.plans.gates import length_model
 from quire.operators import retrieve, text
+from quire.sources import scratch
 from quire.sources.scratch import shared_folder
 from quire.sources.store import ChunkStore
 from quire.streaming import streams
@@ -112,3 +113,12 @@ def test_numbers_skip_chunks_without_a_vector(spark):
     got = {r.chunk_id: r.text[0] for r in text.index_chunks(docs, overlap=0, embed=drop).collect()}
     assert len(plain) == 4 and got == {"1_0": "a", "1_1": "c", "1_2": "d"}
     assert length_model()(["abcde", "ab"]) == [None, [2, 1.0]]
+
+
+def test_folders_are_removed(spark):
+    folder = shared_folder(spark, "t")
+    spark.range(3).write.parquet(folder)
+    assert spark.read.parquet(folder).count() == 3
+    assert scratch.remove_folders() >= 1 and scratch.MADE == []
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(folder)
