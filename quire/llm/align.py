@@ -26,10 +26,10 @@ from quire.llm.byte_bpe import ranges
 from quire.llm.common import Index, batched, block_count, materialise, pack, pack_sorted, unpack, unpack_sorted
 from quire.llm.pretokens import segment_sums
 from quire.llm.replies import descend_longs
-from quire.llm.units import flat_ids, json_ids, load_tokenizer, numbers
+from quire.llm.units import byte_letters, flat_ids, in_batches, json_ids, load_tokenizer, numbers
 
 #: Characters of a block, shards of the id pairs, units and characters after which the table of a worker starts anew.
-SLICE, SHARDS, CARRY, CARRY_CHARS = 8 << 20, 4096, 250_000, 16 << 20
+SLICE, SHARDS, CARRY, CARRY_CHARS = 4 << 20, 4096, 200_000, 16 << 20
 KINDS = ("overlap", "group", "end")
 #: Rows of a block: kind docs has its documents, kind gram the id pairs that it asks a shard for.
 BLOCK = "kind string, node long, shard int, keys binary, counts binary, units binary, places binary, ids array<string>, sums binary, digests array<string>"
@@ -106,13 +106,6 @@ class Bytes:
         return self.flat[ranges(self.start[ids], self.size[ids])]
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies: itself where Latin-1 prints it, else the next from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 def json_bytes(path: str) -> Bytes:
     t, letters = load_tokenizer(path, True), byte_letters()
     names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
@@ -130,7 +123,7 @@ class Pieces:
         self.bytes = Bytes([bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in each])
 
     def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return flat_ids(self.model.encode([u[1:] for u in units], num_threads=1))
+        return in_batches(lambda some: flat_ids(self.model.encode([u[1:] for u in some], num_threads=1)))(units)
 
 
 def same_bytes(joined: np.ndarray, sizes: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray) -> np.ndarray:
