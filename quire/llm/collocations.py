@@ -27,6 +27,8 @@ from quire.llm.common import Index, batched, block_count, materialise, pack, pac
 from quire.llm.replies import descend_longs
 
 SLICE, SHARDS = 8 << 20, 4096
+#: Requests that meet in a node of the tree: those of a shard are short, and each level of the tree ships them all once more.
+FAN = 512
 #: A-Z in lower case; what ends a piece as a line feed, which no word holds; tabs as spaces.
 MARKS, BREAK = b".,;:!?\n\x0b\x0c\r", b"\n"
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in MARKS else 32 if c == 9 else c for c in range(256))
@@ -199,7 +201,7 @@ def frequent_phrases(texts: DataFrame, most: int, least: int) -> tuple[DataFrame
     blocks = materialise(texts.select(F.col("lang").cast("string").alias("lang"), "text").mapInPandas(numbered(shards), WORDS), "words", "kind")
     own, asks = blocks.filter("kind = 'docs'"), blocks.filter("kind = 'token'").select("kind", "shard", "node", "keys", "counts")
     n_blocks = own.count()
-    distinct, levels = climb(asks, n_blocks)
+    distinct, levels = climb(asks, n_blocks, FAN)
     top = materialise(distinct.mapInPandas(often(least, shards), TOP), "often")
     told = descend(top.drop("counts"), levels).select("node", "shard", "vals")
     words = materialise(top.mapInPandas(frequent_words, "id long, lang string, word string, f long"), "dictionary")
@@ -213,7 +215,7 @@ def frequent_phrases(texts: DataFrame, most: int, least: int) -> tuple[DataFrame
         else:
             before = step.filter("kind = 'runs'").union(index).select("kind", "node", "bwt", "ids", "starts", "sizes")
             step = materialise(before.groupBy("node").cogroup(told.groupBy("node")).applyInPandas(longer(shards), INDEX), "longer", "kind")
-        distinct, levels = climb(step.filter("kind = 'gram'").select("kind", "shard", "node", "keys", "counts"), n_blocks)
+        distinct, levels = climb(step.filter("kind = 'gram'").select("kind", "shard", "node", "keys", "counts"), n_blocks, FAN)
         top = materialise(distinct.mapInPandas(often(least, shards), TOP), "often")
         if n < most:
             told = descend_longs(top.drop("counts"), levels).select("node", "shard", "vals")
