@@ -1,24 +1,27 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams (1 to 3 code points).
 
-Counts are added up by Spark; the log-probability matrix (languages times 2^bits buckets of doubles, a size fixed by
-parameters) is broadcast; a batch of texts is scored in numpy as sparse rows of bucket numbers.
+Counts are added up by Spark; the log-probability matrix (languages times 2^bits buckets of doubles) is broadcast; a batch of texts is
+scored in numpy as sparse rows of bucket numbers. Languages whose matrix would pass a size are dealt to shards of it, which
+score one after the other: each keeps the best language so far and the sum of likelihoods, so the number of languages changes no prediction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, pack, remainder, slices, unpack
+from quire.llm.common import free_name, materialise, pack, remainder, slices, unpack
 
 SLICE = 2 << 20
 ORDERS = (1, 2, 3)
-#: Bytes of the matrix at most; with very many languages it gets fewer buckets, LEAST_BITS at least.
-MOST_BYTES, LEAST_BITS = 256 << 20, 8
+#: Bytes of a broadcast matrix at most; more languages make more shards.
+MOST_BYTES = 64 << 20
+BEST = "lang string, top double, total double, fit double"
 
 
 def buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,21 +79,36 @@ def packed_counts(bits: int):
     return run
 
 
-def fit_languages(docs: DataFrame, bits: int = 16, smoothing: float = 0.5) -> LanguageModel:
+@dataclass
+class Learnt:
+    """Counts (lang, bucket, n) of all languages, and the languages of each shard, in order of their names."""
+
+    counts: DataFrame
+    shards: list[list[str]]
+    bits: int
+    smoothing: float
+
+    def model(self, k: int) -> LanguageModel:
+        """The matrix of a shard; the driver gets a packed row of 2^bits counts for each of its languages."""
+        mine = self.counts if len(self.shards) == 1 else self.counts.filter(F.col("lang").isin(self.shards[k]))
+        rows = sorted(mine.groupBy("lang").applyInPandas(packed_counts(self.bits), "lang string, counts binary").collect())
+        logs = np.array([unpack(r["counts"], "<i8") + self.smoothing for r in rows]).reshape(len(rows), 1 << self.bits)
+        if len(rows):
+            logs = np.log(logs / logs.sum(axis=1, keepdims=True))
+        return LanguageModel([r["lang"] for r in rows], logs, self.bits)
+
+
+def learn_languages(docs: DataFrame, bits: int = 16, smoothing: float = 0.5, most_bytes: int = MOST_BYTES) -> Learnt:
     """Learns from every row with text and lang. Classes are equally likely beforehand.
 
-    The driver gets a packed row of 2^bits counts for each language, however many rows there are; the languages are counted first, and so many
-    that the matrix doesn't fit MOST_BYTES get fewer buckets.
+    The driver gets the names of the languages; shards have as many as fit `most_bytes`, one at least.
     """
     known = docs.filter("text is not null and lang is not null").select("text", "lang")
-    n = known.select("lang").distinct().count()
-    bits = min(bits, int(np.log2(MOST_BYTES / 8 / max(1, n))))
-    if bits < LEAST_BITS:
-        raise ValueError(f"{n} languages are too many for a matrix of {MOST_BYTES} bytes")
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    each = max(1, most_bytes // (8 << bits))
+    shards = [names[k : k + each] for k in range(0, max(1, len(names)), each)]
     found = known.mapInPandas(language_counts(bits), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = sorted(found.groupBy("lang").applyInPandas(packed_counts(bits), "lang string, counts binary").collect())
-    logs = np.array([unpack(r["counts"], "<i8") + float(smoothing) for r in rows]).reshape(len(rows), 1 << bits)
-    return LanguageModel([r["lang"] for r in rows], np.log(logs / logs.sum(axis=1, keepdims=True)) if len(rows) else logs.reshape(0, 1 << bits), bits)
+    return Learnt(materialise(found, "language-counts") if len(shards) > 1 else found, shards, bits, float(smoothing))
 
 
 def score_batch(model: LanguageModel, texts: list[str]) -> np.ndarray:
@@ -110,43 +128,72 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     return sum(n - k + 1 for k in ORDERS)
 
 
-def predictor(shared):
+def scorer(shared):
+    """Of a shard's languages the best for each text, its log likelihood, the sum of all likelihoods against it, and its fit."""
+
     def run(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for texts, usable in series:
             ok = usable.to_numpy(dtype=bool) & bool(model.langs)
-            lang, score, fit = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
+            lang, fit = np.full(len(texts), "und", dtype=object), np.full(len(texts), np.nan)
+            top, total = np.zeros(len(texts)), np.zeros(len(texts))
             if ok.any():
                 mine = list(texts[ok])
                 logs = score_batch(model, mine)
                 best = logs.argmax(axis=1)  # the first of equals: languages are in order
-                score[ok] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+                top[ok] = logs.max(axis=1)
+                total[ok] = np.exp(logs - top[ok][:, None]).sum(axis=1)
                 lang[ok] = np.array(model.langs, dtype=object)[best]
-                fit[ok] = logs.max(axis=1) / gram_counts(mine) - model.level[best]
-            yield pd.DataFrame({"lang_pred": lang, "score": score, "fit": fit})
+                fit[ok] = top[ok] / gram_counts(mine) - model.level[best]
+            yield pd.DataFrame({"lang": lang, "top": top, "total": total, "fit": fit})
 
     return run
 
 
-def predict_language(model: LanguageModel, spark, text: Column) -> Column:
-    """Struct of lang_pred, score (the winner's posterior probability) and fit; `und`, 0 and no fit for a text that is null or has no
-    letter, and where nothing was learnt. Of equal languages the first by name wins.
+def better(a: Column, b: Column) -> Column:
+    """The best of two shards' answers, with the likelihoods of both; of equals the first."""
+
+    def won(x: Column, y: Column) -> Column:
+        return F.struct(x["lang"].alias("lang"), x["top"].alias("top"), (x["total"] + y["total"] * F.exp(y["top"] - x["top"])).alias("total"), x["fit"].alias("fit"))
+
+    return F.when(b["top"] > a["top"], won(b, a)).otherwise(won(a, b))
+
+
+def with_language(docs: DataFrame, learnt: Learnt, text: Column, name: str) -> DataFrame:
+    """`docs` with a struct `name` of lang_pred, score (the winner's posterior probability) and fit; `und`, 0 and no fit for a text that is
+    null or has no letter, and where nothing was learnt. Of equal languages the first by name wins.
 
     Fit is the mean log probability of the text's n-grams less what they have on average in the winner's own texts: about 0 there, and far below
     in a language that was not learnt, whose posterior says nothing, as one of the learnt ones always wins by much.
+
+    With more than one shard the rows are written after each, so that driver and tasks hold one matrix at a time.
     """
+    spark, many = docs.sparkSession, len(learnt.shards) > 1
     usable = F.coalesce(text.rlike("\\p{L}"), F.lit(False))
-    return F.pandas_udf(predictor(spark.sparkContext.broadcast(model)), "lang_pred string, score double, fit double").asNondeterministic()(text, usable)
-
-
-def language_predictions(docs: DataFrame, modulus: int = 5, held: int = 0, bits: int = 16) -> DataFrame:
+    held, mine = free_name(docs, f"{name}_held"), free_name(docs, f"{name}_mine")
+    rows = docs
+    for k in range(len(learnt.shards)):
+        shared = spark.sparkContext.broadcast(learnt.model(k))
+        told = F.pandas_udf(scorer(shared), BEST).asNondeterministic()(text, usable)
+        if k:
+            rows = rows.withColumn(mine, told).withColumn(held, better(F.col(held), F.col(mine))).drop(mine)
+        else:
+            rows = rows.withColumn(held, told)
+        if many:
+            rows = materialise(rows, "languages")
+            shared.destroy()
+    got = F.col(held)
+    score = F.when(got["total"] > 0, 1 / got["total"]).otherwise(F.lit(0.0))
+    return rows.withColumn(name, F.struct(got["lang"].alias("lang_pred"), score.alias("score"), got["fit"].alias("fit"))).drop(held)
+
+
+def language_predictions(docs: DataFrame, modulus: int = 5, held: int = 0, bits: int = 16, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, held_out, lang_pred, score, fit; learns from rows whose crc32(doc_id) mod `modulus` isn't `held`.
 
     A null doc_id has no remainder: learnt from, not held out. Repeated rows count as often as they occur; an empty
     table gives no rows; other columns are ignored, whatever their names.
     """
     left = remainder(F.col("doc_id"), modulus)
-    model = fit_languages(docs.filter(F.coalesce(left != held, F.lit(True))), bits)
-    got = free_name(docs, "told")
-    told = docs.select("doc_id", F.coalesce(left == held, F.lit(False)).alias("held_out"), predict_language(model, docs.sparkSession, F.col("text")).alias(got))
-    return told.select("doc_id", "held_out", f"{got}.lang_pred", f"{got}.score", f"{got}.fit")
+    learnt = learn_languages(docs.filter(F.coalesce(left != held, F.lit(True))), bits, most_bytes=most_bytes)
+    rows = docs.select("doc_id", "text", F.coalesce(left == held, F.lit(False)).alias("held_out"))
+    return with_language(rows, learnt, F.col("text"), "told").select("doc_id", "held_out", "told.lang_pred", "told.score", "told.fit")

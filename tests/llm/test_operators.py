@@ -209,6 +209,19 @@ def test_language_by_hand(docs, odd):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_six_hundred_languages(spark, odd):
+    """Shards of the matrix change no prediction: of 600 languages with a few words each, in one shard, two and many."""
+    rows = [(k, " ".join(f"{chr(0x400 + k)}{chr(97 + (k * j) % 26)}{chr(97 + j % 26)}" for j in range(1, 12)), f"l{k:03}") for k in range(600)]
+    df = spark.createDataFrame(rows + [(600 + k, t, lang) for k, t, lang in rows[:40]], "doc_id long, text string, lang string")
+    each = 8 << 10
+    told = [sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9), round(r.fit, 9)) for r in langid.language_predictions(df, bits=10, most_bytes=n * each).collect()) for n in (600, 512, 100)]
+    assert len(told[0]) == 640 and told[0] == told[1] == told[2]
+    assert len({r[2] for r in told[0]}) > 400
+    several = odd.withColumn("lang", F.concat(F.lit("l"), (F.length("text") % 4).cast("string")))
+    one, each_alone = (sorted((str(r.doc_id), r.lang_pred, round(r.score, 9), str(r.fit)[:9]) for r in langid.language_predictions(several, bits=10, most_bytes=n * each).collect()) for n in (9, 1))
+    assert one == each_alone and len(one) == len(ODD)
+
+
 def test_nearest(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     bad = spark.createDataFrame([(100, None), (None, [1.0] * 64), (200, [0.0] * 64), (250, [float("nan")] * 64), (300, [None] * 64)], "vec_id long, embedding array<float>")

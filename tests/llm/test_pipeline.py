@@ -29,7 +29,7 @@ def test_stages(spark, kept):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert set(kept[0]) == {r.doc_id for r in divergence.quality_verdicts(docs).filter("kept").collect()}
     first = docs.filter(F.col("doc_id").isin(list(kept[0])))
-    model = langid.fit_languages(first)
+    model = langid.learn_languages(first).model(0)
     logs = langid.score_batch(model, [r.text for r in kept[0].values()])
     fit = logs.max(axis=1) / langid.gram_counts([r.text for r in kept[0].values()]) - model.level[logs.argmax(axis=1)]
     sure = (1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1) >= corpus_pipeline.LEAST_CONFIDENCE) & (fit >= corpus_pipeline.LEAST_FIT)
