@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.llm.byte_bpe import document_codes
 from quire.llm.common import free_name, materialise
 from quire.llm.divergence import keep_good
-from quire.llm.langid import fit_languages, predict_language
+from quire.llm.langid import learn_languages, with_language
 from quire.llm.mixing import drawn
 from quire.llm.similar import similar_components
 
@@ -40,8 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     often as they occur, null ids and other columns pass through as they are.
     """
     told = free_name(docs, "told")
-    model = fit_languages(docs)
-    marked = docs.withColumn(told, predict_language(model, spark, F.col("text")))
+    marked = with_language(docs, learn_languages(docs), F.col("text"), told)
     sure = (F.col(f"{told}.score") >= LEAST_CONFIDENCE) & (F.col(f"{told}.fit") >= LEAST_FIT)
     return marked.filter((F.col(f"{told}.lang_pred") != "und") & sure).drop(told)
 
