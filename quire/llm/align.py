@@ -121,9 +121,14 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         each = range(self.model.get_piece_size())
         self.bytes = Bytes([bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in each])
+        # the library adds no space to an empty text, so what it makes of a text's last space is seen after a letter
+        self.last_space = self.model.encode("a ")[len(self.model.encode("a")) :]
 
     def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return in_batches(lambda some: flat_ids(self.model.encode([u[1:] for u in some], num_threads=1)))(units)
+        def batch(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            return flat_ids([self.last_space if u == " " else ids for u, ids in zip(some, self.model.encode([u[1:] for u in some], num_threads=1))])
+
+        return in_batches(batch)(units)
 
 
 def same_bytes(joined: np.ndarray, sizes: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray) -> np.ndarray:

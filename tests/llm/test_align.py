@@ -74,3 +74,9 @@ def test_texts_and_empty_tables(spark):
     got = {r.doc_id: r.links for r in align.align_texts(df, A, B).collect()}
     assert got[2] == got[None] == [] and {(x.a_token, x.b_token) for x in got[1]} >= {(0, 0)}
     assert align.alignment_digests(df.limit(0), A, B).collect() == []
+
+
+def test_a_last_space(spark):
+    rows = [(1, "a "), (2, "x y "), (3, "a  "), (4, "é \n "), (5, "a")]
+    got = align.alignment_digests(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == walked(rows) and all(r.n_a for r in got)
