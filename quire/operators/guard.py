@@ -122,7 +122,8 @@ def composer(ordered: bool):
             if held is not None:
                 steps, docs = np.concatenate([held[0], steps]), np.concatenate([held[1], docs])
             steps, docs = composed(steps, docs)
-            yield pd.DataFrame({"doc_id": docs[:-1], "part": part, "step": list(steps[:-1].astype(np.int32))})
+            if len(docs) > 1:  # a batch may hold one document alone, and a column of lists without rows has no type
+                yield pd.DataFrame({"doc_id": docs[:-1], "part": part, "step": list(steps[:-1].astype(np.int32))})
             held = steps[-1:], docs[-1:]  # the last document may go on in the next batch
         if held is not None:
             yield pd.DataFrame({"doc_id": held[1], "part": part, "step": list(held[0].astype(np.int32))})

@@ -255,3 +255,8 @@ def test_runtime(spark):
     lines = ["process_uptime_seconds 10", "process_cpu_user_seconds_total 9", "process_cpu_system_seconds_total 8", "process_resident_memory_bytes 3145728", "# x"]
     of = lambda x: metrics.runtime(metrics.parse_exposition(spark.createDataFrame([(v,) for v in x], "value string"))).first()
     assert of(lines) == (10.0, 100, 3) and of(lines[1:]) == (0.0, None, 3)
+
+
+def test_consent_of_one_document_alone(spark):
+    events = spark.createDataFrame([(7, 1, 1, "scan_hit"), (7, 2, 2, "ask"), (7, 3, 3, "yes")], "doc_id long, ts long, seq long, kind string")
+    assert [tuple(r) for r in guard.consent_state(events).collect()] == [(7, True, True, False)]
