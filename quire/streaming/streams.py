@@ -71,15 +71,27 @@ def keyed_state(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+#: Groups that keys are dealt to: each is one call of a processor for a batch, however many keys it has.
+GROUPS = 512
+
+
 class InOrder(StatefulProcessor):
-    """Holds a key's rows (micros, seq, ...) until the watermark has passed them, and folds them in order of time, whatever batches they
-    came in. A timer waits for the first row held, another for the deadline of the state; rows of the delay are all that is held."""
+    """Holds the rows (key, micros, seq, ...) of a group of keys until the watermark has passed them, and folds each key's in order of time, whatever
+    batches they came in. A timer waits for the first row held and for the first deadline of a state; rows of the delay are all that is held.
+
+    A group has one list of rows and one of states, so a batch costs a few calls to the state store for each group and none for a key.
+    """
 
     ROW = STATE = ""
     START: tuple = ()
 
+    def __init__(self, key_type: str):
+        self.key_type = key_type
+
     def init(self, handle) -> None:
-        self.handle, self.held, self.state = handle, handle.getListState("held", self.ROW), handle.getValueState("state", self.STATE)
+        self.handle = handle
+        self.held, self.states = handle.getListState("held", f"key {self.key_type}, {self.ROW}"), handle.getListState("states", f"key {self.key_type}, {self.STATE}")
+        self.due = handle.getValueState("due", "micros long")
 
     def step(self, state: tuple, row: tuple, out: list[tuple]) -> tuple:
         """The state after a row; what it tells is appended to `out`."""
@@ -92,25 +104,30 @@ class InOrder(StatefulProcessor):
     def ended(self, state: tuple, out: list[tuple]) -> None:
         """What is told when it does."""
 
-    def frame(self, key: tuple, state: tuple | None, out: list[tuple]) -> pd.DataFrame:
+    def told(self, key, state: tuple, out: list[tuple], ready: bool) -> list[tuple]:
+        """Rows of a key that had rows or told something."""
+        return [(key, *r) for r in out]
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
 
     def wake(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
+        if not self.due.exists() or micros < self.due.get()[0]:
+            self.due.update((micros,))
+            self.handle.registerTimer(-(-micros // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        names = [c.split()[0] for c in self.ROW.split(", ")]
+        names = ["key", *[c.split()[0] for c in self.ROW.split(", ")]]
         new = [r for pdf in rows for r in pdf[names].astype(object).itertuples(index=False, name=None)]
         if new:
             self.held.appendList(new)
-            self.wake(min(r[0] for r in new))
+            self.wake(min(r[1] for r in new))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        held, state, out = sorted(self.held.get(), key=lambda r: r[:2]), self.state.get() if self.state.exists() else self.START, []
-        ready = [r for r in held if r[0] <= now]
-        for row in ready:
+    def folded(self, key, state: tuple, rows: list[tuple], now: int) -> tuple[tuple, list[tuple]]:
+        """A key's state after the rows that `now` has passed, in order, and what that tells."""
+        out: list[tuple] = []
+        for row in rows:
             if (end := self.deadline(state)) is not None and end <= row[0]:
                 self.ended(state, out)
                 state = self.START
@@ -118,27 +135,42 @@ class InOrder(StatefulProcessor):
         if (end := self.deadline(state)) is not None and end <= now:
             self.ended(state, out)
             state = self.START
-        elif end is not None:
-            self.wake(end)
-        if ready:
-            self.held.clear()
-            if later := held[len(ready) :]:
-                self.held.put(later)
-                self.wake(later[0][0])
-        if state == self.START:
-            self.state.clear()
-        else:
-            self.state.update(state)
-        if ready or out:
-            yield self.frame(key, state, out)
+        return state, self.told(key, state, out, bool(rows))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        if not self.due.exists() or self.due.get()[0] > now:  # an earlier timer has done it
+            return
+        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[1:3])
+        states = {r[0]: tuple(r[1:]) for r in self.states.get()}
+        ready: dict = {k: [] for k, s in states.items() if (end := self.deadline(s)) is not None and end <= now}
+        for row in held:
+            if row[1] <= now:
+                ready.setdefault(row[0], []).append(row[1:])
+        later, rows = [r for r in held if r[1] > now], []
+        for k, some in ready.items():
+            states[k], told = self.folded(k, states.get(k, self.START), some, now)
+            rows += told
+        kept = [(k, *s) for k, s in states.items() if s != self.START]
+        for state, values in ((self.held, later), (self.states, kept)):
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        self.due.clear()
+        if waits := [r[1] for r in later[:1]] + [end for s in kept if (end := self.deadline(s[1:])) is not None]:
+            self.wake(min(waits))
+        if rows:
+            yield self.frame(rows)
 
     def close(self) -> None:
         pass
 
 
-def in_order(rows: DataFrame, key: str, processor: InOrder, told: str, late: str, mode: str = "Append") -> DataFrame:
-    held = rows.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts"))
-    return held.groupBy(key).transformWithStateInPandas(processor, told, mode, "EventTime")
+def in_order(rows: DataFrame, key: str, processor: Callable[[str], InOrder], told: str, late: str, mode: str = "Append") -> DataFrame:
+    held = rows.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts")).withColumnRenamed(key, "key")
+    dealt = held.withColumn("_group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int"))
+    return dealt.groupBy("_group").transformWithStateInPandas(processor(rows.schema[key].dataType.simpleString()), told, mode, "EventTime")
 
 
 class Consent(InOrder):
@@ -154,8 +186,11 @@ class Consent(InOrder):
             pending = None
         return (micros, seq, *stepped((sensitive, confirmed, awaiting), kind), pending)
 
-    def frame(self, key, state, out):
-        return pd.DataFrame([(key[0], *state)], columns=["doc_id", "micros", "seq", "sensitive", "confirmed", "awaiting", "pending"])
+    def told(self, key, state, out, ready):
+        return [(key, *state)] if ready else []
+
+    def frame(self, rows):
+        return pd.DataFrame(rows, columns=["doc_id", "micros", "seq", "sensitive", "confirmed", "awaiting", "pending"])
 
 
 def consent_state(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -164,13 +199,14 @@ def consent_state(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     Kinds are those of guard.consent_state, and `empty` and `outside` for questions that the document didn't answer: the last of them is pending
     until a `yes` or `no` that isn't about consent.
     """
-    return in_order(events, "doc_id", Consent(), f"doc_id long, {Consent.STATE}", late, "Update")
+    return in_order(events, "doc_id", Consent, f"doc_id long, {Consent.STATE}", late, "Update")
 
 
 class Limit(InOrder):
     ROW, STATE, START = "micros long, seq long", "start long, n long", (None, 0)
 
-    def __init__(self, most: int, span: int):
+    def __init__(self, key_type: str, most: int, span: int):
+        super().__init__(key_type)
         self.most, self.span = most, span
 
     def step(self, state, row, out):
@@ -182,13 +218,13 @@ class Limit(InOrder):
     def deadline(self, state):
         return None if state[0] is None else state[0] + self.span
 
-    def frame(self, key, state, out):
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["user_id", "micros", "seq", "allowed", "count_in_window", "retry_hours"]).astype({"retry_hours": "Int64"})
+    def frame(self, rows):
+        return pd.DataFrame(rows, columns=["user_id", "micros", "seq", "allowed", "count_in_window", "retry_hours"]).astype({"retry_hours": "Int64"})
 
 
 def rate_limit(events: DataFrame, most: int = 3, hours: int = 24, late: str = "10 minutes") -> DataFrame:
     """user_id, ts, seq, allowed, count_in_window, retry_hours (where not allowed) for live changes (user_id, ts, seq) that the watermark has passed."""
-    told = in_order(events, "user_id", Limit(most, hours * 3_600_000_000), "user_id long, micros long, seq long, allowed boolean, count_in_window long, retry_hours long", late)
+    told = in_order(events, "user_id", lambda key: Limit(key, most, hours * 3_600_000_000), "user_id long, micros long, seq long, allowed boolean, count_in_window long, retry_hours long", late)
     return told.withColumn("ts", F.timestamp_micros("micros")).drop("micros")
 
 
@@ -204,12 +240,12 @@ class Expiry(InOrder):
     def ended(self, state, out):
         out.append(state)
 
-    def frame(self, key, state, out):
-        return pd.DataFrame([(key[0], r[0]) for r in out], columns=["share_id", "end"])
+    def frame(self, rows):
+        return pd.DataFrame(rows, columns=["share_id", "end"])
 
 
 def expire_shares(shares: DataFrame, late: str = "10 minutes") -> DataFrame:
     """share_id, expired_at of shares (share_id, ts, expires_at) once event time has passed their expiry; a row before that extends it, a row
     after it starts the share anew."""
-    told = in_order(shares.withColumn("seq", F.lit(0).cast("long")).withColumn("end", F.unix_micros("expires_at")), "share_id", Expiry(), "share_id string, end long", late)
+    told = in_order(shares.withColumn("seq", F.lit(0).cast("long")).withColumn("end", F.unix_micros("expires_at")), "share_id", Expiry, "share_id string, end long", late)
     return told.select("share_id", F.timestamp_micros("end").alias("expired_at"))
