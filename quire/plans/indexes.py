@@ -13,12 +13,12 @@ from quire.sources.scratch import shared_folder
 NEEDLES = ["q", "substr(q, 3, 2)", "concat('  ', substr(q, 8, 7), ' ')", "'   '"]
 
 
-def _index(t, tag):
-    return SearchIndex(t.spark, shared_folder(t.spark, tag)).build(_owned(t))
+def _index(t, tag, **kinds):
+    return SearchIndex(t.spark, shared_folder(t.spark, tag)).build(_owned(t), **kinds)
 
 
 def _ranked(t):
-    index, asked = _index(t, "ranked"), _asked(t)
+    index, asked = _index(t, "ranked", grams=False), _asked(t)
     return keyword_search(asked, index).withColumn("asked", F.lit(1)).union(keyword_search(asked, index, 5).withColumn("asked", F.lit(2)))
 
 
@@ -28,12 +28,12 @@ def _needles(t):
 
 
 def _substrings(t):
-    return substring_search(_needles(t), _index(t, "substrings")).drop("score")
+    return substring_search(_needles(t), _index(t, "substrings", terms=False)).drop("score")
 
 
 def _narrowed(t):
     """For each query its hits, and whether the trigrams left no fewer candidates than there are hits."""
-    index, asked = _index(t, "candidates"), _needles(t)
+    index, asked = _index(t, "candidates", terms=False), _needles(t)
     candidates = substring_candidates(asked, index).groupBy("query_id").agg(F.count("*").alias("n"))
     hits = substring_search(asked, index, 50).groupBy("query_id").agg(F.count("*").alias("hits"))
     return hits.join(candidates, "query_id").select("query_id", "hits", (F.col("n") >= F.col("hits")).alias("enough"))

@@ -260,3 +260,24 @@ def test_runtime(spark):
 def test_consent_of_one_document_alone(spark):
     events = spark.createDataFrame([(7, 1, 1, "scan_hit"), (7, 2, 2, "ask"), (7, 3, 3, "yes")], "doc_id long, ts long, seq long, kind string")
     assert [tuple(r) for r in guard.consent_state(events).collect()] == [(7, True, True, False)]
+
+
+def test_postings_are_whole_rows_of_a_block(spark):
+    """Each block of a user has one row for each term, which says how many chunks hold it, whatever tasks and batches its chunks came in."""
+    rows = [(d % 2, d, 0, f"aa{d % 3} aa{d % 3} zz") for d in range(50)]
+    index = search.SearchIndex(spark, shared_folder(spark, "index")).build(spark.createDataFrame(rows, "user_id long, doc_id long, chunk long, text string"))
+    for name, term, most in (("terms", "zz", 1), ("terms", "aa1", 2), ("grams", " zz", None)):
+        got = index.table(name).filter(F.col("term") == term).collect()
+        assert sum(r.n for r in got) == sum(term in t for *_, t in rows) and len({(r.user_id, r.block) for r in got}) == len(got)
+        assert all(len(r["at"]) == r.n and r["at"] == sorted(set(r["at"])) for r in got) and (most is None or {r.most for r in got} == {most})
+    with_few = search.SearchIndex(spark, shared_folder(spark, "index")).build(spark.createDataFrame([(1, 1, 0, "x")], "user_id long, doc_id long, chunk long, text string"), terms=False)
+    assert [r.term for r in with_few.table("grams").collect()] == ["x\x00\x00"]
+
+
+def test_queries_whose_first_candidates_fail_go_through_all(spark, monkeypatch):
+    """Chunks with all trigrams of a needle but not the needle come before those that contain it."""
+    monkeypatch.setattr(search, "FIRST_HELD", 3)
+    rows = [(1, d, 0, "abcd bcde" if d < 30 else "abcde") for d in range(40)]
+    index = search.SearchIndex(spark, shared_folder(spark, "index")).build(spark.createDataFrame(rows, "user_id long, doc_id long, chunk long, text string"))
+    q = spark.createDataFrame([(1, 1, "abcde"), (2, 1, "bc")], "query_id long, user_id long, q string")
+    assert sorted((r.query_id, r.doc_id, r["rank"]) for r in search.substring_search(q, index, 2).collect()) == [(1, 30, 1), (1, 31, 2), (2, 0, 1), (2, 1, 2)]
