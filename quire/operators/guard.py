@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,12 @@ def sensitive_counts(text: Column) -> dict[str, Column]:
     return {k: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)).cast("long") for k, p in PATTERNS.items()}
 
 
+def is_sensitive(text: Column) -> Column:
+    """Whether any category is found."""
+    found = [F.coalesce(text, F.lit("")).rlike(p) for p in PATTERNS.values()]
+    return reduce(lambda a, b: a | b, found)
+
+
 def scan_sensitive(docs: DataFrame) -> DataFrame:
     """doc_id, found, matches: hits by category, those above zero; categories are counted on their own."""
     counts = F.create_map(*[x for k, c in sensitive_counts(F.col("text")).items() for x in (F.lit(k), c)])

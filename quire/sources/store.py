@@ -72,6 +72,16 @@ class ChunkStore:
         last, places, batches = self._manifest()
         if stream is not None and batch <= batches.get(stream, -1):
             return []
+        level, batches = new.storageLevel, batches | ({stream: batch} if stream is not None else {})
+        if level.useMemory or level.useDisk:
+            return self._replace(new, documents, last, places, batches)
+        held = new.persist()  # read several times: which documents, which buckets, and the rows
+        try:
+            return self._replace(held, documents, last, places, batches)
+        finally:
+            held.unpersist()
+
+    def _replace(self, new: DataFrame, documents: DataFrame, last: int, places: dict[str, str], batches: dict[str, int]) -> list[int]:
         touched = new.join(documents.select("doc_id"), "doc_id", "left_semi").select(self.bucket(F.col("doc_id"))).distinct()
         wanted = sorted(r[0] for r in touched.collect())  # no more than there are buckets
         if wanted:
@@ -82,7 +92,6 @@ class ChunkStore:
             rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "doc_id", "chunk").write.partitionBy("bucket").parquet(f"{self.folder}/{folder}")
             there = {str(r[0]) for r in self.spark.read.parquet(f"{self.folder}/{folder}").select("bucket").distinct().collect()} if self._any(folder) else set()
             places = {k: v for k, v in places.items() if int(k) not in wanted} | {k: folder for k in there}
-        batches = batches | ({stream: batch} if stream is not None else {})
         self._commit(last + 1, places, batches)
         return wanted
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from quire.operators.guard import scan_sensitive, stepped
+from quire.operators.guard import is_sensitive, stepped
 from quire.operators.metrics import BOUNDS
 from quire.operators.text import chunk
 
@@ -23,8 +23,7 @@ def index_uploads(uploads: DataFrame, upsert: Callable[[DataFrame, int], None],
         held = df.persist()
         try:
             held.write.format("noop").mode("overwrite").save()  # all of it, also where the store holds the batch: the stream's own state goes on with it
-            allowed = held.join(scan_sensitive(held).filter("found").select("doc_id"), "doc_id", "left_anti").union(held.filter("confirmed")).dropDuplicates(["doc_id"])
-            upsert(chunk(allowed), epoch)
+            upsert(chunk(held.filter(F.coalesce("confirmed", F.lit(False)) | ~is_sensitive(F.col("text")))), epoch)
         finally:
             held.unpersist()
 
