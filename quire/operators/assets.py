@@ -111,11 +111,12 @@ def summary_plan(selections: DataFrame, style: str = "concise", bullets: bool =
     """
     lengths = {"concise": "120-180", "detailed": "200-300", "short": "80-120"}
     words, merged, form = lengths.get(style, "120-180"), lengths.get(style, "80-120"), F.lit("bullets" if bullets else "paragraphs")
-    parts = selections.select("request_id", chunks_of(clean_selection(F.col("text")), 1600, 200).alias("c"))
-    each = parts.select("request_id", F.size("c").alias("n"), F.posexplode("c").alias("chunk", "text"))
-    maps = each.select("request_id", F.when(F.col("n") <= 1, "single").otherwise("map").alias("step"), "chunk", "text", F.lit(words).alias("target_words"), form.alias("form"))
-    reduces = parts.filter("size(c) > 1").select("request_id", F.lit("reduce").alias("step"), F.size("c").alias("chunk"), F.lit(None).cast("string").alias("text"), F.lit(merged).alias("target_words"), F.lit(None).cast("string").alias("form"))
-    return maps.union(reduces)
+    step = lambda name, text, target, form: F.struct(F.lit(name).alias("step"), text.alias("text"), F.lit(target).alias("target_words"), form.alias("form"))
+    reads = lambda name: lambda c: F.transform(c, lambda text: step(name, text, words, form))
+    reduce = F.array(step("reduce", F.lit(None).cast("string"), merged, F.lit(None).cast("string")))
+    # a text is cleaned and cut once, for the steps that read it and the one that merges them
+    steps = F.transform(F.array(chunks_of(clean_selection(F.col("text")), 1600, 200)), lambda c: F.when(F.size(c) <= 1, reads("single")(c)).otherwise(F.concat(reads("map")(c), reduce)))[0]
+    return selections.select("request_id", F.posexplode(steps).alias("chunk", "x")).select("request_id", "x.step", "chunk", "x.text", "x.target_words", "x.form")
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
