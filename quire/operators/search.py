@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions.joins import few
 from quire.functions.strings import strip
 from quire.sources.scratch import shared_folder
 
@@ -23,17 +24,10 @@ from quire.sources.scratch import shared_folder
 BLOCK, BLOCK_CHARS, FIRST_BLOCKS, RAREST = 4096, 8_000_000, 2, 3
 #: Candidates of a query that are looked for and held against the texts first: most queries find their hits among them.
 FIRST_LOOK, FIRST_HELD = 1000, 200
-#: Rows of a side that is broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 #: Follows each text, so that every run of one or two characters begins a trigram.
 PAD = "\x00\x00"
 
 
-def few(df: DataFrame) -> DataFrame:
-    """Broadcast if it has been counted and is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
