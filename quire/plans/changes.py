@@ -112,8 +112,7 @@ def _entities(t):
     rows = {name: t(f"fx_{name}") for name in ("users", "documents", "messages", "reports", "requests")}
     rows["chunks"] = t("fx_vectors").withColumn("chunk", F.col("chunk").cast("int"))
     rows["shares"] = chat.snapshot_hash(t("fx_messages"))
-    for name, df in rows.items():
-        df.write.parquet(f"{folder}/{name}.parquet")
+    tables.write_tables(rows, folder)
     out = None
     for name, df in tables.read_tables(t.spark, folder).items():
         key, size = ENTITY_SUMS[name]

@@ -5,8 +5,8 @@ from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from quire.plans.gates import length_model
-from quire.operators import retrieve, text
-from quire.sources import scratch
+from quire.operators import assets, intake, retrieve, text
+from quire.sources import scratch, tables
 from quire.sources.scratch import shared_folder
 from quire.sources.store import ChunkStore
 from quire.streaming import streams
@@ -122,3 +122,59 @@ def test_folders_are_removed(spark):
     assert scratch.remove_folders() >= 1 and scratch.MADE == []
     with pytest.raises(AnalysisException):
         spark.read.parquet(folder)
+
+
+def test_rows_of_an_upsert_are_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf
+
+    store, rows = ChunkStore(spark, shared_folder(spark, "t"), 4), given(spark, 50)
+    store.sink(known(spark, 50), "s")(rows.mapInPandas(made, rows.schema), 0)
+    assert calls.value == 100 and store.read().count() == 100
+
+
+def shuffled_joins(spark, build):
+    """Joins by shuffle in the plan, where Spark has no sizes to go by."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = build()
+        return df, df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_few_documents_that_come_again_leave_the_texts_where_they_are(spark):
+    new = spark.createDataFrame([(1, "0", None, None, f"t{i}", None, i) for i in range(9)] + [(2, "1", None, None, "one", None, 1)], CHUNK)
+    old = spark.createDataFrame([(d, 0, 1, "f", None, "old", None) for d in (1, 2, 3)], tables.SCHEMAS["chunks"])
+    got, joins = shuffled_joins(spark, lambda: tables.upsert_chunks(new, old, known(spark, 10)))
+    assert not joins and sorted((r.doc_id, r.chunk, r.text) for r in got.collect()) == [(1, 0, "t8"), (2, 1, "one"), (3, 0, "old")]
+
+
+def test_messages_of_reports_are_not_shuffled(spark):
+    reports = spark.createDataFrame([(i, i % 3, "Bug", "a message of some length") for i in range(9)], "report_id long, user_id long, subject string, message string")
+    users = spark.createDataFrame([(i, f"n{i}", f"E{i}") for i in range(2)], "user_id long, name string, email string")
+    got, joins = shuffled_joins(spark, lambda: intake.accept_reports(reports, users))
+    assert not joins and {(r.user_id, r.email, r.reason) for r in got.collect()} == {(0, "e0", None), (1, "e1", None), (2, None, "unknown user")}
+
+
+def test_a_summary_reads_each_text_once(spark):
+    df = spark.createDataFrame([(1, "\n\n".join(c * 900 for c in "abc")), (2, "short"), (3, None)], "request_id long, text string")
+    plan = assets.summary_plan(df)
+    assert "Union" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.request_id, r.step, r.chunk, (r.text or "")[-1:], r.form) for r in plan.collect()) == [
+        (1, "map", 0, "a", "bullets"), (1, "map", 1, "b", "bullets"), (1, "map", 2, "c", "bullets"), (1, "reduce", 3, "", None), (2, "single", 0, "t", "bullets"),
+    ]
+
+
+def test_texts_that_come_again_are_stored_small(spark):
+    body = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(60_000))
+    folder = shared_folder(spark, "t")
+    rows = spark.range(200, numPartitions=1).select(F.col("id").alias("report_id"), F.concat(F.lit(body), F.col("id").cast("string")).alias("message"))
+    tables.write_tables({"reports": rows}, folder)
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/reports.parquet").agg(F.sum("length")).first()[0]
+    assert stored < 200 * 60_000 // 20 and spark.read.parquet(f"{folder}/reports.parquet").count() == 200
