@@ -26,7 +26,7 @@ NEAR = 3
 SAMPLED, LEAST_SEEN, MOST_COMMON = 10_000, 3, 1 << 18
 #: Blocks get another first node while a round's links are this share of the nodes.
 GO_ON = 0.01
-#: Pairs to confirm, and bytes of the sets they are held against, that are broadcast.
+#: Pairs to confirm, and bytes of the texts they are held against, that are broadcast.
 BROADCAST_NODES, BROADCAST_BYTES = 300_000, 16 << 20
 
 
@@ -82,38 +82,35 @@ def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray,
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """The pairs (u, v) of nodes whose sets are as similar as wanted.
 
-    Sets of the nodes v, of which there are few as many u are held against one, are made once and brought to the texts of the nodes u.
+    The texts of the nodes v, of which there are few as many u are held against one, are brought to those of the nodes u: texts, since sets of
+    hashes take several times as much room and don't compress.
     """
     pairs = materialise(pairs, "pairs")
     small = lambda df, rows: F.broadcast(df) if df.count() <= rows else df
-    hubs = materialise(pairs.select(F.col("v").alias("node")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id")), "hubs")
+    hubs = materialise(pairs.select(F.col("v").alias("node")).distinct().join(nodes, "node").select(F.col("node").alias("v"), F.col("first").alias("doc_id")), "hubs")
     asked = materialise(pairs.join(nodes, F.col("u") == F.col("node")).select(F.col("first").alias("doc_id"), "u", "v"), "asked")
 
-    def sets_of(batches):
-        for pdf in batches:
-            sets = [shingle_set(t, words, seed) for t in pdf["text"]]
-            # a doc_id may repeat with another text
-            right = [node_of(s) == k for s, k in zip(sets, pdf["node"])]
-            yield pd.DataFrame({"v": pdf["node"][right], "s": [s.view(np.int64) for s, x in zip(sets, right) if x]})
-
     def compared(batches):
-        last, mine, node = None, None, None
+        last, hub = (None, None, None), (None, None, None)  # text, set, node
+        known = lambda t, held: held if held[1] is not None and t == held[0] else (t, s := shingle_set(t, words, seed), node_of(s))
         for pdf in batches:
             keep = np.zeros(len(pdf), dtype=bool)
-            for i, (t, u, other) in enumerate(zip(pdf["text"], pdf["u"], pdf["s"])):
-                if mine is None or t != last:
-                    last, mine = t, shingle_set(t, words, seed)
-                    node = node_of(mine)
-                if node == u:
-                    k = len(np.intersect1d(mine, np.asarray(other, dtype=np.int64).view(np.uint64), assume_unique=True))
-                    keep[i] = 100 * k >= percent * (len(mine) + len(other) - k)
+            for i, (t, u, other, v) in enumerate(zip(pdf["text"], pdf["u"], pdf["other"], pdf["v"])):
+                last, hub = known(t, last), known(other, hub)
+                # a doc_id may repeat with another text
+                if last[2] == u and hub[2] == v:
+                    k = len(np.intersect1d(last[1], hub[1], assume_unique=True))
+                    keep[i] = 100 * k >= percent * (len(last[1]) + len(hub[1]) - k)
             yield pdf.loc[keep, ["u", "v"]]
 
+    # rows that repeat are compared once; the keys tell whether there are any
+    ids = docs.select("doc_id").groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    once = lambda df: df.distinct() if ids > 1 else df
     texts = docs.select("doc_id", "text")
-    sets = materialise(texts.join(small(hubs, BROADCAST_NODES), "doc_id").select("node", "text").mapInPandas(sets_of, "v long, s array<long>").dropDuplicates(["v"]), "hub-sets")
-    size = sets.agg(F.sum(8 * F.size("s"))).first()[0] or 0
-    rows = texts.join(small(asked, BROADCAST_NODES), "doc_id").join(F.broadcast(sets) if size <= BROADCAST_BYTES else sets, "v")
-    return materialise(rows.select("u", "v", "text", "s").mapInPandas(compared, "u long, v long").distinct(), "confirmed")
+    others = once(texts.join(small(hubs, BROADCAST_NODES), "doc_id").select("v", F.col("text").alias("other")))
+    size = others.agg(F.sum(F.octet_length("other"))).first()[0] or 0
+    rows = once(texts.join(small(asked, BROADCAST_NODES), "doc_id").select("u", "v", "text")).join(F.broadcast(others) if size <= BROADCAST_BYTES else others, "v")
+    return materialise(rows.select("u", "v", "text", "other").mapInPandas(compared, "u long, v long").distinct(), "confirmed")
 
 
 def still_mixed(blocks: DataFrame, named: DataFrame) -> DataFrame:
@@ -144,9 +141,9 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
     nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
     one = materialise(marked.select("node", "n", "fp", "odd", "firsts").dropDuplicates(["node"]), "one")
     # most shingles stand in one set only; one shuffle of narrow rows finds the others and keeps their rows
-    each = one.select(F.posexplode("firsts").alias("at", "shingle"), "node").repartition("shingle")
-    shared = each.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("shingle")
-    blocks = materialise(each.join(shared, "shingle").join(one.select("node", "n", "odd"), "node").withColumn("root", F.col("node")), "blocks")
+    each, block = one.select(F.posexplode("firsts").alias("at", "shingle"), "node"), Window.partitionBy("shingle")
+    shared = each.withColumns({"a": F.min("node").over(block), "b": F.max("node").over(block)}).filter("a <> b").drop("a", "b")
+    blocks = materialise(shared.join(one.select("node", "n", "odd"), "node").withColumn("root", F.col("node")).select("node", "shingle", "at", "n", "odd", "root"), "blocks")
 
     def alike(x: str, y: str):
         of = lambda k: (F.col(f"{x}{k}"), F.col(f"{y}{k}"))

@@ -75,3 +75,22 @@ def test_parities_differ_no_more_than_the_sets():
         s = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
         a, b = s[: n + m // 2], s[m // 2 :]
         assert ((similar.parity(a) ^ similar.parity(b)) & (1 << 64) - 1).bit_count() <= len(np.setxor1d(a, b))
+
+
+def test_only_shingles_of_each_set_are_written(spark, monkeypatch):
+    """Texts that are held against others are read where they are needed, sets of hashes aren't stored for it; ids that repeat with the same and other texts do no harm."""
+    rng = np.random.default_rng(8)
+    word = [f"w{k}" for k in range(5000)]
+    a, b = " ".join(rng.choice(word, 200)), " ".join(rng.choice(word, 200))
+    rows = [(5, a), (5, a), (5, b), (1, a + " one more"), (7, b + " and more"), (7, b + " and more"), (9, " ".join(rng.choice(word, 50)))]
+    arrays, write = set(), similar.materialise
+
+    def recorded(df, tag):
+        if any(f.dataType.typeName() == "array" for f in df.schema):
+            arrays.add(tag)
+        return write(df, tag)
+
+    monkeypatch.setattr(similar, "materialise", recorded)
+    got = similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert arrays == {"sets", "one"}
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (5, 1), (5, 1), (5, 5), (7, 5), (7, 5), (9, 9)]
