@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import free_name, materialise, pack, remainder, slices, unpack
 
-SLICE = 2 << 20
+#: Characters whose n-grams are held at once; one takes about 150 bytes, and a worker keeps what it once took.
+SLICE = 1 << 18
 ORDERS = (1, 2, 3)
 #: Bytes of a broadcast matrix at most; more languages make more shards.
 MOST_BYTES = 64 << 20

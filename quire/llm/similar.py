@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, words_of
+from quire.llm.common import materialise, slices, words_of
 from quire.llm.vptree import components, near_links, shingle_hashes
 
 #: Bits up to which vantage-point shards look for fingerprints.
@@ -28,6 +28,8 @@ SAMPLED, LEAST_SEEN, MOST_COMMON = 10_000, 3, 1 << 18
 GO_ON = 0.01
 #: Pairs to confirm, and bytes of the texts they are held against, that are broadcast.
 BROADCAST_NODES, BROADCAST_BYTES = 300_000, 16 << 20
+#: Characters of the texts whose sets a task holds at once.
+SLICE = 1 << 20
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -63,13 +65,33 @@ def first_shingles(s: np.ndarray, common: np.ndarray, seen: np.ndarray, percent:
     return s[np.lexsort((s, n))][: len(s) - -(-percent * len(s) // 100) + 1]
 
 
+def parts(batches):
+    """The frames in parts of about SLICE characters of text."""
+    for pdf in batches:
+        for a, b in slices([len(t) if isinstance(t, str) else 0 for t in pdf["text"]], SLICE):
+            yield pdf.iloc[a:b]
+
+
+def marker(known, words: int, percent: int, seed: int):
+    """Of each text the name, size, fingerprint, parity and first shingles of its set."""
+
+    def run(batches):
+        common, seen = known.value
+        for pdf in parts(batches):
+            sets = [shingle_set(t, words, seed) for t in pdf["text"]]
+            firsts = [first_shingles(s, common, seen, percent).view(np.int64) for s in sets]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "fp": [set_fingerprint(s) for s in sets], "odd": [parity(s) for s in sets], "firsts": firsts})
+
+    return run
+
+
 def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found in several documents of a sample, sorted, and in how many."""
     share = min(1.0, SAMPLED / max(1, docs.count()))
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").distinct()
 
     def run(batches):
-        for pdf in batches:
+        for pdf in parts(batches):
             yield pd.DataFrame({"shingle": np.concatenate([np.empty(0, dtype=np.uint64), *[shingle_set(t, words, seed) for t in pdf["text"]]]).view(np.int64)})
 
     found = some.mapInPandas(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SEEN)
@@ -128,16 +150,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(common_shingles(docs, words, seed))
-
-    def run(batches):
-        common, seen = known.value
-        for pdf in batches:
-            sets = [shingle_set(t, words, seed) for t in pdf["text"]]
-            firsts = [first_shingles(s, common, seen, percent).view(np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "fp": [set_fingerprint(s) for s in sets], "odd": [parity(s) for s in sets], "firsts": firsts})
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = materialise(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n int, fp long, odd long, firsts array<long>"), "sets")
+    marked = materialise(docs.select("doc_id", "text").mapInPandas(marker(known, words, percent, seed), f"doc_id {kind}, node long, n int, fp long, odd long, firsts array<long>"), "sets")
     nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
     one = materialise(marked.select("node", "n", "fp", "odd", "firsts").dropDuplicates(["node"]), "one")
     # most shingles stand in one set only; one shuffle of narrow rows finds the others and keeps their rows

@@ -1,10 +1,14 @@
 """The pipeline's near-dedup stage against Jaccard similarity by brute force."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from quire.llm import similar
+from quire.llm import langid, similar
 from quire.llm.common import words_of
 
 
@@ -94,3 +98,27 @@ def test_only_shingles_of_each_set_are_written(spark, monkeypatch):
     got = similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert arrays == {"sets", "one"}
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (5, 1), (5, 1), (5, 5), (7, 5), (7, 5), (9, 9)]
+
+
+def test_workers_hold_a_part_of_a_batch(monkeypatch):
+    """An executor's workers keep the most memory they ever took, from stage to stage; what they take goes with a part of the Arrow batch, and the parts change no result."""
+    rng = np.random.default_rng(9)
+    word = np.array([f"w{k}" for k in range(3000)])
+    texts = [" ".join(x) for x in rng.choice(word, (4000, 400))] + [None, "", " "]
+    pdf = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    mark = similar.marker(SimpleNamespace(value=(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))), 5, 80, 42)
+    model = langid.LanguageModel(["a", "b"], np.log(rng.dirichlet(np.ones(1 << 16), 2)), 16)
+    got, most = [], []
+    tracemalloc.start()
+    for part in mark(iter([pdf])):
+        got += zip(part["doc_id"], part["node"])
+        most.append(len(part))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    logs = langid.score_batch(model, [t or "" for t in texts])
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert got == [(i, similar.node_of(similar.shingle_set(t, 5, 42))) for i, t in enumerate(texts)]
+    assert max(most) < len(texts) / 4 and peak < 64 << 20
+    monkeypatch.setattr(langid, "SLICE", 2 << 20)
+    assert np.array_equal(logs, langid.score_batch(model, [t or "" for t in texts]))
