@@ -20,11 +20,20 @@ LEAST_CONFIDENCE, LEAST_FIT = 0.5, -1.4
 SHINGLE_WORDS, LEAST_SIMILAR = 5, 80
 #: Ids of dropped or repeated documents up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch of texts at most; executors and Python workers hold each batch several times over.
+BATCH_ROWS = 1_000
 #: Shares of the tokens by domain; good documents are wanted a little more often than they occur, so none of them is left
 #: out, and toxic ones aren't wanted.
 WEIGHTS, SCALE, WHOLE = {"good": 0.98, "low": 0.02, "toxic": 0.0}, 1.02, "good"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_ROWS. That stays so, since what a stage returns is planned when the caller writes it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep.
 
@@ -39,6 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A language that no document names is rejected by its fit. Texts that are null or hold no letter have no language and go; so do all where no row has a lang. Repeated rows count as
     often as they occur, null ids and other columns pass through as they are.
     """
+    small_batches(spark)
     told = free_name(docs, "told")
     marked = with_language(docs, learn_languages(docs), F.col("text"), told)
     sure = (F.col(f"{told}.score") >= LEAST_CONFIDENCE) & (F.col(f"{told}.fit") >= LEAST_FIT)
@@ -52,6 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text. Rows without a doc_id are told apart by a hash of their text and come after all others. Of an empty table nothing is left; other
     columns are kept, whatever their names.
     """
+    small_batches(spark)
     key, order = free_name(docs, "key"), free_name(docs, "order")
     unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), unnamed))
@@ -77,6 +88,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the bytes decoded from them; none for null and empty texts."""
+    small_batches(spark)
     return document_codes(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

@@ -24,7 +24,7 @@ from quire.llm.common import Index, slices
 from quire.llm.pretokens import segment_sums
 
 CARRY = 250_000
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 class PerfectHash:
@@ -168,7 +168,7 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 def coder(path: str, pattern: str, with_ids: bool):
-    """Frames of a few million characters leave one by one, so that a task holds the ids of no more."""
+    """Frames of half a million characters leave one by one, so that a task holds the ids of no more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, split = load_vocabulary(path), regex.compile(pattern).findall

@@ -122,3 +122,18 @@ def test_workers_hold_a_part_of_a_batch(monkeypatch):
     assert max(most) < len(texts) / 4 and peak < 64 << 20
     monkeypatch.setattr(langid, "SLICE", 2 << 20)
     assert np.array_equal(logs, langid.score_batch(model, [t or "" for t in texts]))
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.language, corpus_pipeline.near_dedup, corpus_pipeline.encode])
+def test_batches_of_texts_are_small(spark, stage):
+    """What a stage returns is planned by the caller's write, and then too its workers get few rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        docs = spark.range(1).selectExpr("id as doc_id", "'a few words' as text", "'en' as lang")
+        assert stage(spark, docs, "").columns
+        sizes = spark.range(0, 2500, 1, 1).mapInPandas(lambda batches: (pd.DataFrame({"n": [len(x)]}) for x in batches), "n long")
+        assert max(r.n for r in sizes.collect()) <= corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(name, before)
