@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.byte_bpe import document_codes
-from quire.llm.common import free_name, materialise
+from quire.llm.common import free_name, materialise, passing_scratch
 from quire.llm.divergence import keep_good
 from quire.llm.langid import learn_languages, with_language
 from quire.llm.mixing import drawn
@@ -66,10 +66,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, order = free_name(docs, "key"), free_name(docs, "order")
     unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    found = materialise(similar_components(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, LEAST_SIMILAR), "classes")
-    named = found.select(F.col("component_id").alias("doc_id")).distinct()
-    gone = materialise(found.select("doc_id").distinct().join(named, "doc_id", "left_anti").select(F.col("doc_id").alias(key)), "gone")
-    again = materialise(keyed.groupBy(key).agg(F.count("*").alias(order)).filter(F.col(order) > 1).select(key), "again")
+    # the result reads these two tables only
+    with passing_scratch(spark):
+        found = materialise(similar_components(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, LEAST_SIMILAR), "classes")
+        named = found.select(F.col("component_id").alias("doc_id")).distinct()
+        gone = materialise(found.select("doc_id").distinct().join(named, "doc_id", "left_anti").select(F.col("doc_id").alias(key)), "gone", lasting=True)
+        again = materialise(keyed.groupBy(key).agg(F.count("*").alias(order)).filter(F.col(order) > 1).select(key), "again", lasting=True)
     gone, again = (F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in (gone, again))
     kept = keyed.join(gone, key, "left_anti")
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -33,27 +35,49 @@ def scratch_dir(spark: SparkSession) -> str:
 
 #: Folders made in this process, for remove_scratch.
 MADE: list[str] = []
+#: Folders made in the innermost passing_scratch of this thread.
+PASSING: ContextVar[list[str] | None] = ContextVar("PASSING", default=None)
 
 
-def new_folder(spark: SparkSession, tag: str) -> str:
-    MADE.append(f"{scratch_dir(spark)}/quire-{uuid.uuid4().hex}")
-    return f"{MADE[-1]}/{tag}"
+def new_folder(spark: SparkSession, tag: str, lasting: bool = False) -> str:
+    name = f"{scratch_dir(spark)}/quire-{uuid.uuid4().hex}"
+    MADE.append(name)
+    if not lasting and PASSING.get() is not None:
+        PASSING.get().append(name)
+    return f"{name}/{tag}"
 
 
-def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, by: str | None = None, lasting: bool = False) -> DataFrame:
     """Writes `df` to the shared folder (in folders for the values of a string column `by`) and reads it back, which cuts the
-    lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
+    lineage and survives lost executors. A `lasting` table outlives passing_scratch."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, tag, lasting)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_scratch(spark: SparkSession) -> int:
-    """Deletes the intermediate tables of this process, for callers who have written their results; returns how many."""
+def delete(spark: SparkSession, names: list[str]) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for name in MADE:
+    for name in names:
         path = hadoop.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing_scratch(spark: SparkSession):
+    """Deletes the intermediate tables made inside when it ends, but for lasting ones: for steps whose results read only these."""
+    names: list[str] = []
+    token = PASSING.set(names)
+    try:
+        yield
+    finally:
+        PASSING.reset(token)
+        delete(spark, names)
+        MADE[:] = [name for name in MADE if name not in names]
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this process, for callers who have written their results; returns how many."""
+    delete(spark, MADE)
     n = len(MADE)
     MADE.clear()
     return n

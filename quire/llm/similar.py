@@ -4,16 +4,19 @@ Equal sets are one node. Fingerprints that differ in few bits come first: the va
 A similarity of 0.8 leaves up to some 20 of 64 bits different, too wide for triangle bounds to prune anything, so the other pairs come from
 the shingles. Two sets as similar as wanted share one of their first shingles, if these are put in one order for
 all (rare ones first), and as many are taken as a partner may lack: so each of these shingles is a block that holds all pairs to
-look at. Lengths, places in the order and parities over the sets leave few, which are confirmed by the sets themselves. Links to one
+look at. Of blocks of the same nodes, as the shingles of a shared passage make them, one is enough. Lengths, places in the order and
+parities over the sets leave few pairs, which are confirmed by the sets themselves. Links to one
 node of a block come before all other pairs, so that a large group of copies isn't compared each with each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialise, slices, words_of
@@ -28,6 +31,9 @@ SAMPLED, LEAST_SEEN, MOST_COMMON = 10_000, 3, 1 << 18
 GO_ON = 0.01
 #: Pairs to confirm, and bytes of the texts they are held against, that are broadcast.
 BROADCAST_NODES, BROADCAST_BYTES = 300_000, 16 << 20
+#: Longs of parities over a set. The more, the larger sets they tell apart: of two sets of n shingles some 2n/9 may stand in one alone.
+PARITIES = 16
+ODD = [f"odd{k}" for k in range(PARITIES)]
 #: Characters of the texts whose sets a task holds at once.
 SLICE = 1 << 20
 
@@ -48,10 +54,15 @@ def set_fingerprint(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s)).view(">i8")[0])
 
 
-def parity(s: np.ndarray) -> int:
-    """Bit b says whether an odd number of the set's shingles fall on it. Each shingle that one of two sets has alone turns one bit, so
+def parities(s: np.ndarray, longs: int = PARITIES) -> np.ndarray:
+    """Bit b of long k says whether an odd number of the set's shingles fall on it. Each shingle that one of two sets has alone turns one bit, so
     the bits in which two parities differ are no more than the shingles in which the sets do."""
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
+    ones = np.bincount((s % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs)
+    return np.packbits((ones & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def parity(s: np.ndarray) -> int:
+    return int(parities(s, 1)[0])
 
 
 def first_shingles(s: np.ndarray, common: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
@@ -73,14 +84,14 @@ def parts(batches):
 
 
 def marker(known, words: int, percent: int, seed: int):
-    """Of each text the name, size, fingerprint, parity and first shingles of its set."""
+    """Of each text the name, size, fingerprint, parities and first shingles of its set."""
 
     def run(batches):
         common, seen = known.value
         for pdf in parts(batches):
             sets = [shingle_set(t, words, seed) for t in pdf["text"]]
             firsts = [first_shingles(s, common, seen, percent).view(np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "fp": [set_fingerprint(s) for s in sets], "odd": [parity(s) for s in sets], "firsts": firsts})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "fp": [set_fingerprint(s) for s in sets]} | dict(zip(ODD, np.array([parities(s) for s in sets]).T)) | {"firsts": firsts})
 
     return run
 
@@ -135,6 +146,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
     return materialise(rows.select("u", "v", "text", "other").mapInPandas(compared, "u long, v long").distinct(), "confirmed")
 
 
+def different_blocks(one: DataFrame) -> DataFrame:
+    """Rows (node, shingle, at) of the first shingles that several nodes have, one shingle for each set of nodes: the first in the order of all.
+
+    Two nodes are held against each other at the first shingle they share, and that of a block of the same nodes as an earlier one isn't the first
+    of any two. An earlier shingle is earlier in each of its sets, so its places have the smaller sum.
+    """
+    # most shingles stand in one set only; one shuffle of narrow rows finds the others and keeps their rows
+    each, block = one.select(F.posexplode("firsts").alias("at", "shingle"), "node"), Window.partitionBy("shingle")
+    names = {"a": F.min("node"), "b": F.max("node"), "c": F.count("*"), "g": F.bit_xor(F.xxhash64("node")), "h": F.bit_xor(F.xxhash64("node", F.lit(1)))}
+    over = {k: x.over(block) for k, x in (names | {"places": F.sum("at")}).items()}
+    shared = materialise(each.withColumns(over).filter("a <> b"), "shared")
+    firsts = materialise(shared.filter("node = a").groupBy(*names).agg(F.min_by("shingle", "places").alias("shingle")).select("shingle"), "firsts")
+    return shared.select("node", "shingle", "at").join(F.broadcast(firsts) if firsts.count() <= BROADCAST_NODES else firsts, "shingle")
+
+
 def still_mixed(blocks: DataFrame, named: DataFrame) -> DataFrame:
     """The blocks with the roots of their nodes' components as they are now, without those that lie in one component."""
     rows = materialise(blocks.drop("root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
@@ -151,22 +177,20 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(common_shingles(docs, words, seed))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = materialise(docs.select("doc_id", "text").mapInPandas(marker(known, words, percent, seed), f"doc_id {kind}, node long, n int, fp long, odd long, firsts array<long>"), "sets")
+    marked = materialise(docs.select("doc_id", "text").mapInPandas(marker(known, words, percent, seed), f"doc_id {kind}, node long, n int, fp long, {', '.join(f'{x} long' for x in ODD)}, firsts array<long>"), "sets")
     nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    one = materialise(marked.select("node", "n", "fp", "odd", "firsts").dropDuplicates(["node"]), "one")
-    # most shingles stand in one set only; one shuffle of narrow rows finds the others and keeps their rows
-    each, block = one.select(F.posexplode("firsts").alias("at", "shingle"), "node"), Window.partitionBy("shingle")
-    shared = each.withColumns({"a": F.min("node").over(block), "b": F.max("node").over(block)}).filter("a <> b").drop("a", "b")
-    blocks = materialise(shared.join(one.select("node", "n", "odd"), "node").withColumn("root", F.col("node")).select("node", "shingle", "at", "n", "odd", "root"), "blocks")
+    one = materialise(marked.select("node", "n", "fp", *ODD, "firsts").dropDuplicates(["node"]), "one")
+    blocks = materialise(different_blocks(one).join(one.select("node", "n", *ODD), "node").withColumn("root", F.col("node")).select("node", "shingle", "at", "n", *ODD, "root"), "blocks")
 
     def alike(x: str, y: str):
         of = lambda k: (F.col(f"{x}{k}"), F.col(f"{y}{k}"))
-        (m, n), (i, j), (a, b) = of("n"), of("at"), of("odd")
+        (m, n), (i, j) = of("n"), of("at")
         # at the first shingle that two sets share, what follows it in both is enough for the similarity
         enough = (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
         # similar sets share so many, and differ in the others
         shared = F.ceil(percent * (m + n) / (100 + percent))
-        return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & enough & (F.bit_count(a.bitwiseXOR(b)) <= m + n - 2 * shared)
+        turned = reduce(Column.__add__, [F.bit_count(a.bitwiseXOR(b)) for a, b in map(of, ODD)])
+        return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & enough & (turned <= m + n - 2 * shared)
 
     c, total, left = F.col, nodes.count(), blocks
     by_fp = materialise(one.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
@@ -181,7 +205,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, seed:
         # what has linked so far isn't looked at again; blocks of one component are done
         left = still_mixed(left, named)
         # each round has other nodes that all of a block are held against
-        start = F.first(F.struct("node", "n", "at", "odd", "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(before)), "node").rowsBetween(Window.unboundedPreceding, 0))
+        start = F.first(F.struct("node", "n", "at", *ODD, "root")).over(Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(before)), "node").rowsBetween(Window.unboundedPreceding, 0))
         stars = left.withColumn("start", start).filter("root <> start.root").filter(alike("", "start."))
         found = confirmed(stars.select(F.col("node").alias("u"), F.col("start.node").alias("v")).distinct(), docs, nodes, words, percent, seed)
         links, new = links.union(found), found.count()

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from quire.llm import langid, similar
+from quire.llm import common, langid, similar
 from quire.llm.common import words_of
 
 
@@ -100,6 +100,49 @@ def test_only_shingles_of_each_set_are_written(spark, monkeypatch):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (5, 1), (5, 1), (5, 5), (7, 5), (7, 5), (9, 9)]
 
 
+def test_parities_tell_larger_sets_apart():
+    """Sets of 400 shingles that share half of them differ in more bits than sets of that size may that are similar; those that are differ in no more bits than shingles."""
+    rng = np.random.default_rng(10)
+    s = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64))
+    differ = lambda a, b: int(np.bitwise_count(similar.parities(a) ^ similar.parities(b)).sum())
+    assert differ(s[:400], s[200:]) > 800 - 2 * 356 and differ(s[:400], s[40:440]) <= 80
+
+
+def test_a_shared_passage_is_one_block_and_few_pairs(spark, monkeypatch):
+    """Texts that share a passage meet at its first shingle only, and most of them are told apart before their texts are fetched; those that are similar are found all the same."""
+    rng = np.random.default_rng(11)
+    passage, rows = [f"p{k}" for k in range(150)], []
+    for i in range(40):
+        own = [f"w{x}" for x in rng.integers(0, 1 << 40, 150)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join([*passage, *own[:-4]]))]
+    blocks, asked, write, confirm = [], [], similar.materialise, similar.confirmed
+
+    def recorded(df, tag):
+        out = write(df, tag)
+        if tag == "blocks":
+            blocks.append(out.select("shingle").distinct().count())
+        return out
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(similar, "LEAST_SEEN", 1 << 30)  # no shingle is known to be common
+    monkeypatch.setattr(similar, "materialise", recorded)
+    monkeypatch.setattr(similar, "confirmed", counted)
+    found = similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, i - i % 2) for i in range(80)}
+    assert sum(asked) <= 200 and max(blocks) <= 80 * 12
+
+
+def test_scratch_of_near_dedup_goes_before_its_result_is_written(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 30, "en") for i in range(20)] + [(3, "again", "en")], "doc_id long, text string, lang string")
+    before = len(common.MADE)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert len(common.MADE) == before + 2
+    assert kept.select("doc_id").distinct().count() == 20
+
+
 def test_workers_hold_a_part_of_a_batch(monkeypatch):
     """An executor's workers keep the most memory they ever took, from stage to stage; what they take goes with a part of the Arrow batch, and the parts change no result."""
     rng = np.random.default_rng(9)
