@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -37,6 +38,8 @@ def scratch_dir(spark: SparkSession) -> str:
 MADE: list[str] = []
 #: Folders made in the innermost passing_scratch of this thread.
 PASSING: ContextVar[list[str] | None] = ContextVar("PASSING", default=None)
+#: Whether a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_folder(spark: SparkSession, tag: str, lasting: bool = False) -> str:
@@ -62,14 +65,28 @@ def delete(spark: SparkSession, names: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialise` returned, once nothing reads them any more."""
+    for df in tables:
+        folder = re.search("quire-[0-9a-f]{32}", df.inputFiles()[0])[0]
+        names = [name for name in MADE if name.endswith(folder)]
+        delete(df.sparkSession, names)
+        MADE[:] = [name for name in MADE if name not in names]
+
+
 @contextmanager
 def passing_scratch(spark: SparkSession):
-    """Deletes the intermediate tables made inside when it ends, but for lasting ones: for steps whose results read only these."""
+    """Deletes the intermediate tables made inside when it ends, but for lasting ones: for steps whose results read only these.
+
+    The shuffle files of a query inside go when it ends; else they stay until the driver happens to collect its garbage.
+    """
     names: list[str] = []
-    token = PASSING.set(names)
+    token, before = PASSING.set(names), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
         PASSING.reset(token)
         delete(spark, names)
         MADE[:] = [name for name in MADE if name not in names]
@@ -152,6 +169,15 @@ def pack(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
 
 
+def pack_bytes(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes: first the lowest byte of each."""
+    return zip_bytes(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpack_bytes(blob: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(unzip(blob), dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).reshape(-1)
+
+
 def unpack(blob: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(unzip(blob), dtype=dtype)
 

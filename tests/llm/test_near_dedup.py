@@ -1,11 +1,14 @@
 """The pipeline's near-dedup stage against Jaccard similarity by brute force."""
 
+import time
 import tracemalloc
+from collections import defaultdict
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import common, langid, similar
@@ -143,6 +146,97 @@ def test_scratch_of_near_dedup_goes_before_its_result_is_written(spark):
     assert kept.select("doc_id").distinct().count() == 20
 
 
+def test_tables_go_as_soon_as_they_are_not_read(spark, monkeypatch):
+    """From the first comparison of texts on the sets are gone, blocks are narrow, and only the latest ones are there."""
+    there, write, confirm = [], similar.materialise, similar.confirmed
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def recorded(df, tag):
+        out = write(df, tag)
+        if tag == "blocks":
+            assert set(out.columns) == {"node", "shingle", "at", "n", "root"}
+        there.append((tag, common.MADE[-1]))
+        return out
+
+    def counted(*x):
+        now = [tag for tag, name in there if name in common.MADE]
+        assert "sets" not in now and "shared" not in now and now.count("blocks") <= 1 and now.count("roots") == 0
+        return confirm(*x)
+
+    monkeypatch.setattr(similar, "materialise", recorded)
+    monkeypatch.setattr(similar, "confirmed", counted)
+    assert similar.similar_components(docs).count() == docs.count() and len(there) > 10
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum("shuffle_" in str(f) for f in str(blocks.getAllFiles().mkString(" ")).split(" "))
+    before, setting = shuffled(), spark.conf.get(common.CLEANUP, None)
+    with common.passing_scratch(spark):
+        common.materialise(spark.range(1000).repartition(4, "id"), "some")
+        assert spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().count() == 7
+        for _ in range(50):
+            if shuffled() <= before:
+                break
+            time.sleep(0.1)
+        assert shuffled() <= before
+    assert spark.conf.get(common.CLEANUP, None) == setting
+
+
+def test_shared_shingles_of_packed_ones(monkeypatch):
+    """Shingles of several sets come back with all rows and places, whatever the tasks, chunks and shards; the hashes tell equal groups of rows from others."""
+    rng = np.random.default_rng(12)
+    sets = {(1 << 33) * (i % 3) + i: np.unique(np.concatenate([rng.integers(-1 << 63, 1 << 63, 30), rng.integers(0, 40, 8) << 57])) for i in range(100)}
+    sets[5], sets[1 << 40] = np.empty(0, dtype=np.int64), np.array([-2, -1])
+    sets[2 << 40] = sets[1 << 40]
+    want = defaultdict(dict)
+    for row, s in sets.items():
+        for at, x in enumerate(s.tolist()):
+            want[x][row] = at
+    want = {x: rows for x, rows in want.items() if len(rows) > 1}
+    monkeypatch.setattr(similar, "PACKED", 300)
+    items = list(sets.items())
+    rng.shuffle(items)
+    frames = [pd.DataFrame({"row": [r for r, _ in items[a : a + 7]], "firsts": [s for _, s in items[a : a + 7]]}) for a in range(0, len(items), 7)]
+    packed = pd.concat([*similar.packer(5)(iter(frames[:6])), *similar.packer(5)(iter(frames[6:]))])
+    found = [similar.shared_shingles(x) for _, x in packed.groupby("shard")]
+    assert len(found) == 5
+    got, kinds = defaultdict(dict), defaultdict(set)
+    for x in pd.concat(found).itertuples():
+        got[x.shingle][x.row] = x.at
+        if x.c:
+            kinds[x.c, x.g, x.h].add(x.shingle)
+            assert x.c == len(want[x.shingle]) and x.places == sum(want[x.shingle].values())
+    assert got == want
+    groups = defaultdict(set)
+    for x, rows in want.items():
+        groups[frozenset(rows)].add(x)
+    assert sorted(map(sorted, kinds.values())) == sorted(map(sorted, groups.values())) and {-2, -1} in kinds.values()
+
+
+def test_long_texts_are_told_apart_before_they_are_fetched(spark, monkeypatch):
+    """Of long texts that share half of their words none is fetched for another, though 1,024 bits can't tell them apart; similar ones are found, also across a doubling of the parities."""
+    rng = np.random.default_rng(13)
+    passage, rows = [f"p{k}" for k in range(2000)], []
+    for i in range(12):
+        own = [f"w{x}" for x in rng.integers(0, 1 << 40, 2000)]
+        rows.append((2 * i, " ".join(passage + own)))
+        rows.append((2 * i + 1, " ".join([*passage, *own[:-100], *[f"v{x}" for x in rng.integers(0, 1 << 40, 100 + 20 * i)]])))
+    asked, confirm = [], similar.confirmed
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(similar, "LEAST_SEEN", 1 << 30)  # no shingle is known to be common
+    monkeypatch.setattr(similar, "confirmed", counted)
+    found = similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, i - i % 2) for i in range(24)}
+    assert sum(asked) <= 40
+    a, b = (similar.wide_parities(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))) for n in (4096, 4097))
+    assert len(similar.wide_parities(np.arange(1024, dtype=np.uint64))) == 0 and 64 * len(a) == 4096 and len(b) == 2 * len(a)
+
+
 def test_workers_hold_a_part_of_a_batch(monkeypatch):
     """An executor's workers keep the most memory they ever took, from stage to stage; what they take goes with a part of the Arrow batch, and the parts change no result."""
     rng = np.random.default_rng(9)
